@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphlens.llm import decontaminate, line_dedup, mixing, simhash
+from graphlens.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 SQL = mixing.SQL | decontaminate.SQL | line_dedup.SQL
