@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphlens.llm import decontaminate, line_dedup, mixing, simhash, toxicity
+from graphlens.llm import decontaminate, langid, line_dedup, mixing, simhash, toxicity
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op2_mix": mixing.op2_mix,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontaminate": decontaminate.op7_decontaminate,
