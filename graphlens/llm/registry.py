@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from graphlens.llm import decontaminate, langid, line_dedup, mixing, pii, secrets, simhash, toxicity
+from graphlens.llm import ann, decontaminate, langid, line_dedup, mixing, pii, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_mix": mixing.op2_mix,
     "op3_pii": pii.op3_pii,
     "op4_secrets": secrets.op4_secrets,
+    "op5_ann": ann.op5_ann,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_toxicity": toxicity.op8_toxicity,
