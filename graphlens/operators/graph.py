@@ -95,7 +95,7 @@ def owner(nodes: DataFrame, parent_of: DataFrame, is_owner: Column, max_rounds:
         there = now.select(F.col("id").alias("at"), F.col("found").alias("there"), F.col("at").alias("beyond"))
         step = now.join(there, "at", "left")
         done = F.col("found") | F.coalesce("there", F.lit(False))
-        now = checkpointed(step.select("id", done.alias("found"), F.when(done, F.col("at")).otherwise(F.col("beyond")).alias("at")))
+        now = checkpointed(step.select("id", done.alias("found"), F.when(F.col("found"), F.col("at")).otherwise(F.col("beyond")).alias("at")))
         if now.where(~F.col("found") & F.col("at").isNotNull()).isEmpty():
             break
     return now.select("id", F.when(F.col("found"), F.col("at")).alias("owner"))
