@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows (one short row per source, cell or pattern) may be broadcast.
-MAX_BROADCAST_ROWS = 200_000
+from graphlens.session import MAX_BROADCAST_ROWS, checkpointed, table  # noqa: F401
+
 #: Copies of the small side when a join on a hot key is salted.
 SALTS = 32
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, with its lineage cut.
-
-    The folder is the session's spark.checkpoint.dir. Only a local session without one gets a
-    temporary folder of its own; a cluster without one is an error, as executors share no disk.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not (sc.master or "").startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="graphlens-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Join with a side that is expected to be small: broadcast it if a count shows that it is,
     else deal out both sides by key and salt, so that a hot key spreads over SALTS tasks."""

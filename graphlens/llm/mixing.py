@@ -62,7 +62,7 @@ def thresholds(sized: DataFrame, share: float = 1.5, max_repeats: int = 2, weigh
     bucket = F.shiftright("h", BITS * (LEVELS - 1))
     histogram = checkpointed(sized.groupBy(key, "source", bucket.alias("b")).agg(F.sum("size").alias("v")))
     goal = targets(histogram.groupBy("source").agg(F.sum("v").alias("source_size")), share, max_repeats, weights)
-    goal = goal.withColumn("whole", F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats)))
+    goal = goal.withColumn("whole", F.least(F.floor(F.try_divide("target", "source_size")), F.lit(max_repeats)))
     goal = goal.withColumn("whole", F.coalesce("whole", F.lit(max_repeats)).cast("long"))
     goal = goal.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     goal = checkpointed(goal.select(key, "source_size", "target", "whole", "left"))

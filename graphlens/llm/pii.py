@@ -4,8 +4,8 @@ Base spans (e-mail, ip, card, phone) are seeds. The words before and after a see
 patterns. Tokens with a digit or an at sign outside all base spans are candidates, with patterns
 of their own. Patterns and instances form a graph: a pattern's score is the mean score of its
 instances, an instance's the noisy-or of its patterns' scores; seeds stay at 1, the rest start at
-0. After ``ROUNDS`` rounds, candidates next to a pattern of high score, with enough different
-seeds, and of a plausible make for the kind, become spans of that kind.
+0. After ``ROUNDS`` rounds, candidates after a word of high score, with enough different seeds,
+and of a plausible make for the kind, become spans of that kind.
 
 All steps are DataFrame functions. A null text counts as empty; it has no spans and the digest of
 the empty text. Rows equal in id and text are learned from once and all get the same spans. An
@@ -101,7 +101,8 @@ def discovered(rows: DataFrame) -> DataFrame:
         instances = open_.join(score.select("pat", "kind", "score"), ["pat", "kind"]).groupBy("token", "kind").agg(F.sum(F.log(1 - F.least("score", F.lit(0.999)))).alias("l"))
         gained = open_.join(instances.select("token", "kind", (1 - F.exp("l")).alias("s")), ["token", "kind"]).groupBy("pat", "kind").agg(F.sum("s").alias("gain"))
         score = checkpointed(strong.join(gained, ["pat", "kind"], "left").withColumn("score", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("n")).drop("gain"))
-    sure = score.where(F.col("score") >= CONFIDENCE).select("pat", "kind", "score")
+    # A word after an identifier says less than one before it: alone it finds nothing.
+    sure = score.where((F.col("score") >= CONFIDENCE) & F.col("pat").startswith("left:")).select("pat", "kind", "score")
     hits = said.where(F.col("kind") == "").select("k", "start", "end", "token", F.explode("pats").alias("pat")).join(sure, "pat").where(_plausible())
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
     best = hits.groupBy("k", "start", "end").agg(F.max(F.struct("score", (-rank).alias("r"), "kind")).alias("b"))
