@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphlens.session import MAX_BROADCAST_ROWS, checkpointed, table  # noqa: F401
 
@@ -17,7 +18,9 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = big.withColumn("_salt", (F.rand(7) * SALTS).cast("int"))
+    # From the row's own values, so that a task that runs again deals its rows out alike.
+    plain = [f"`{f.name}`" for f in big.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(F.lit(13), *plain), F.lit(SALTS)).cast("int"))
     return dealt.join(salted, [*on, "_salt"], how).drop("_salt")
 
 

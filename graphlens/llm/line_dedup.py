@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import checkpointed, row_key, table
+from graphlens.llm.common import checkpointed, join_small, row_key, table
 
 MIN_SITES = 8
 #: log2 of the registers of a sketch, and the band around the threshold that is counted exactly
@@ -40,7 +40,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     per_site = lines.groupBy("a", "b", "site").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "pos")).alias("first"))
     spread = per_site.groupBy("a", "b").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("first").alias("first"))
     several = checkpointed(spread.where(F.col("lo") != F.col("hi")).select("a", "b", "first"))
-    sites = checkpointed(lines.join(several.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", "site").distinct())
+    sites = checkpointed(join_small(lines, several.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", "site").distinct())
     guess = sites.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n"))
     sure = guess.where(F.col("n") > min_sites * (1 + BAND)).select("a", "b")
     near = guess.where((F.col("n") <= min_sites * (1 + BAND)) & (F.col("n") >= min_sites * (1 - BAND))).select("a", "b")
@@ -51,7 +51,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """row (struct of the input's columns), kept (text without removed lines), n_lines, n_removed."""
     found = checkpointed(boilerplate(docs, min_sites))
-    here = _lines(docs).join(found, ["a", "b"])
+    here = join_small(_lines(docs), found, ["a", "b"])
     other = (F.col("k") != F.col("first.k")) | (F.col("pos") != F.col("first.pos"))
     gone = here.where(other).groupBy("k").agg(F.collect_set("pos").alias("gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("k")).join(gone, "k", "left")

@@ -314,3 +314,14 @@ def test_minimum_cut_is_minimal():
         cost = lambda keep: sum(max(0, html.score(b)) if not k else max(0, -html.score(b)) for b, k in zip(found, keep, strict=True)) + sum(html.smoothness(found[i], found[j]) for i, j in pairs if keep[i] != keep[j])  # noqa: B023, E731
         best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
         assert abs(cost(html.content(found)) - best) < 1e-6
+
+
+def test_small_join_beyond_its_bound(spark):
+    """The salted way gives what the broadcast one gives."""
+    from graphlens.llm.common import join_small
+
+    big = spark.range(1000).withColumn("k", F.col("id") % 7)
+    small = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "k long, v string")
+    for how in ("inner", "left_semi"):
+        want = sorted(tuple(r) for r in join_small(big, small, ["k"], how).collect())
+        assert sorted(tuple(r) for r in join_small(big, small, ["k"], how, max_rows=2).select(*big.join(small, ["k"], how).columns).collect()) == want
