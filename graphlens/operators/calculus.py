@@ -41,7 +41,7 @@ def dedupe(evidence: DataFrame) -> DataFrame:
     """One row of each (slot, kind, callback, site or -1, sorted nodes): the strongest match, then
     the highest weight, then the smallest extractor."""
     key = ["slot", "kind", "callback", "_site", "_nodes"]
-    rows = evidence.withColumn("_site", F.coalesce("site", F.lit(-1))).withColumn("_nodes", F.array_sort("nodes"))
+    rows = evidence.withColumn("_site", F.coalesce(F.col("site").cast("string"), F.lit("-1"))).withColumn("_nodes", F.array_sort("nodes"))
     order = Window.partitionBy(*key).orderBy(lookup("match", MATCH_RANK, -1).desc(), F.desc("weight"), "extractor")
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_site", "_nodes")
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from graphlens.session import checkpointed
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, stop: DataFrame | None = None) -> DataFrame:
-    """node, depth, parent, kind: breadth-first search from the seeds (column id; column ord, if any).
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, stop: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """node, depth, parent, kind (and ``by``): breadth-first search from the seeds (column id; column
+    ord, if any). With ``by``, a column of the seeds, each of its values is a search of its own.
 
     A node is visited once, at its least depth; among several ways in, the one of the parent that
     was found first, then of the smallest (rank, ord) of the edge wins, as in a first-in-first-out
@@ -21,22 +22,26 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, stop: DataFrame | No
     edges = edges.select("src", "dst", "kind", "rank", F.col("ord").alias("eord"))
     if stop is not None:
         edges = edges.join(stop.select(F.col("id").alias("src")), "src", "left_anti")
+    edges = checkpointed(edges)
     start = seeds if "ord" in seeds.columns else seeds.withColumn("ord", F.lit(0).cast("long"))
+    start = start.withColumn("_by", F.col(by) if by else F.lit(0))
     key = start.schema["id"].dataType
-    front = start.groupBy(F.col("id").alias("node")).agg(F.min("ord").alias("o"))
-    front = front.select("node", F.lit(0).alias("depth"), F.lit(None).cast(key).alias("parent"), F.lit("").alias("kind"), F.array(F.struct(F.lit(0).alias("rank"), F.col("o").cast("long").alias("eord"))).alias("found"))
+    front = start.groupBy("_by", F.col("id").alias("node")).agg(F.min("ord").alias("o"))
+    front = front.select("_by", "node", F.lit(0).alias("depth"), F.lit(None).cast(key).alias("parent"), F.lit("").alias("kind"), F.array(F.struct(F.lit(0).alias("rank"), F.col("o").cast("long").alias("eord"))).alias("found"))
     front = checkpointed(front)
     seen = front
     for depth in range(1, max_depth + 1):
         # ``found`` is the order of discovery: the parent's, then the edge's.
-        step = front.join(edges, front["node"] == edges["src"]).select("dst", F.col("node").alias("parent"), edges["kind"].alias("kind"), F.concat("found", F.array(F.struct("rank", F.col("eord").cast("long").alias("eord")))).alias("found"))
-        new = step.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("found", "parent", "kind")).alias("w"))
-        new = new.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "w.parent", "w.kind", "w.found")
+        step = front.select("_by", "node", "found").join(edges, F.col("node") == F.col("src"))
+        step = step.select("_by", "dst", F.col("node").alias("parent"), edges["kind"].alias("kind"), F.concat("found", F.array(F.struct("rank", F.col("eord").cast("long").alias("eord")))).alias("found"))
+        new = step.groupBy("_by", F.col("dst").alias("node")).agg(F.min(F.struct("found", "parent", "kind")).alias("w"))
+        new = new.join(seen.select("_by", "node"), ["_by", "node"], "left_anti").select("_by", "node", F.lit(depth).alias("depth"), "w.parent", "w.kind", "w.found")
         front = checkpointed(new)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return seen.drop("found")
+    seen = seen.drop("found")
+    return seen.withColumnRenamed("_by", by) if by else seen.drop("_by")
 
 
 def distances(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:

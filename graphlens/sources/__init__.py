@@ -1 +1 @@
-"""Sources."""
+"""Readers and writers."""
