@@ -164,3 +164,71 @@ def f20(spark, d):
 @query("f01_evidence", "SELECT * FROM (VALUES ('checked_profile', 'csChargingProfiles.chargingSchedule', 'memcpy', 'MEMORY_UNSAFE_OPERATION', 'schedule', 'SCP_CHARGING_SCHEDULE_NOT_NULL,SCP_PROFILE_LENGTH_BOUND'), ('checked_profile', 'csChargingProfiles.chargingSchedule.length', 'memcpy', 'MEMORY_UNSAFE_OPERATION', 'schedule_length', ''), ('firmware', 'location', 'system', 'COMMAND_EXECUTION', 'firmware_url', 'HOST_ALLOWLIST,SAFE_DOWNLOAD_API_NO_SHELL,SIGNATURE_VERIFICATION,URL_SCHEME_VALIDATION')) t(doc, field, api, domain, variable, missing)")
 def f01(spark, d):
     return run(spark, "firmware", "checked_profile").packages.select("doc", "field", "api", "domain", "variable", F.array_join("missing", ",").alias("missing"))
+
+
+def guarded_copy() -> Builder:
+    """A function with a loop, a guard with both branches, a subscript and a copy."""
+    b = Builder()
+    b.file("main.c")
+
+    def local(name, type_):
+        return lambda: b.node("LOCAL", NAME=name, CODE=f"{type_} {name}", TYPE_FULL_NAME=type_)
+
+    def loop():
+        test = b.op("lessThan", b.ident("i"), b.lit("10"))
+        start, step = b.assign(b.ident("i"), b.lit("0")), b.op("postIncrement", b.ident("i"))
+        body = b.block(b.assign(b.index(b.ident("buf"), b.ident("i")), b.ident("n")))
+        c = b.node("CONTROL_STRUCTURE", CONTROL_STRUCTURE_TYPE="FOR", CODE="for (...)")
+        for x in (start, test, step, body):
+            b.edge("AST", c, x)
+        return c
+
+    def branch():
+        c = b.node("CONTROL_STRUCTURE", CONTROL_STRUCTURE_TYPE="IF", CODE="if (n < 8)")
+        other = b.node("CONTROL_STRUCTURE", CONTROL_STRUCTURE_TYPE="ELSE", CODE="else")
+        b.edge("AST", other, b.block(b.assign(b.ident("n"), b.lit("1"))))
+        for x in (b.op("lessThan", b.ident("n"), b.lit("8")), b.block(b.call("memcpy", b.ident("buf"), b.ident("src"), b.ident("n"))), other):
+            b.edge("AST", c, x)
+        return c
+
+    b.define("copy_bad", "src n", local("buf", "char[16]"), local("i", "int"), loop, branch, lambda: b.call("finish", b.ident("buf")))
+    return b
+
+
+def guarded(spark: SparkSession):
+    from graphlens.operators import cstatements, template
+
+    doc = spark.createDataFrame([("guarded", guarded_copy().json())], "doc string, json string").select("doc", F.try_parse_json("json").alias("v"))
+    nodes, edges = graphson.load(doc)
+    tree = template.convert(nodes, edges)
+    return tree, cstatements.Functions(tree, template.functions(tree))
+
+
+@query("t01_template", "SELECT * FROM (VALUES ('AssignmentExpression', 3::BIGINT), ('ArrayDeclaration', 1), ('ArraySubscriptExpression', 1), ('BinaryExpression', 2), ('CompoundStatement', 4), ('ForStatement', 1), ('FunctionDefinition', 1), ('Identifier', 12), ('IfStatement', 1), ('Literal', 4), ('ParameterDeclaration', 2), ('ParameterList', 3), ('StandardLibCall', 1), ('UnaryExpression', 1), ('UserDefinedCall', 1), ('VariableDeclaration', 1)) t(node_type, n)")
+def t01(spark, d):
+    return guarded(spark)[0].groupBy("node_type").agg(F.count("*").alias("n"))
+
+
+@query("a03_statements", "SELECT * FROM (VALUES (0, 'FunctionEntry', NULL), (1, 'ParameterDeclaration', 0), (2, 'ParameterDeclaration', 0), (3, 'ArrayDeclaration', 0), (4, 'VariableDeclaration', 0), (5, 'ForStatement', 0), (6, 'AssignmentExpression', 5), (7, 'IfStatement', 0), (8, 'StandardLibCall', 7), (9, 'AssignmentExpression', 7), (10, 'UserDefinedCall', 0)) t(sid, node_type, parent_sid)")
+def a03(spark, d):
+    return guarded(spark)[1].statements.select("sid", "node_type", "parent_sid")
+
+
+@query("a05_statement_edges", "SELECT * FROM (VALUES ('guard', 5, 6, 2), ('guard', 7, 8, 0), ('guard', 7, 9, 1), ('order', 1, 2, NULL), ('order', 3, 4, NULL), ('order', 4, 5, NULL), ('order', 5, 7, NULL), ('order', 7, 10, NULL)) t(kind, src, dst, branch)")
+def a05(spark, d):
+    f = guarded(spark)[1]
+    order = f.order_edges().select(F.lit("order").alias("kind"), "src", "dst", F.lit(None).cast("int").alias("branch"))
+    return order.unionByName(f.guard_edges().select(F.lit("guard").alias("kind"), "src", "dst", F.col("branch").cast("int")))
+
+
+@query("d01_program", "SELECT * FROM (VALUES (0, 6, 'n', 'value'), (0, 8, 'n', 'size'), (0, 8, 'src', 'value'), (3, 6, 'buf', 'base'), (4, 6, 'i', 'index'), (6, 8, 'buf', 'base'), (8, 10, 'buf', 'value')) t(src, dst, var, flow)")
+def d01(spark, d):
+    return guarded(spark)[1].def_use().select("src", "dst", "var", "flow")
+
+
+@query("d26_records", "SELECT 'copy_bad' AS function_name, 1 AS label, 11 AS n_nodes, 7 AS n_flow")
+def d26(spark, d):
+    from graphlens.operators import cstatements
+
+    out = cstatements.training_records(guarded(spark)[1], with_label=True)
+    return out.select("function_name", "label", F.size("nodes").alias("n_nodes"), F.size("edges_dfg").alias("n_flow"))
