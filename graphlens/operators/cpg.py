@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.text import strip_quotes
 from graphlens.operators import graph
-from graphlens.session import checkpointed
+from graphlens.session import settled as checkpointed
 
 ASSIGN = "<operator>.assignment"
 FIELD_ACCESS = ("<operator>.fieldAccess", "<operator>.indirectFieldAccess")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import cached_property
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.knowledge import API_SLOTS, BOUNDED_SINKS, CALL_CATEGORY, UNBOUNDED_SINKS
 from graphlens.functions.text import array_size
 from graphlens.operators import dataflow, graph, statements
 from graphlens.operators.calculus import lookup
-from graphlens.session import checkpointed
+from graphlens.session import settled as checkpointed
 
 # The node types that are statements of a function.
 KEEP = """VariableDeclaration ArrayDeclaration PointerDeclaration AssignmentExpression IfStatement ForStatement WhileStatement
@@ -104,6 +106,7 @@ class Functions:
             F.when(is_call, lookup(low, CALL_CATEGORY, 0)).otherwise(0).alias("call_sem_cat_id"), one(is_call & low.isin(*UNBOUNDED_SINKS)).alias("call_flag_danger_unbounded"),
         )
 
+    @cached_property
     def identifiers(self) -> DataFrame:
         """fn, stmt, node, var, at, depth: identifiers below each statement, each with the nearest
         statement it belongs to; sizeof operands do not count."""
@@ -112,6 +115,7 @@ class Functions:
         sized = graph.owner(self.tree, self.links, F.col("node_type") == "SizeOfExpression").where(F.col("owner").isNotNull()).select("id")
         return checkpointed(self.tree.where("node_type = 'Identifier'").join(near, "id").join(sized, "id", "left_anti").where(F.col("stmt").isNotNull()).select("fn", "stmt", F.col("id").alias("node"), F.col("name").alias("var"), "path"))
 
+    @cached_property
     def mentions(self) -> DataFrame:
         """fn, sid, phase, var, is_def, flow: definitions and uses in the order in which a statement
         makes them. Parameters are defined at the entry. In an assignment the first operand's first
@@ -119,21 +123,24 @@ class Functions:
         the rest are values; in a call the target slot is a base and is defined, the size slot a size.
         Conditions make no use."""
         sid = self.statements.where("rank = 2").select(F.col("id").alias("stmt"), "sid", "node_type", F.col("path").alias("s_path"), F.col("name").alias("callee"))
-        ids = self.identifiers().join(sid, "stmt").where(~F.col("node_type").isin(*CONTROLS))
+        ids = self.identifiers.join(sid, "stmt").where(~F.col("node_type").isin(*CONTROLS))
         up = graph.owner(self.tree, self.links, F.col("node_type") == "ArraySubscriptExpression").where(F.col("owner").isNotNull()).select(F.col("id").alias("node"), F.col("owner").alias("sub"))
         subs = self.tree.select(F.col("id").alias("sub"), F.col("path").alias("sub_path"))
         ids = ids.join(up, "node", "left").join(subs, "sub", "left")
         place = lambda path, n: F.try_element_at("path", F.size(path) + n)
         operand = place("s_path", 1)
-        arg = F.when(F.col("node_type").isin("StandardLibCall", "UserDefinedCall"), operand - 1)
         index = F.coalesce(place("sub_path", 1) > 1, F.lit(False))
-        slot = lambda k: F.coalesce(F.create_map(*[F.lit(x) for n, v in API_SLOTS.items() for x in (n, v[k])])[F.lower("callee")], F.lit(-1))
-        assign = F.col("node_type") == "AssignmentExpression"
-        lhs = assign & (operand == 1)
-        flow = F.when(index, "index").when(lhs, "base").when(arg == slot(1), "size").when(arg == slot(0), "base").otherwise("value")
-        rows = checkpointed(ids.withColumn("lhs", lhs).withColumn("dst", F.coalesce((arg == slot(0)) & ~index, F.lit(False))).withColumn("index", index).withColumn("flow", flow))
-        part = lambda df, phase, is_def, f: df.select("fn", "sid", F.lit(phase).alias("phase"), "var", F.lit(is_def).alias("is_def"), f.alias("flow"))
+        # Written here, as the optimizer's constraints grow fast over the names below.
+        ids = checkpointed(ids.select("fn", "sid", "node_type", F.lower("callee").alias("api"), "var", "sub", operand.alias("operand"), index.alias("index")))
+        slots = self.tree.sparkSession.createDataFrame([(n, d, z) for n, (d, z) in API_SLOTS.items()], "api string, dst_slot int, size_slot int")
         call = F.col("node_type").isin("StandardLibCall", "UserDefinedCall")
+        lhs = (F.col("node_type") == "AssignmentExpression") & (F.col("operand") == 1)
+        at = lambda slot: call & (F.col("operand") - 1 == F.col(slot))
+        flow = F.when(F.col("index"), "index").when(lhs, "base").when(at("size_slot"), "size").when(at("dst_slot"), "base").otherwise("value")
+        writes_to = F.coalesce(at("dst_slot") & ~F.col("index"), F.lit(False))
+        rows = ids.join(F.broadcast(slots), "api", "left").select("fn", "sid", "var", "node_type", lhs.alias("lhs"), "index", "sub", writes_to.alias("dst"), flow.alias("flow"))
+        rows = checkpointed(rows)
+        part = lambda df, phase, is_def, f: df.select("fn", "sid", F.lit(phase).alias("phase"), "var", F.lit(is_def).alias("is_def"), f.alias("flow"))
         own = F.col("lhs") & ~F.col("index")
         entry = self.statements.where("rank = 1").select("fn", F.lit(0).cast("int").alias("sid"), F.lit(0).alias("phase"), F.col("name").alias("var"), F.lit(True).alias("is_def"), F.lit("value").alias("flow"))
         decl = self.statements.where(F.col("node_type").isin("VariableDeclaration", "ArrayDeclaration", "PointerDeclaration")).select("fn", "sid", F.lit(5).alias("phase"), F.col("name").alias("var"), F.lit(True).alias("is_def"), F.lit("value").alias("flow"))
@@ -148,16 +155,17 @@ class Functions:
             out = out.unionByName(df)
         return checkpointed(out.where(F.col("var").isNotNull() & (F.col("var") != "NULL")).distinct())
 
+    @cached_property
     def def_use(self) -> DataFrame:
         """fn, src, dst, var, flow, flow_id: one edge for each pair, variable and role."""
-        e = dataflow.def_use(self.mentions(), extra=("flow",)).distinct()
-        return e.withColumn("flow_id", dataflow.flow_id("flow"))
+        e = dataflow.def_use(self.mentions, extra=("flow",)).distinct()
+        return checkpointed(e.withColumn("flow_id", dataflow.flow_id("flow")))
 
     def flow_nodes(self) -> DataFrame:
         """fn, sid, in_degree, out_degree, def_count, use_count, def_vars, use_vars, sinks."""
         base = self.statements.select("fn", "sid", "node_type", "name")
         calls = base.where(F.col("node_type").isin("StandardLibCall", "UserDefinedCall")).select("fn", "sid", "name")
-        out = base.select("fn", "sid").join(dataflow.degrees(self.def_use()), ["fn", "sid"], "left").join(dataflow.variables(self.mentions()), ["fn", "sid"], "left").join(dataflow.sink_flags(calls, UNBOUNDED_SINKS, BOUNDED_SINKS), ["fn", "sid"], "left")
+        out = base.select("fn", "sid").join(dataflow.degrees(self.def_use), ["fn", "sid"], "left").join(dataflow.variables(self.mentions), ["fn", "sid"], "left").join(dataflow.sink_flags(calls, UNBOUNDED_SINKS, BOUNDED_SINKS), ["fn", "sid"], "left")
         return out.fillna(0)
 
 
@@ -165,6 +173,6 @@ def training_records(fns: Functions, with_label: bool = False) -> DataFrame:
     """One row for each function: name, statements and edges as arrays, and a label from the name on demand."""
     nodes = fns.features().groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("sid", "node_type", "code", "node_type_id"))).alias("nodes"))
     pairs = lambda df, n: df.groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias(n))
-    flow = fns.def_use().groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "var", "flow_id"))).alias("edges_dfg"))
+    flow = fns.def_use.groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "var", "flow_id"))).alias("edges_dfg"))
     out = fns.fns.withColumnRenamed("fn_name", "function_name").join(nodes, "fn").join(pairs(fns.parent_edges(), "edges_ast_pc"), "fn", "left").join(pairs(fns.order_edges(), "edges_ast_sb"), "fn", "left").join(flow, "fn", "left")
     return out.withColumn("label", F.when(F.contains(F.lower("function_name"), F.lit("bad")), 1).otherwise(0)) if with_label else out

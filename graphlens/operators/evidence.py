@@ -16,7 +16,7 @@ from graphlens.functions.text import strip_quotes
 from graphlens.operators import graph, handlers, rules, traverse
 from graphlens.operators.calculus import Policy
 from graphlens.operators.cpg import FIELD_ACCESS, Cpg
-from graphlens.session import checkpointed
+from graphlens.session import settled as checkpointed
 
 BUILDERS = ("sprintf", "snprintf", "strcpy", "strcat", "strncpy")
 

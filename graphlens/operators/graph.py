@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlens.session import checkpointed
+from graphlens.session import settled as checkpointed
 
 
 def of_label(edges: DataFrame, *labels: str) -> DataFrame:

@@ -16,7 +16,7 @@ from graphlens.functions.text import strip_quotes, upper_snake
 from graphlens.operators import calculus
 from graphlens.operators.calculus import Policy
 from graphlens.operators.cpg import ARRAY_INIT, ASSIGN, Cpg
-from graphlens.session import checkpointed
+from graphlens.session import settled as checkpointed
 
 COMPARISONS = tuple(f"<operator>.{x}" for x in ("equals", "notEquals", "lessThan", "greaterThan", "lessEqualsThan", "greaterEqualsThan"))
 INDEXING = ("<operator>.indirectIndexAccess", "<operator>.indexAccess")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphlens.functions.knowledge import BOUNDED_SINKS, CALL_CATEGORY, UNBOUNDED_SINKS
 from graphlens.operators import graph
 from graphlens.operators.calculus import lookup
-from graphlens.session import checkpointed
+from graphlens.session import settled as checkpointed
 
 # Operator call -> sign, without the common prefix.
 BINARY = {
@@ -72,6 +72,7 @@ def clean_literal(code: Column) -> Column:
 def convert(nodes: DataFrame, edges: DataFrame, library: tuple[str, ...] = LIBRARY) -> DataFrame:
     """id, doc, parent, path, node_type, name, value, type, size, operator, length, level, storage,
     target, code: the template tree as rows, in pre-order by path within a root."""
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
     tree = graph.forest(edges, "AST").select(F.col("node").alias("id"), "path", "root")
     parent = graph.parents(edges, "AST", last=False)
     kids = parent.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n_children"))

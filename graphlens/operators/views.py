@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.operators.graph import of_label
-from graphlens.session import checkpointed
+from graphlens.session import settled as checkpointed
 
 DEFAULT_VIEWS = {"ast": ("AST",), "cfg": ("CFG",), "dfg": ("REACHING_DEF",), "cg": ("CALL",)}
 # Labels that carry no code of their own.

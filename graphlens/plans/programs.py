@@ -223,7 +223,7 @@ def a05(spark, d):
 
 @query("d01_program", "SELECT * FROM (VALUES (0, 6, 'n', 'value'), (0, 8, 'n', 'size'), (0, 8, 'src', 'value'), (3, 6, 'buf', 'base'), (4, 6, 'i', 'index'), (6, 8, 'buf', 'base'), (8, 10, 'buf', 'value')) t(src, dst, var, flow)")
 def d01(spark, d):
-    return guarded(spark)[1].def_use().select("src", "dst", "var", "flow")
+    return guarded(spark)[1].def_use.select("src", "dst", "var", "flow")
 
 
 @query("d26_records", "SELECT 'copy_bad' AS function_name, 1 AS label, 11 AS n_nodes, 7 AS n_flow")
@@ -232,3 +232,35 @@ def d26(spark, d):
 
     out = cstatements.training_records(guarded(spark)[1], with_label=True)
     return out.select("function_name", "label", F.size("nodes").alias("n_nodes"), F.size("edges_dfg").alias("n_flow"))
+
+
+@query("a21_call_flags", "SELECT * FROM (VALUES (0::BIGINT, 1, 0, 0, 0, 3, 1, 0, 0, 0), (1, 0, 0, 0, 0, 4, 1, 0, 0, 0), (2, 0, 0, 1, 1, 3, 0, 1, 1, 0), (3, 0, 0, 0, 1, 3, 1, 0, 0, 0), (4, 0, 1, 0, 0, 0, 0, 0, 0, 0), (5, 0, 0, 0, 0, 1, 0, 0, 0, 0), (6, 0, 0, 0, 0, 0, 0, 0, 0, 0)) t(call, varargs, unbounded, non_dst, field, kind, linked, base, mismatch, alloc)")
+def a21(spark, d):
+    from graphlens.operators import callflags
+
+    rows = [(0, "snprintf", ["buf", "sizeof(buf)", '"%s"']), (1, "memcpy", ["buf", "src", "sizeof(*buf) * 2"]), (2, "memset", ["s.name", "0", "sizeof(s)"]), (3, "memcpy", ["p->name", "q", "sizeof(p->name)"]), (4, "gets", ["buf"]), (5, "read", ["fd", "buf", "16"]), (6, "malloc", ["n"])]
+    calls = spark.createDataFrame([(i, n) for i, n, _ in rows], "call long, name string")
+    args = spark.createDataFrame([(i, k, c) for i, _, a in rows for k, c in enumerate(a)], "call long, pos int, code string")
+    f = callflags.flags(calls, args)
+    return f.select("call", F.col("has_varargs").alias("varargs"), F.col("danger_unbounded").alias("unbounded"), F.col("sizeof_non_dst").alias("non_dst"), F.col("dst_is_field").alias("field"), F.col("size_kind").alias("kind"), F.col("len_linked_to_dst").alias("linked"), F.col("size_is_base_struct").alias("base"), F.col("size_mismatch_field").alias("mismatch"), (F.col("alloc_sizeof_state") == 2).cast("int").alias("alloc"))
+
+
+@query("a17_calls_in_tree", "SELECT 'first' AS what, 'memcpy' AS name, 1::BIGINT AS n UNION ALL SELECT 'args', 'memcpy', 3 UNION ALL SELECT 'args', 'finish', 1 UNION ALL SELECT 'inside', 'memcpy', 5 UNION ALL SELECT 'inside', 'finish', 3 UNION ALL SELECT 'conditions', NULL, 2")
+def a17(spark, d):
+    from graphlens.operators import callflags
+
+    tree = guarded(spark)[0]
+    name = tree.select(F.col("id").alias("call"), "name")
+    say = lambda what, df: df.join(name, "call").groupBy("name").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "name", "n")
+    first = say("first", callflags.first_calls(tree, tree.where("node_type = 'IfStatement'")))
+    inside = say("inside", callflags.nearest_call(tree).where(F.col("call").isNotNull()))
+    conds = callflags.condition_of(tree).agg(F.count("*").alias("n")).select(F.lit("conditions").alias("what"), F.lit(None).cast("string").alias("name"), "n")
+    return first.unionByName(say("args", callflags.call_arguments(tree).select("call"))).unionByName(inside).unionByName(conds)
+
+
+@query("e08_evaluation", "SELECT * FROM (VALUES ('total', NULL, 28::BIGINT), ('status', 'RESOLVED', 5), ('status', 'AMBIGUOUS', 1), ('status', 'UNRESOLVED', 22), ('tier', 'UNKNOWN', 21), ('tier', 'POLICY', 1), ('tier', 'POTENTIALLY_SUPPORTABLE', 1), ('tier', NULL, 5)) t(name, value, n)")
+def e08(spark, d):
+    from graphlens import jobs
+
+    nodes, edges = graphson.load(documents(spark))
+    return jobs.evaluation(nodes, edges, KnowledgeBase(spark))["histograms"].where("name <> 'reason'")

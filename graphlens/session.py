@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 #: A side with at most this many rows may be broadcast.
 MAX_BROADCAST_ROWS = 200_000
@@ -29,6 +30,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint whose inferred size and constraints are forgotten as well. In a long chain of
+    checkpoints both grow with every join, the size as a product, until the optimizer's rules that
+    read them take longer than the work itself."""
+    spark, done = df.sparkSession, checkpointed(df)
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+
+
 def small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows that it is small."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

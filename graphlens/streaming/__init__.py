@@ -1 +1 @@
-"""Streaming."""
+"""Structured Streaming entry points."""
