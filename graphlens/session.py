@@ -23,7 +23,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
-            if not (sc.master or "").startswith("local["):
+            if sc.master != "local" and not (sc.master or "").startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="graphlens-checkpoint-")
         sc.setCheckpointDir(folder)
