@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.knowledge import API_SLOTS, BOUNDED_SINKS, CALL_CATEGORY, UNBOUNDED_SINKS
-from graphlens.functions.text import array_size
+from graphlens.functions.text import array_size, case_int, case_label
 from graphlens.operators import dataflow, graph, statements
 from graphlens.operators.calculus import lookup
 from graphlens.session import settled as checkpointed
@@ -83,7 +83,11 @@ class Functions:
         inner = self.statements.where(F.col("above").isNotNull())
         kinds = self.statements.select(F.col("id").alias("above"), F.col("node_type").alias("control_type"))
         rows = inner.join(kinds, "above").where(F.col("control_type").isin(*CONTROLS))
-        branch = F.when(F.col("control_type") == "IfStatement", F.col("branch")).when(F.col("control_type") == "SwitchStatement", F.dense_rank().over(Window.partitionBy("fn", "parent_sid").orderBy("scope")) - 1).otherwise(2)
+        labels = self.tree.where(F.col("node_type").isin("CaseLabel", "DefaultLabel")).select(F.col("id").alias("scope"), case_int(case_label("code")).alias("number"), F.col("path").alias("label_path"))
+        rows = rows.join(labels, "scope", "left")
+        # A label that is no number gets a place among the other such labels of its switch.
+        place = F.dense_rank().over(Window.partitionBy("fn", "parent_sid", F.col("number").isNull()).orderBy("label_path")) - 1
+        branch = F.when(F.col("control_type") == "IfStatement", F.col("branch")).when(F.col("control_type") == "SwitchStatement", F.coalesce("number", place)).otherwise(2)
         blocks = rows.select("fn", F.col("parent_sid").alias("control"), branch.alias("branch"), "sid", "path", lookup("control_type", statements.GUARD_KIND).alias("kind"))
         kind = blocks.select("fn", F.col("control").alias("src"), "kind").distinct()
         return statements.guard_edges(blocks).join(kind, ["fn", "src"])
