@@ -1,0 +1,165 @@
+"""Near duplicates by the Jaccard similarity of five-word shingles: every pair at 0.8 or more is linked.
+
+Candidates come from prefix filtering, which misses no pair: if all shingles are put in one order,
+two sets of that similarity share one of the first n - ceil(0.8 n) + 1 of each. Frequent shingles
+of a sample go last in that order, which changes only how many candidates there are. Candidates
+are checked on the shingles themselves (as 64-bit hashes), in two passes: first each set with the
+smallest one it shares a shingle of the prefix with, which joins a large group of near copies
+without listing its pairs; then all pairs that the links so far have not joined.
+
+Texts without words count as equal to each other; a text of fewer words than a shingle is one
+shingle. Rows with the same shingles are one set. Rows without an id belong to groups, but an id of
+null is never the smallest unless all are null.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from graphlens.llm.common import checkpointed, join_small, row_key
+from graphlens.llm.components import components
+from graphlens.llm.simhash import SEED, _LOWER
+from graphlens.session import small
+
+WIDTH = 5
+#: The least similarity, as a fraction, so that it is compared in whole numbers.
+NUM, DEN = 4, 5
+#: Sets in the sample that finds frequent shingles, and the share of it that makes one frequent.
+SAMPLE, FREQUENT = 20_000, 1000
+#: A shingle of more sets than this is joined on its own, by broadcast if such shingles are few.
+HOT = 1000
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles of a whole text as sorted hashes."""
+    words = (text or "").encode().translate(_LOWER).split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    parts = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter((digest(s, SEED) for s in parts), dtype=np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    if min(len(a), len(b)) * DEN < max(len(a), len(b)) * NUM:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * DEN >= NUM * (len(a) + len(b) - both)
+
+
+def _prefix(s: np.ndarray, late: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles in the common order; ``late`` (sorted) come last, by ``rank``."""
+    n = len(s) - -(-len(s) * NUM // DEN) + 1 if len(s) else 0
+    if not len(late) or not n:
+        return s[:n]
+    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
+    last = late[at] == s
+    early = s[~last]
+    if len(early) >= n:
+        return early[:n]
+    behind = s[last][np.argsort(rank[at[last]], kind="stable")]
+    return np.concatenate([early, behind])[:n]
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def shingles_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: shingles(t).view(np.int64))
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of bounded size, sorted, and their rank by frequency."""
+    n = docs.count()
+    texts = docs.select("text").where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(max(n, 1))) < SAMPLE).limit(2 * SAMPLE)
+    least = max(20, min(n, SAMPLE) // FREQUENT)
+    found = texts.select(F.explode(shingles_udf("text")).alias("t")).groupBy("t").count().where(F.col("count") >= least).toPandas()
+    token, count = found["t"].to_numpy(dtype=np.int64).view(np.uint64), found["count"].to_numpy(dtype=np.int64)
+    order = np.argsort(token)
+    token, count = token[order], count[order]
+    rank = np.empty(len(token), dtype=np.int64)
+    rank[np.lexsort((token, count))] = np.arange(len(token))
+    return token, rank
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """k (row_key), doc_id, sid (the id of its set of shingles), toks (the prefix)."""
+    late, rank = _frequent(docs)
+
+    @F.pandas_udf("sid long, toks array<long>")
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t) for t in texts]
+        ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"sid": ids, "toks": [_prefix(s, late, rank).view(np.int64) for s in sets]})
+
+    return docs.select(row_key().alias("k"), "doc_id", sign("text").alias("s")).select("k", "doc_id", "s.sid", "s.toks")
+
+
+def _verified(pairs: DataFrame, texts_of) -> DataFrame:
+    """The pairs a, b that are similar."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    texts = checkpointed(texts_of(ends))
+    full = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            seen = {}
+            of = lambda s, t: seen[s] if s in seen else seen.setdefault(s, shingles(t))  # noqa: B023, E731
+            good = [similar(of(a, x), of(b, y)) for a, b, x, y in zip(d["a"], d["b"], d["ta"], d["tb"], strict=True)]
+            yield d.loc[np.array(good, dtype=bool), ["a", "b"]]
+
+    return checkpointed(full.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long"))
+
+
+def links(rows: DataFrame, texts_of) -> DataFrame:
+    """Rows sid, toks, where a set may repeat -> edges a, b that connect all pairs at the least similarity."""
+    tokens = rows.select("sid", F.explode("toks").alias("tok"))
+    heads = tokens.groupBy("tok").agg(F.min("sid").alias("head"), F.max("sid").alias("last"), F.count("*").alias("n"))
+    heads = checkpointed(heads.where(F.col("head") != F.col("last")).drop("last"))
+    few = small(heads.where(F.col("n") > HOT).select("tok"))
+    cold = tokens.join(few, "tok", "left_anti").join(small(heads.where(F.col("n") <= HOT)), "tok")
+    hot = join_small(tokens, heads.where(F.col("n") > HOT), ["tok"])
+    shared = checkpointed(cold.select("tok", "sid", "head").unionByName(hot.select("tok", "sid", "head")).distinct())
+    star = checkpointed(shared.where(F.col("head") != F.col("sid")).select(F.col("head").alias("a"), F.col("sid").alias("b")).distinct())
+    first = _verified(star, texts_of)
+    roots = components(first)
+    named = shared.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "sid", F.coalesce("root", "sid").alias("root"))
+    # A shingle whose sets are all joined by now has no pair left.
+    open_ = named.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("tok")
+    named = checkpointed(named.join(open_, "tok", "left_semi"))
+    x, y = (named.select("tok", F.col("sid").alias(s), F.col("root").alias(f"r{s}")) for s in "ab")
+    rest = x.join(y, "tok").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct()
+    rest = checkpointed(rest.join(star, ["a", "b"], "left_anti"))
+    return first.unionByName(_verified(rest, texts_of))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """k (row_key), doc_id, sid, and keep: the k of the one row that stands for its group."""
+    rows = checkpointed(signed(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("first")
+    sets = checkpointed(rows.groupBy("sid").agg(first))
+    keyed = docs.select(row_key().alias("k"), "text")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        want = small(sets.join(ids, "sid", "left_semi").select("sid", F.col("first.k").alias("k")))
+        return keyed.join(want, "k").select("sid", "text").dropDuplicates(["sid"])
+
+    roots = components(links(rows.select("sid", "toks"), texts_of))
+    named = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "first")
+    heads = named.groupBy("root").agg(F.min("first").alias("head"))
+    groups = named.select("sid", "root").join(heads, "root").select("sid", F.col("head.k").alias("keep"))
+    return rows.drop("toks").join(groups, "sid")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each group: the one with the smallest id, equal rows counting as one."""
+    heads = near_duplicates(docs).select(F.col("keep").alias("k")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("k"))
+    return rows.join(heads, "k", "left_semi").dropDuplicates(["k"]).select("row.*")

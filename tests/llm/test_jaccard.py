@@ -1,0 +1,45 @@
+"""The near-dedup stage against all pairs in plain Python."""
+
+import pytest
+
+import corpus_pipeline
+from graphlens.llm import jaccard
+from tests.conftest import SF
+from tests.llm.test_corpus import brute_components
+
+
+def plain(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near(a, b):
+    return not (a or b) or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def survivors(rows):
+    roots = brute_components([plain(t) for _, t in rows], near)
+    least = {}
+    for (i, _), r in zip(rows, roots, strict=True):
+        least[r] = min(least.get(r, i), i)
+    return sorted(least.values())
+
+
+def test_stage_drops_what_all_pairs_link(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = survivors(rows)
+    assert len(want) < len({t for _, t in rows})
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == want
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_chains_frequent_shingles_and_the_bound(spark, hot, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    base = [f"w{i}" for i in range(94)]  # 90 shingles
+    rows = [(0, ""), (1, None), (2, "one two"), (3, "One  two")]
+    rows += [(10 + i, " ".join(base[i * 9 :] + [f"x{j}" for j in range(i * 9)])) for i in range(6)]  # a chain: each link 81 of 99
+    rows += [(20, " ".join(f"v{i}" for i in range(85))), (21, " ".join(f"v{i}" for i in range(69))), (22, " ".join(f"v{i}" for i in range(68)))]
+    rows += [(30 + i, " ".join([f"p{j}" for j in range(40)] + [f"u{i}.{j}" for j in range(8 + i)])) for i in range(30)]  # shared passage
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in jaccard.drop_near_duplicates(df).collect()) == survivors(rows)
