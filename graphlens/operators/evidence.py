@@ -16,6 +16,7 @@ from graphlens.functions.text import strip_quotes
 from graphlens.operators import graph, handlers, rules, traverse
 from graphlens.operators.calculus import Policy
 from graphlens.operators.cpg import FIELD_ACCESS, Cpg
+from graphlens.session import rounds
 from graphlens.session import settled as checkpointed
 
 BUILDERS = ("sprintf", "snprintf", "strcpy", "strcat", "strncpy")
@@ -151,18 +152,20 @@ def operation(kind: Column, label: Column, name: Column) -> Column:
     return F.when(kind == "", "source_binding").when(kind.startswith("argument_pass") | kind.startswith("return_value"), kind).when((label == "CALL") & F.lower(name).isin(*BUILDERS), F.concat(F.lit("string_build:"), name))
 
 
-def flow_steps(g: Cpg, visits: DataFrame, sinks: DataFrame, max_depth: int) -> DataFrame:
+def flow_steps(g: Cpg, visits: DataFrame, sinks: DataFrame, max_depth: int | None = None) -> DataFrame:
     """run, call, step, function, line, operation: the way from the source to each sink, told once
     for a place, with the sink last."""
     links = checkpointed(visits.select("run", "node", "parent", "depth", "kind"))
     at = sinks.select("run", "call", F.col("arg").alias("node")).join(links, ["run", "node"]).select("run", "call", "node", "parent", "depth", "kind")
     out = at = checkpointed(at)
-    for _ in range(max_depth):
+    for depth in rounds(max_depth):
         at = at.where(F.col("parent").isNotNull()).select("run", "call", F.col("parent").alias("node")).join(links, ["run", "node"]).select("run", "call", "node", "parent", "depth", "kind")
         at = checkpointed(at)
         if at.isEmpty():
             break
         out = out.unionByName(at)
+        if depth % 16 == 0:
+            out = checkpointed(out)
     where = lambda df, c: df.join(g.ids(c, "label", "name", "line"), c).join(g.method_of.select(F.col("id").alias(c), "owner"), c, "left").join(g.ids("owner", "name"), "owner", "left")
     told = where(out, "node").select("run", "call", F.col("depth").alias("pos"), F.coalesce("owner_name", F.lit("")).alias("function"), F.col("node_line").alias("line"), operation(F.col("kind"), F.col("node_label"), F.col("node_name")).alias("operation")).where(F.col("operation").isNotNull())
     last = where(sinks.select("run", "call").distinct().withColumn("node", F.col("call")), "node").select("run", "call", F.lit(1 << 30).alias("pos"), F.coalesce("owner_name", F.lit("")).alias("function"), F.col("node_line").alias("line"), F.concat(F.lit("sink:"), "node_name").alias("operation"))
@@ -170,7 +173,7 @@ def flow_steps(g: Cpg, visits: DataFrame, sinks: DataFrame, max_depth: int) -> D
     return traverse.collapse_steps(steps, "key", "pos", "function", "line", "operation").drop("pos", "key")
 
 
-def analyze(nodes: DataFrame, edges: DataFrame, kb: KnowledgeBase, policy: Policy = Policy(), max_depth: int = 64, cascade: bool = False) -> Result:
+def analyze(nodes: DataFrame, edges: DataFrame, kb: KnowledgeBase, policy: Policy = Policy(), max_depth: int | None = None, cascade: bool = False) -> Result:
     """All steps over all documents."""
     g = Cpg(nodes, edges)
     evidence, candidates, resolutions = handlers.resolve(g, kb, policy, cascade)

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlens.session import rounds
 from graphlens.session import settled as checkpointed
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, stop: DataFrame | None = None, by: str | None = None) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, stop: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """node, depth, parent, kind (and ``by``): breadth-first search from the seeds (column id; column
     ord, if any). With ``by``, a column of the seeds, each of its values is a search of its own.
 
     A node is visited once, at its least depth; among several ways in, the one of the parent that
     was found first, then of the smallest (rank, ord) of the edge wins, as in a first-in-first-out
     queue. Edges have src, dst and may have kind, rank and ord. Nodes in ``stop`` (column id) are
-    visited but not left."""
+    visited but not left. The search ends where nothing new is found, or at ``max_depth`` if one is given."""
     for name, value in (("kind", F.lit("")), ("rank", F.lit(0)), ("ord", F.lit(0).cast("long"))):
         if name not in edges.columns:
             edges = edges.withColumn(name, value)
@@ -30,7 +31,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, stop: DataFrame | No
     front = front.select("_by", "node", F.lit(0).alias("depth"), F.lit(None).cast(key).alias("parent"), F.lit("").alias("kind"), F.array(F.struct(F.lit(0).alias("rank"), F.col("o").cast("long").alias("eord"))).alias("found"))
     front = checkpointed(front)
     seen = front
-    for depth in range(1, max_depth + 1):
+    for depth in rounds(max_depth):
         # ``found`` is the order of discovery: the parent's, then the edge's.
         step = front.select("_by", "node", "found").join(edges, F.col("node") == F.col("src"))
         step = step.select("_by", "dst", F.col("node").alias("parent"), edges["kind"].alias("kind"), F.concat("found", F.array(F.struct("rank", F.col("eord").cast("long").alias("eord")))).alias("found"))
@@ -40,27 +41,31 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, stop: DataFrame | No
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if depth % 16 == 0:
+            seen = checkpointed(seen)
     seen = seen.drop("found")
     return seen.withColumnRenamed("_by", by) if by else seen.drop("_by")
 
 
-def distances(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+def distances(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, depth: least hops from any seed."""
     return bfs(edges, seeds, max_depth).select("node", "depth")
 
 
-def paths(visits: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
+def paths(visits: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """target, pos, node: the way from a seed to each target (column id) along the parents of a
     breadth-first search; pos counts from 0 at the seed."""
     links = checkpointed(visits.select("node", "parent", "depth"))
     at = links.join(targets.select(F.col("id").alias("node")).distinct(), "node").select(F.col("node").alias("target"), F.col("depth").alias("pos"), "node", "parent")
     out = at = checkpointed(at)
-    for _ in range(max_depth):
+    for depth in rounds(max_depth):
         at = at.where(F.col("parent").isNotNull()).select("target", F.col("parent").alias("node")).join(links, "node").select("target", F.col("depth").alias("pos"), "node", "parent")
         at = checkpointed(at)
         if at.isEmpty():
             break
         out = out.unionByName(at)
+        if depth % 16 == 0:
+            out = checkpointed(out)
     return out.select("target", "pos", "node")
 
 

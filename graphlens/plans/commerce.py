@@ -340,14 +340,14 @@ _REACH = f"""WITH RECURSIVE {_handoffs()}, s AS (SELECT min(user_id) AS u FROM e
 @query("f28_taint", _REACH + " SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY node")
 def f28(spark, d):
     seed = table(spark, d, "events").agg(F.min("user_id").alias("id"))
-    return traverse.distances(handoffs(spark, d), seed, 6)
+    return traverse.distances(handoffs(spark, d), seed)
 
 
 @query("f30_path", _REACH + ", m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT node AS target, (depth + 1)::BIGINT AS n_steps FROM m")
 def f30(spark, d):
     seed = table(spark, d, "events").agg(F.min("user_id").alias("id"))
-    seen = traverse.bfs(handoffs(spark, d), seed, 6)
-    return traverse.paths(seen, seen.select(F.col("node").alias("id")), 6).groupBy("target").agg(F.count("*").alias("n_steps"))
+    seen = traverse.bfs(handoffs(spark, d), seed)
+    return traverse.paths(seen, seen.select(F.col("node").alias("id"))).groupBy("target").agg(F.count("*").alias("n_steps"))
 
 
 @query("f16_bounded", "SELECT 'C:' || o_custkey AS root, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size = 7 GROUP BY 1")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,11 @@ def settled(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
+def rounds(bound: int | None = None) -> Iterable[int]:
+    """1, 2, ... for a frontier loop, which ends by itself unless a bound is given."""
+    return itertools.count(1) if bound is None else range(1, bound + 1)
+
+
 def small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows that it is small."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
