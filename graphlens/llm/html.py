@@ -44,7 +44,9 @@ BAD_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising ban
     toolbar topbar widget widgets""".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4000}"|'[^']{0,4000}')*+>|[^>]*(?:>|\Z))""", re.S)
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)""", re.S)
+#: Of a tag, up to its end or through one quoted value.
+_PART = re.compile(r"""[^>"']*+(?:(>)|"[^"]*+"|'[^']*+')""")
 _CUE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/>]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
@@ -55,6 +57,24 @@ _SPACE = re.compile(r"\s+")
 DEPTH = 64
 
 
+def _rest(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag ends whose name ends at ``at``: at the first > outside quoted values, or if there is
+    none, at the first one. ``dead`` holds places after quoted values from which none is found, so
+    that no part of a page is read over and over."""
+    seen, p = [], at
+    while p not in dead:
+        m = _PART.match(page, p)
+        if not m:
+            break
+        p = m.end()
+        if m[1]:
+            return p
+        seen.append(p)
+    dead.update(seen)
+    end = page.find(">", at)
+    return end + 1 if end >= 0 else len(page)
+
+
 class Block:
     """A run of text between block boundaries: its text, link share and elements."""
 
@@ -112,6 +132,7 @@ def blocks(html: str | None) -> list[Block]:
             if scope and stack[i][0] in scope:
                 return
 
+    dead: set[int] = set()
     while at < last:
         m = _MARKUP.search(page, at)
         if not m:
@@ -122,9 +143,10 @@ def blocks(html: str | None) -> list[Block]:
         at = m.end()
         if m[2] is None:
             continue
+        at, attrs = (end := _rest(page, at, dead)), page[m.end() : end]
         name, ends = m[2].lower(), bool(m[1])
         if name in SKIPPED:
-            if not ends and not m[3].endswith("/>"):
+            if not ends and not attrs.endswith("/>"):
                 at = _skip(page, at, name)
             elif ends:
                 continue
@@ -146,7 +168,7 @@ def blocks(html: str | None) -> list[Block]:
                 continue
             number += 1
             was = stack[-1] if stack else ("", 0, 0, 0, False)
-            bad, good = _cues(name, m[3], was[4])
+            bad, good = _cues(name, attrs, was[4])
             stack.append((name, number, was[2] + bad, was[3] + good, was[4] or name in ("article", "main")))
             opened[name] += 1
     flush()
