@@ -2,7 +2,8 @@ import corpus_pipeline
 from graphlens.llm import decontaminate, simhash
 from tests.conftest import SF
 from tests.llm.cases import docs
-from tests.llm.test_corpus import brute_components, folder_of, plain_fingerprint
+from tests.llm.test_corpus import folder_of, plain_fingerprint
+from tests.llm.test_similar import survivors
 
 
 def test_stages_in_turn(spark):
@@ -19,9 +20,7 @@ def test_stages_in_turn(spark):
     assert len(by["toxicity"][1]) < len(by["toxicity"][0])
     assert [r["doc_id"] for r in sorted(by["line dedup"][1], key=lambda r: r["doc_id"])] == sorted(r["doc_id"] for r in by["line dedup"][0])
     before, after = by["near-dedup"]
-    before.sort(key=lambda r: r["doc_id"])
-    roots = brute_components([plain_fingerprint(r["text"]) for r in before], lambda a, b: bin(a ^ b).count("1") <= 2)
-    assert sorted(r["doc_id"] for r in after) == sorted(before[r]["doc_id"] for r in set(roots))
+    assert sorted(r["doc_id"] for r in after) == survivors([(r["doc_id"], r["text"]) for r in before])
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     tables = decontaminate.build(items)
     before, after = by["decontamination"]
