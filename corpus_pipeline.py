@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm import decontaminate, jaccard, line_dedup, mixing, toxicity
+from graphlens.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from graphlens.llm.common import checkpointed, table
 
 
@@ -26,7 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts whose five-word shingles are linked by a Jaccard similarity of 0.8 or more."""
-    return jaccard.drop_near_duplicates(docs)
+    return simhash.drop_similar_texts(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
