@@ -7,7 +7,8 @@ A run whose highest entropy reaches its class's threshold is reported as kind ``
 the allow list knows its make, or a base span overlaps it.
 
 All steps are DataFrame functions, row by row. A null text counts as empty; it has no spans and
-the digest of the empty text. Equal rows get equal spans. Other columns play no part.
+the digest of the empty text. Texts and candidates of any length are read whole, in time that grows
+in proportion. Equal rows get equal spans. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -31,35 +32,56 @@ ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 CANDIDATES = {"hex": r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}+", "base64": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"}
 
-# Makes of strings that are random-looking but no secrets, as expressions over the
-# whole candidate.
+#: The characters of each class, whose places in it number the cells of the counts.
+ALPHABETS = {
+    "hex": "0123456789abcdefABCDEF",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
+}
+
+# Makes of strings that are random-looking but no secrets: expressions over the whole
+# candidate, and stand-ins within it, in lower case.
 ALLOWED = (
-    r"[0-9]+",  # numbers
-    r"[A-Za-z_-]+",  # words, also joined ones
+    r"[0-9]++",  # numbers
+    r"[A-Za-z_-]++",  # words, also joined ones
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # uuids
-    r"(?:[A-Za-z0-9_]{1,12}[/-])+[A-Za-z0-9_]{1,12}",  # paths and slugs of short names
-    r"(?i).*(?:example|sample|placeholder|changeme|lorem|abcdefgh|12345678).*",  # stand-ins
 )
+STAND_INS = ("example", "sample", "placeholder", "changeme", "lorem", "abcdefgh", "12345678")
+#: Paths and slugs are allowed if all their parts are at most so long.
+SHORT_NAME = 12
+
+
+def allowed(text: Column) -> Column:
+    """Whether the allow list knows a candidate's make."""
+    names = F.forall(F.split(text, "[/-]"), lambda part: F.length(part).between(1, SHORT_NAME)) & ~F.contains(text, F.lit("+"))
+    known = (text.rlike("[/-]") & names) | text.rlike("^(?:" + "|".join(ALLOWED) + ")$")
+    for word in STAND_INS:
+        known = known | F.contains(F.lower(text), F.lit(word))
+    return known
+
 
+def window_entropy(text: Column, alphabet: str, width: int = WINDOW) -> Column:
+    """The highest Shannon entropy of ``width`` neighbouring characters of an alphabet, by incremental counts.
 
-def window_entropy(text: Column, width: int = WINDOW) -> Column:
-    """The highest Shannon entropy of ``width`` neighbouring ASCII characters, by incremental counts."""
-    table_ = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(width + 2)])
-    weight = lambda n: F.element_at(table_, n + 1)
-    code = lambda i: F.ascii(F.substring(text, i, F.lit(1)))
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("low"))
+    The counts are a string with a letter for each character of the alphabet; a step writes the letter of
+    the character that enters and that of the one that leaves, and changes the sum by their two terms."""
+    term = lambda n: n * math.log2(n) if n else 0.0
+    gain = F.array(*[F.lit(term(n + 1) - term(n)) for n in range(width + 1)])
+    codes = F.transform(F.split(text, ""), lambda c: F.position(c, F.lit(alphabet)))
+    moves = F.zip_with(codes, F.slice(F.concat(F.array_repeat(F.lit(0), width), codes), F.lit(1), F.length(text)), lambda new, old: F.struct(new.alias("new"), old.alias("old")))
+    zero = F.struct(F.lit(0).alias("i"), F.lit("A" * len(alphabet)).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("low"))
+    count = lambda n, at: F.ascii(F.substring(n, at, F.lit(1))) - ord("A")
+    written = lambda n, at, value: F.overlay(n, F.char(value + ord("A")), at, F.lit(1))
 
-    def step(acc: Column, i: Column) -> Column:
-        new, old = code(i), F.when(i > width, code(i - width)).otherwise(F.lit(-1))
-        had = F.element_at(acc["n"], new + 1)
-        gone = F.when(old >= 0, F.element_at(acc["n"], F.greatest(old, F.lit(0)) + 1)).otherwise(F.lit(0))
-        moved = weight(had + 1) - weight(had) + F.when(old >= 0, weight(gone - 1) - weight(gone)).otherwise(F.lit(0.0))
-        s = acc["s"] + F.when(new == old, F.lit(0.0)).otherwise(moved)
-        n = F.transform(acc["n"], lambda v, j: v + F.when(j == new, 1).otherwise(0) - F.when(j == old, 1).otherwise(0))
-        return F.struct(n.alias("n"), s.alias("s"), F.when(i >= width, F.least(acc["low"], s)).otherwise(acc["low"]).alias("low"))
+    def step(acc: Column, move: Column) -> Column:
+        n, new, old = acc["n"], move["new"], move["old"]
+        had, gone = count(n, new), count(n, old)
+        more, less = F.element_at(gain, had + 1), F.element_at(gain, gone)
+        s = acc["s"] + F.when(old == new, F.lit(0.0)).when(old == 0, more).otherwise(more - less)
+        entered = written(n, new, had + 1)
+        counts = F.when(old == new, n).when(old == 0, entered).otherwise(written(entered, old, gone - 1))
+        return F.struct((acc["i"] + 1).alias("i"), counts.alias("n"), s.alias("s"), F.when(acc["i"] + 1 >= width, F.least(acc["low"], s)).otherwise(acc["low"]).alias("low"))
 
-    low = F.aggregate(F.sequence(F.lit(1), F.length(text)), zero, step, lambda acc: acc["low"])
-    return F.lit(math.log2(width)) - low / width
+    return F.lit(math.log2(width)) - F.aggregate(moves, zero, step, lambda acc: acc["low"]) / width
 
 
 def secrets(docs: DataFrame) -> DataFrame:
@@ -77,8 +99,7 @@ def secrets(docs: DataFrame) -> DataFrame:
 
     def fresh(name: str) -> Column:
         apart = F.filter(f"_{name}_run", lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-        known = lambda c: F.lit(False) if not ALLOWED else c["text"].rlike("^(?:" + "|".join(ALLOWED) + ")$")
-        return F.filter(F.filter(apart, lambda c: ~known(c)), lambda c: window_entropy(c["text"]) >= THRESHOLDS[name])
+        return F.filter(F.filter(apart, lambda c: ~allowed(c["text"])), lambda c: window_entropy(c["text"], ALPHABETS[name]) >= THRESHOLDS[name])
 
     more = F.array_distinct(F.concat(*[spans(fresh(name), "entropy", len(KINDS)) for name in CANDIDATES]))
     return df.select("row", "base", more.alias("more"))

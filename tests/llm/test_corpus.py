@@ -210,7 +210,7 @@ def test_window_entropy_is_exact(spark):
             best = max(best, float(-(p * np.log2(p)).sum()))
         return best
 
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.window_entropy(F.col("t")).alias("e")).collect()
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.window_entropy(F.col("t"), secrets.ALPHABETS["base64"]).alias("e")).collect()
     assert all(abs(r["e"] - plain(r["t"])) < 1e-9 for r in got)
 
 
