@@ -10,12 +10,34 @@ from graphlens.session import MAX_BROADCAST_ROWS, checkpointed, table  # noqa: F
 
 #: Copies of the small side when a join on a hot key is salted.
 SALTS = 32
+#: A side of at most this many bytes of values, and MAX_BROADCAST_ROWS rows, may be broadcast.
+MAX_BROADCAST_BYTES = 32 << 20
+
+
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(column.getField(f.name), f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.StructType | T.ArrayType | T.MapType):
+            return F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(24).cast("long"), lambda acc, x: acc + _bytes(x, kind.elementType))
+        return F.greatest(F.size(column), F.lit(0)).cast("long") * 8 + 24
+    return F.lit(16).cast("long")
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Whether a count of its rows and bytes shows that a table may be broadcast."""
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    n, b = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= max_rows and b <= MAX_BROADCAST_BYTES
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Join with a side that is expected to be small: broadcast it if a count shows that it is,
     else deal out both sides by key and salt, so that a hot key spreads over SALTS tasks."""
-    if small.limit(max_rows + 1).count() <= max_rows:
+    if is_small(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # From the row's own values, so that a task that runs again deals its rows out alike.

@@ -1,11 +1,10 @@
 """Cross-site line removal by distinct-site spread.
 
-Every line is a 128-bit pair of hashes of its trimmed text. Lines seen on one site only are told
-apart by a plain aggregation; for the rest, HyperLogLog sketches of the sites are built per line
-and merged by the aggregation. Lines whose estimate lies near the threshold get an exact distinct
-count. A line on at least ``min_sites`` sites is boilerplate: it stays where it occurs first (in
-the row with the smallest id, at its first position there) and is removed elsewhere, so that
-copies of whole documents keep one whole copy.
+Every line is a 128-bit pair of hashes of its trimmed text. One aggregation builds a HyperLogLog
+sketch of the sites of each line where the texts are read, and merges them by line. Lines whose
+estimate lies near the threshold get an exact distinct count. A line on at least ``min_sites`` sites
+is boilerplate: it stays where it occurs first (in the row with the smallest id, at its first
+position there) and is removed elsewhere, so that copies of whole documents keep one whole copy.
 
 Blank lines never count and are never removed. A null source is a site of its own. A null text
 stays null, an empty one empty. Rows equal in id and text are treated alike. An empty table gives
@@ -34,27 +33,23 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """a, b, first (smallest id, key and position): the lines on at least ``min_sites`` sites."""
+    """k, pos, first: the places of the lines on at least ``min_sites`` sites, and where each such line occurs first."""
     lines = _lines(docs)
-    # One row per line and site at most leaves the first shuffle for the sketches.
-    per_site = lines.groupBy("a", "b", "site").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "pos")).alias("first"))
-    spread = per_site.groupBy("a", "b").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("first").alias("first"))
-    several = checkpointed(spread.where(F.col("lo") != F.col("hi")).select("a", "b", "first"))
-    sites = checkpointed(join_small(lines, several.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", "site").distinct())
-    guess = sites.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n"))
-    sure = guess.where(F.col("n") > min_sites * (1 + BAND)).select("a", "b")
-    near = guess.where((F.col("n") <= min_sites * (1 + BAND)) & (F.col("n") >= min_sites * (1 - BAND))).select("a", "b")
-    exact = sites.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites).select("a", "b")
-    return several.join(sure.unionByName(exact), ["a", "b"])
+    guess = lines.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n"))
+    spread = checkpointed(guess.where(F.col("n") >= min_sites * (1 - BAND)).select("a", "b", (F.col("n") > min_sites * (1 + BAND)).alias("sure")))
+    here = checkpointed(join_small(lines, spread, ["a", "b"]))
+    exact = here.where(~F.col("sure")).select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    found = checkpointed(spread.where("sure").select("a", "b").unionByName(exact.select("a", "b")))
+    here = join_small(here.drop("sure", "site"), found, ["a", "b"])
+    first = here.groupBy("a", "b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "pos")).alias("first"))
+    return join_small(here, checkpointed(first), ["a", "b"]).select("k", "pos", "first")
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """row (struct of the input's columns), kept (text without removed lines), n_lines, n_removed."""
-    found = checkpointed(boilerplate(docs, min_sites))
-    here = join_small(_lines(docs), found, ["a", "b"])
     other = (F.col("k") != F.col("first.k")) | (F.col("pos") != F.col("first.pos"))
-    gone = here.where(other).groupBy("k").agg(F.collect_set("pos").alias("gone"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("k")).join(gone, "k", "left")
+    gone = checkpointed(boilerplate(docs, min_sites).where(other).groupBy("k").agg(F.collect_set("pos").alias("gone")))
+    rows = join_small(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("k")), gone, ["k"], "left")
     lines = F.split(F.col("row.text"), "\n", -1)
     kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.array_contains("gone", i), F.lit(False)).alias("no"))), lambda s: ~s["no"])["x"], "\n")
     return rows.select("row", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept).alias("kept"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
