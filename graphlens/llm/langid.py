@@ -4,24 +4,27 @@ A softmax model over hashed letter n-grams tells the language family first. With
 several languages, one-versus-one linear support vector machines vote; ties go to the larger sum
 of margins. The languages are the non-null values of the training rows.
 
-Fitting reads a bounded sample: about ``PER_LANGUAGE`` texts of each language, and short windows of
-their words, so that short texts are told apart as well. A null text, or one without a letter, is
-``und`` with score 0. Without training rows every text is. Predictions depend on the text alone,
-so repeated rows agree. Texts are read in blocks, so memory stays bounded for very long ones.
-Other columns play no part.
+Fitting reads a bounded sample: at most ``PER_LANGUAGE`` different texts of each language and about
+``MAX_TEXTS`` in all, and short windows of their words, so that short texts are told apart as well.
+Copies of a text count once. A null text, or one without a letter, is ``und`` with score 0; numbers
+that are no digits, such as superscripts and fractions, are no letters. Without training rows every
+text is. Predictions depend on the text alone, so repeated rows agree. Very long texts are read in
+blocks, which give the same n-grams as the whole. Other columns play no part.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import fold, join_small, table
+from graphlens.llm.common import checkpointed, fold, join_small, table
 
 PER_LANGUAGE, MAX_TEXTS = 200, 1500
 DIMS = 4096
@@ -30,7 +33,6 @@ L2, ROUNDS = np.float32(1e-4), 100
 WINDOWS = (1, 2, 4, 12)
 #: Characters that are folded and counted at a time.
 BLOCK = 1 << 20
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 # Language families by ISO 639-1 code. Codes that are not listed form one family.
 FAMILIES = """
@@ -52,25 +54,43 @@ koreanic: ko
 FAMILY = {code: line.split(":")[0] for line in FAMILIES.strip().split("\n") for code in line.split(":")[1].split()}
 
 
+@functools.cache
+def _not_letters() -> re.Pattern:
+    """Runs of characters that are no letters: of those that count as parts of words, also the numbers."""
+    numbers = (chr(c) for c in range(128, sys.maxunicode + 1) if chr(c).isnumeric() and not chr(c).isalpha())
+    return re.compile(rf"[\W\d_{''.join(numbers)}]+")
+
+
 def letters(text: str) -> str:
-    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+    return _not_letters().sub(" ", text.lower()).strip()
+
+
+def pieces(text: str) -> Iterator[bytes]:
+    """The letters of a text in blocks that end between words."""
+    at = 0
+    while at < len(text):
+        cut = _not_letters().search(text, at + BLOCK) if at + BLOCK < len(text) else None
+        end = cut.start() if cut else len(text)
+        part = letters(text[at:end])
+        if part:
+            yield part.encode()
+        at = cut.end() if cut else end
 
 
 def vector(text: str | None) -> np.ndarray | None:
     """Square roots of hashed counts of the UTF-8 2-, 3- and 4-grams of a whole text's letters, of length 1."""
-    counts, some = np.zeros(DIMS, dtype=np.int64), False
-    for at in range(0, len(text or ""), BLOCK):
-        part = letters(text[at : at + BLOCK])
-        if not part:
-            continue
-        some = True
-        b = np.frombuffer(f" {part} ".encode(), dtype=np.uint8).astype(np.uint32)
+    counts, last = np.zeros(DIMS, dtype=np.int64), b""
+    for part in pieces(text or ""):
+        new = part + b" " if last else b" " + part + b" "
+        b = np.frombuffer(last + new, dtype=np.uint8).astype(np.uint32)
         two = b[:-1] * np.uint32(257) + b[1:]
         three = two[:-1] * np.uint32(263) + b[2:]
         four = three[:-1] * np.uint32(269) + b[3:]
         for n, grams in enumerate((two, three, four)):
+            grams = grams[max(0, len(last) - 1 - n) :]  # those that end in the new part
             counts += np.bincount(((grams + np.uint32(n * 7919)) * np.uint32(2654435761)) >> np.uint32(20), minlength=DIMS)
-    if not some:
+        last = (last + new)[-3:]
+    if not last:
         return None
     x = np.sqrt(counts)
     return (x / np.linalg.norm(x)).astype(np.float32)
@@ -91,13 +111,15 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def sample(docs: DataFrame, usable: Column) -> DataFrame:
-    """lang, text: about PER_LANGUAGE rows of each language, by a hash of the text, MAX_TEXTS in all."""
+    """lang, text: of each language the PER_LANGUAGE different texts with the smallest hashes, fewer of each if
+    that is more than MAX_TEXTS in all."""
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    n = max(1, sizes.count())
-    rank = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 30)) / float(1 << 30)
-    near = join_small(known, sizes, ["lang"]).where(rank < F.lit(1.5 * min(PER_LANGUAGE, MAX_TEXTS // n + 1)) / F.col("n"))
-    return near.orderBy(F.xxhash64(F.lit(6), "text"), "lang").limit(2 * MAX_TEXTS).select("lang", "text")
+    sizes = checkpointed(known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64(F.lit(5), "text")).alias("n")))
+    each = min(PER_LANGUAGE, MAX_TEXTS // max(1, sizes.count()) + 1)
+    rank = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 40)) / float(1 << 40)
+    near = join_small(known, sizes, ["lang"]).where(rank * F.col("n") < 2.0 * each + 50).select("lang", "text").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(5), "text"), "text"))
+    return near.withColumn("_n", first).where(F.col("_n") <= each).select("lang", "text")
 
 
 def _softmax_fit(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
