@@ -7,15 +7,16 @@ the element tree, are joined by smoothness edges. A maximum flow separates the t
 blocks on the source side are the article.
 
 A null html counts as empty; a page without blocks has the empty text. Broken, unclosed and cut-off
-markup is read like a browser would: unclosed paragraphs end at the next block. Rows are handled
-one by one, so repeated pages and ids do not matter. Other columns pass through.
+markup is read like a browser would: unclosed paragraphs end at the next block. Pages of any length
+and depth are read whole, in about linear time. Rows are handled one by one, so repeated pages and
+ids do not matter. Other columns pass through.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,10 +54,6 @@ _NAME = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-#: Outer elements that count for how near two blocks are in the tree.
-DEPTH = 64
-
-
 def _rest(page: str, at: int, dead: set[int]) -> int:
     """Where the tag ends whose name ends at ``at``: at the first > outside quoted values, or if there is
     none, at the first one. ``dead`` holds places after quoted values from which none is found, so
@@ -76,12 +73,16 @@ def _rest(page: str, at: int, dead: set[int]) -> int:
 
 
 class Block:
-    """A run of text between block boundaries: its text, link share and elements."""
+    """A run of text between block boundaries: its text, link share and place among the elements.
+
+    ``leaf`` and ``parent`` number its element and the one around that (0 for none), ``depth`` counts the
+    elements around the text, ``shared`` those that it has in common with the block before."""
 
-    __slots__ = ("text", "linked", "path", "bad", "good", "tag")
+    __slots__ = ("text", "linked", "leaf", "parent", "depth", "shared", "bad", "good", "tag")
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], bad: int, good: int, tag: str) -> None:
-        self.text, self.linked, self.path, self.bad, self.good, self.tag = text, linked, path, bad, good, tag
+    def __init__(self, text: str, linked: int, leaf: int, parent: int, depth: int, shared: int, bad: int, good: int, tag: str) -> None:
+        self.text, self.linked, self.leaf, self.parent, self.depth, self.shared = text, linked, leaf, parent, depth, shared
+        self.bad, self.good, self.tag = bad, good, tag
 
 
 def _cues(tag: str, attrs: str, in_article: bool) -> tuple[int, int]:
@@ -105,14 +106,17 @@ def blocks(html: str | None) -> list[Block]:
     opened: Counter[str] = Counter()
     buffer: list[str] = []
     number, linked, in_link, at, last = 0, 0, 0, 0, len(page)
+    low = 0  # least depth since the last block
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if buffer:
             text = _SPACE.sub(" ", "".join(buffer)).strip()
             if text:
                 bad, good, tag = (stack[-1][2], stack[-1][3], stack[-1][0]) if stack else (0, 0, "")
-                out.append(Block(text, min(linked, len(text)), tuple(s[1] for s in stack[:DEPTH]), bad, good, tag))
+                leaf, parent = stack[-1][1] if stack else 0, stack[-2][1] if len(stack) > 1 else 0
+                out.append(Block(text, min(linked, len(text)), leaf, parent, len(stack), low, bad, good, tag))
+                low = len(stack)
             buffer.clear()
         linked = 0
 
@@ -124,10 +128,12 @@ def blocks(html: str | None) -> list[Block]:
             linked += len(piece.strip())
 
     def close(name: str, scope: set[str] | None = None) -> None:
+        nonlocal low
         for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
             if stack[i][0] == name:
                 opened.subtract(s[0] for s in stack[i:])
                 del stack[i:]
+                low = min(low, i)
                 return
             if scope and stack[i][0] in scope:
                 return
@@ -212,61 +218,135 @@ SMOOTH, NEAR = 1.0, 8
 
 
 def smoothness(a: Block, b: Block) -> float:
-    """Capacity between two blocks: high for neighbours in the element tree, low across a cue."""
-    common = 0
-    for x, y in zip(a.path, b.path, strict=False):
-        if x != y:
-            break
-        common += 1
-    apart = len(a.path) + len(b.path) - 2 * common
+    """Capacity between two blocks that follow each other or have the same parent: high for neighbours in the
+    element tree, low across a cue."""
+    common = a.depth if a.leaf == b.leaf else max(0, min(a.depth, b.depth) - (a.depth == b.depth)) if a.parent == b.parent else b.shared
+    apart = a.depth + b.depth - 2 * common
     return SMOOTH / (1 + apart / 2) * (0.05 if (a.bad > 0) != (b.bad > 0) else 1.0)
 
 
-def content(found: list[Block]) -> list[bool]:
-    """For each block whether it falls on the content side of a minimum cut."""
-    n = len(found)
-    z = [score(b) for b in found]
-    # The terminal capacities are the costs of the labels, log(1 + e**z) for boilerplate and
-    # log(1 + e**-z) for content. Pushing the smaller of both straight through each block leaves
-    # it with one terminal edge, of capacity |z|.
-    pull = list(z)
-    residual: list[dict[int, float]] = [{} for _ in range(n)]
-    for i in range(n):
-        # The next block, and the next one with the same parent: adjacency and tree proximity.
-        ends = [i + 1] if i + 1 < n else []
-        ends += [j for j in range(i + 2, min(n, i + NEAR)) if found[j].path[:-1] == found[i].path[:-1]][:1]
-        for j in ends:
-            c = smoothness(found[i], found[j])
-            residual[i][j] = residual[j][i] = residual[i].get(j, 0.0) + c
-    eps = 1e-9
-    supply = {i for i in range(n) if pull[i] > eps}
-    while True:
-        # Shortest augmenting path from any block with supply to any with demand.
-        came: dict[int, int] = dict.fromkeys(supply, -1)
-        queue, goal = deque(supply), -1
-        while queue and goal < 0:
-            i = queue.popleft()
+def neighbours(found: list[Block]) -> list[tuple[int, int]]:
+    """Each block with the next one, and with the next one of the same parent within NEAR places."""
+    n, last, out = len(found), {}, [(i, i + 1) for i in range(len(found) - 1)]
+    for j in range(n - 1, -1, -1):
+        parent = found[j].parent
+        # The nearest block of this parent that is not the very next one.
+        for k in last.get(parent, ()):
+            if k > j + 1:
+                if k < j + NEAR:
+                    out.append((j, k))
+                break
+        last[parent] = (j, *last.get(parent, ())[:1])
+    return out
+
+
+EPS = 1e-9
+
+
+class _Flow:
+    """Flow from blocks with positive pull to those with negative pull. What a block's pull can give to the
+    opposite terminal is taken off before, so each has an edge to one terminal."""
+
+    def __init__(self, pull: list[float], edges: list[tuple[int, int, float]]) -> None:
+        self.pull, self.residual = pull, [{} for _ in pull]
+        for i, j, c in edges:
+            self.residual[i][j] = self.residual[i].get(j, 0.0) + c
+            self.residual[j][i] = self.residual[j].get(i, 0.0) + c
+
+    def settle(self) -> None:
+        """A block that pulls harder than all its edges can carry lies on the side of its pull in every minimum cut.
+        Its edges are filled, or handed over as pull, and it leaves the graph."""
+        pull, residual = self.pull, self.residual
+        load = [sum(r.values()) for r in residual]
+        open_ = [i for i in range(len(pull)) if residual[i] and abs(pull[i]) >= load[i]]
+        while open_:
+            i = open_.pop()
+            if not residual[i] or abs(pull[i]) < load[i]:
+                continue
+            sign = 1.0 if pull[i] > 0 else -1.0
             for j, c in residual[i].items():
-                if c > eps and j not in came:
-                    came[j] = i
-                    if pull[j] < -eps:
-                        goal = j
-                        break
-                    queue.append(j)
-        if goal < 0:
-            return [i in came for i in range(n)]
-        path, i = [], goal
-        while came[i] >= 0:
-            path.append((came[i], i))
-            i = came[i]
-        flow = min(pull[i], -pull[goal], *(residual[a][b] for a, b in path))
-        for a, b in path:
-            residual[a][b] -= flow
-            residual[b][a] += flow
-        pull[i] -= flow
-        pull[goal] += flow
-        if pull[i] <= eps:
-            supply.discard(i)
+                del residual[j][i]
+                load[j] -= c
+                pull[j] += sign * c
+                if residual[j] and abs(pull[j]) >= load[j]:
+                    open_.append(j)
+            residual[i], load[i] = {}, 0.0
+
+    def run(self) -> set[int]:
+        """Pushes a maximum flow, part by part of the graph; gives the blocks on the source side."""
+        side, seen = set(), set()
+        for start in range(len(self.pull)):
+            if start not in seen:
+                part, rest = [start], [start]
+                seen.add(start)
+                while rest:
+                    for j in self.residual[rest.pop()]:
+                        if j not in seen:
+                            seen.add(j)
+                            part.append(j)
+                            rest.append(j)
+                side |= self._maximum(part)
+        return side
+
+    def _maximum(self, part: list[int]) -> set[int]:
+        """Dinic's phases in one part: levels from all blocks with supply, then augmenting paths along the levels."""
+        pull, residual = self.pull, self.residual
+        while True:
+            now = [i for i in part if pull[i] > EPS]
+            level, goal = dict.fromkeys(now, 0), False
+            depth = 0
+            while now and not goal:
+                depth += 1
+                after = []
+                for i in now:
+                    for j, c in residual[i].items():
+                        if c > EPS and j not in level:
+                            level[j] = depth
+                            after.append(j)
+                            goal = goal or pull[j] < -EPS
+                now = after
+            if not goal:
+                return set(level)
+            arcs = {i: [j for j, c in residual[i].items() if c > EPS and level.get(j) == level[i] + 1] for i in level if level[i] < depth}
+            turn = dict.fromkeys(arcs, 0)
+            for source in [i for i, d in level.items() if d == 0]:
+                path = [source]
+                while path and pull[source] > EPS:
+                    i = path[-1]
+                    if pull[i] < -EPS:
+                        flow, cut = min(pull[source], -pull[i], *(residual[x][y] for x, y in zip(path, path[1:], strict=False))), 0
+                        for k, (x, y) in enumerate(zip(path, path[1:], strict=False)):
+                            residual[x][y] -= flow
+                            residual[y][x] += flow
+                            if residual[x][y] <= EPS and not cut:
+                                cut = k + 1
+                        pull[source] -= flow
+                        pull[i] += flow
+                        # On from where the path broke; from before its end if that is filled.
+                        del path[cut or len(path) - (pull[i] >= -EPS) :]
+                        continue
+                    own, k = arcs.get(i, ()), turn.get(i, 0)
+                    while k < len(own) and residual[i][own[k]] <= EPS:
+                        k += 1
+                    if k < len(own):
+                        turn[i] = k
+                        path.append(own[k])
+                        continue
+                    if own:
+                        turn[i] = k
+                    path.pop()
+                    if path:
+                        turn[path[-1]] += 1
+
+
+def content(found: list[Block]) -> list[bool]:
+    """For each block whether it falls on the content side of a minimum cut. The terminal capacities are the
+    costs of the labels, log(1 + e**z) for boilerplate and log(1 + e**-z) for content; the smaller of both flows
+    straight through, which leaves one terminal edge, of capacity |z|."""
+    flow = _Flow([score(b) for b in found], [(i, j, smoothness(found[i], found[j])) for i, j in neighbours(found)])
+    flow.settle()
+    kept = flow.run()
+    return [i in kept for i in range(len(found))]
 
 
 def main_text(html: str | None) -> str:

@@ -307,10 +307,13 @@ def test_html_cases(page, text):
 def test_minimum_cut_is_minimal():
     """Against all labellings of small pages."""
     rng = random.Random(1)
-    for _ in range(60):
-        found = [html.Block("x y. " * rng.randrange(1, 9), 0, (1, rng.randrange(2, 4), i + 10), rng.random() < 0.3, rng.random() < 0.3, rng.choice(["p", "div", "li"])) for i in range(rng.randrange(1, 8))]
+    for _ in range(150):
+        under = [rng.randrange(2, 4) for _ in range(rng.randrange(1, 9))]
+        tall = rng.random() < 0.5
+        found = [html.Block("x" * (1 + 3 * tall) + " y" * (tall * rng.randrange(9)), 0, i + 10, r, 3, 2 if i and under[i - 1] == r else 1, rng.random() < 0.2, rng.random() < 0.3, rng.choice(["p", "div", "li"])) for i, r in enumerate(under)]
         n = len(found)
-        pairs = [(i, i + 1) for i in range(n - 1)] + [(i, j) for i in range(n) for j in [next((j for j in range(i + 2, min(n, i + html.NEAR)) if found[j].path[:-1] == found[i].path[:-1]), None)] if j]
+        pairs = [(i, i + 1) for i in range(n - 1)] + [(i, j) for i in range(n) for j in [next((j for j in range(i + 2, min(n, i + html.NEAR)) if found[j].parent == found[i].parent), None)] if j]
+        assert sorted(html.neighbours(found)) == sorted(pairs)
         cost = lambda keep: sum(max(0, html.score(b)) if not k else max(0, -html.score(b)) for b, k in zip(found, keep, strict=True)) + sum(html.smoothness(found[i], found[j]) for i, j in pairs if keep[i] != keep[j])  # noqa: B023, E731
         best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
         assert abs(cost(html.content(found)) - best) < 1e-6
