@@ -1,16 +1,18 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard, with results merged.
 
-Vectors are dealt into shards of about ``SHARD_ROWS`` by a hash of their id. In each shard a
-hierarchical navigable small-world graph is built: points enter in batches, each batch searching
-the graph so far and linking to diverse near neighbours; a geometric level decides in how many
-layers a point lives. The graph is stored as a row per point with flat neighbour arrays by layer.
-Blocks of queries search every shard's graph; the best of all shards are kept by merging small
-candidate lists. Scores are inner products of the original vectors in double precision.
+Vectors are dealt into bands of like length, a factor of 2 each, and a band into shards of about
+``SHARD_ROWS`` by a hash of the id. In each shard a hierarchical navigable small-world graph is built:
+points enter in batches, each batch searching the graph so far and linking to diverse near neighbours; a
+geometric level decides in how many layers a point lives. The graph is stored as a row per point with
+flat neighbour arrays by layer. Blocks of queries search every shard's graph; the best of all shards
+are kept by merging small candidate lists. Scores are inner products of the original vectors in double
+precision.
 
 Equal vectors are one point of a graph and are told apart again in the results.
 
-For the graph, every vector gets one more component that brings all to the length of the longest,
-so that the largest inner product is the smallest distance.
+For the graph, the vectors of a band are scaled by the longest of its shard and get one more component that brings
+all to length 1, so that the largest inner product is the smallest distance. As no vector of a band is much
+longer than another, distances keep their precision whatever the lengths in the table are.
 
 A vector that is null, of length zero, or holds null or non-finite components takes no part, nor
 does a row without an id. Rows that repeat an id count once (the smallest vector holds). Ties go
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from graphlens.llm.common import checkpointed, table
 
 K = 20
-SHARD_ROWS, QUERY_ROWS = 4096, 8192
+SHARD_ROWS, QUERY_ROWS = 16384, 65536
 LINKS, EF_BUILD, EF_SEARCH = 16, 64, 96
 BATCH = 512
 
@@ -47,13 +49,11 @@ def _level(ids: np.ndarray) -> np.ndarray:
 def _beam(x: np.ndarray, nbr: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of one layer for many queries at once: positions and scores, best first.
 
-    ``nbr`` holds neighbours by point, -1 for none; ``start`` the entry points of each query."""
-    n, m = len(x), len(q)
+    ``nbr`` holds neighbours by point, -1 for none; ``start`` the entry point of each query. Memory grows
+    with the queries and ``ef`` only, not with the points."""
+    m = len(q)
     rows = np.arange(m)
-    seen = np.zeros((m, n + 1), dtype=bool)
-    seen[:, n] = True
     ids = start
-    seen[rows[:, None], ids] = True
     scores = np.einsum("mkd,md->mk", x[ids], q)
     scores[ids < 0] = -np.inf
     done = np.zeros(ids.shape, dtype=bool)
@@ -67,11 +67,10 @@ def _beam(x: np.ndarray, nbr: np.ndarray, q: np.ndarray, start: np.ndarray, ef:
             break
         done[active, best] = True
         near = nbr[ids[active, best]]
-        near = np.where(near < 0, n, near)
-        fresh = ~seen[active[:, None], near]
-        seen[active[:, None], near] = True
-        s = np.einsum("mkd,md->mk", x[np.minimum(near, n - 1)], q[active])
-        s[~fresh] = -np.inf
+        s = np.einsum("mkd,md->mk", x[np.maximum(near, 0)], q[active])
+        s[near < 0] = -np.inf
+        # A point counts once. One that has left the list is worse than all on it and does not come back.
+        s[(near[:, :, None] == ids[active][:, None, :]).any(axis=2)] = -np.inf
         if ids.shape[1] < ef + near.shape[1]:
             pad = ef + near.shape[1] - ids.shape[1]
             ids = np.pad(ids, ((0, 0), (0, pad)), constant_values=-1)
@@ -111,7 +110,7 @@ def build(x: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
     """Neighbours by layer, each an array of one row per point; layer 0 has twice the links."""
     n, level = len(x), _level(ids)
     order = np.argsort(-level, kind="stable")  # high points enter first, so every layer's entry exists
-    layers = [np.full((n, 2 * LINKS if layer == 0 else LINKS), -1) for layer in range(int(level.max()) + 1 if n else 1)]
+    layers = [np.full((n, 2 * LINKS if layer == 0 else LINKS), -1, dtype=np.int32) for layer in range(int(level.max()) + 1 if n else 1)]
     at, size = 0, 1
     while at < n:
         batch = order[at : at + size]
@@ -188,26 +187,40 @@ def search(x: np.ndarray, layers: list[np.ndarray], top: int, q: np.ndarray, ef:
     return np.concatenate(out)
 
 
-def _augmented(v: np.ndarray, longest: float) -> np.ndarray:
-    rest = np.sqrt(np.maximum(0, longest * longest - (v * v).sum(axis=1)))
+def lengths(v: np.ndarray) -> np.ndarray:
+    """Lengths of vectors, without overflow."""
+    most = np.abs(v).max(axis=1, initial=0.0)
+    most[most == 0] = 1.0
+    return most * np.sqrt(((v / most[:, None]) ** 2).sum(axis=1))
+
+
+def _lifted(v: np.ndarray) -> np.ndarray:
+    """Vectors of a shard, scaled by the longest, with one more component that brings all to length 1."""
+    v = v / np.abs(v).max()
+    v = v / lengths(v).max()
+    rest = np.sqrt(np.maximum(0, 1 - (v * v).sum(axis=1)))
     return np.concatenate([v, rest[:, None]], axis=1).astype(np.float32)
 
 
-GRAPH = "shard long, pos int, vec_id long, members array<long>, v array<double>, layers array<array<int>>"
+def _aimed(q: np.ndarray) -> np.ndarray:
+    """Queries of length 1, without the added component."""
+    q = q / np.abs(q).max(axis=1, keepdims=True)
+    q = q / lengths(q)[:, None]
+    return np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
+
 
+GRAPH = "shard long, pos int, vec_id long, members array<long>, v array<double>, layers array<array<int>>"
 
-def _build_shard(longest: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", ignore_index=True)
-        v, ids = np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["vec_id"].to_numpy()
-        layers, level = build(_augmented(v, longest), ids), _level(ids)
-        flat = [[layers[k][i][layers[k][i] >= 0].tolist() for k in range(level[i] + 1)] for i in range(len(ids))]
-        return pd.DataFrame({"shard": pdf["shard"], "pos": np.arange(len(ids), dtype="int32"), "vec_id": ids, "members": pdf["members"], "v": list(v), "layers": flat})
 
-    return run
+def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("vec_id", ignore_index=True)
+    v, ids = np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["vec_id"].to_numpy()
+    layers, level = build(_lifted(v), ids), _level(ids)
+    flat = [[layers[k][i][layers[k][i] >= 0].tolist() for k in range(level[i] + 1)] for i in range(len(ids))]
+    return pd.DataFrame({"shard": pdf["shard"], "pos": np.arange(len(ids), dtype="int32"), "vec_id": ids, "members": pdf["members"], "v": list(v), "layers": flat})
 
 
-def _search_shard(longest: float, k: int, ef: int):
+def _search_shard(k: int, ef: int):
     def run(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "vec_id", "score"]
         if not len(graph) or not len(queries):
@@ -215,13 +228,13 @@ def _search_shard(longest: float, k: int, ef: int):
         graph, queries = graph.sort_values("pos"), queries.sort_values("query_id")
         v, ids = np.stack(graph["v"].to_numpy()).astype(np.float64), graph["vec_id"].to_numpy()
         height = [len(x) for x in graph["layers"]]
-        layers = [np.full((len(ids), 2 * LINKS if n == 0 else LINKS), -1) for n in range(max(height))]
+        layers = [np.full((len(ids), 2 * LINKS if n == 0 else LINKS), -1, dtype=np.int32) for n in range(max(height))]
         for i, own in enumerate(graph["layers"]):
             for n, near in enumerate(own):
                 layers[n][i, : len(near)] = near
         top = int(np.argmax(height))
         q, qid = np.stack(queries["v"].to_numpy()).astype(np.float64), queries["query_id"].to_numpy()
-        found = search(_augmented(v, longest), layers, top, np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), max(ef, k + 1))
+        found = search(_lifted(v), layers, top, _aimed(q), max(ef, k + 1))
         r, c = np.nonzero(found >= 0)
         hit = found[r, c]
         score = np.concatenate([(v[hit[i : i + 65536]] * q[r[i : i + 65536]]).sum(axis=1) for i in range(0, len(hit), 65536)] or [np.zeros(0)])
@@ -254,22 +267,33 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     return rows.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("members")).select(F.col("members")[0].alias("vec_id"), "members", "v")
 
 
-def index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int, float]:
-    """The graphs of all shards, how many shards there are, and the longest vector's length."""
-    n, longest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    shards = max(1, -(-n // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(shards)))
-    return checkpointed(dealt.groupBy("shard").applyInPandas(_build_shard(longest or 1.0), GRAPH)), shards, longest or 1.0
+#: Numbers of shards in a band at most.
+IN_BAND = 1 << 40
+
+
+def index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The graphs of all shards, and the bands with the number of shards in each."""
+    most = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    length = F.log2("most") + F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))) / 2
+    rows = rows.withColumn("most", most).withColumn("band", F.floor(length).cast("long")).drop("most")
+    # Bands are bounded in number by the exponents of doubles.
+    bands = checkpointed(rows.groupBy("band").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards")))
+    dealt = rows.join(F.broadcast(bands), "band")
+    part = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.col("shards"))
+    dealt = dealt.withColumn("shard", F.col("band") * IN_BAND + part).drop("band", "shards")
+    return checkpointed(dealt.groupBy("shard").applyInPandas(_build_shard, GRAPH)), sorted((r["band"], r["shards"]) for r in bands.collect())
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_SEARCH, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score for queries (query_id, v) against all rows (vec_id, v)."""
-    graphs, shards, longest = index(checkpointed(distinct_vectors(rows, k + 1)), shard_rows)
+    graphs, bands = index(checkpointed(distinct_vectors(rows, k + 1)), shard_rows)
     blocks = max(1, -(-queries.count() // query_rows))
     # Each block of queries meets each shard once; a task holds one shard and one block.
-    asked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(4), "query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(4), "query_id"), F.lit(blocks)))
+    every = F.array(*[F.struct(F.lit(band * IN_BAND).cast("long").alias("first"), F.lit(n).cast("long").alias("n")) for band, n in bands] or [F.lit(None).cast("struct<first:long,n:long>")])
+    asked = asked.withColumn("band", F.explode(every)).withColumn("shard", F.explode(F.sequence(F.col("band.first"), F.col("band.first") + F.col("band.n") - 1))).drop("band")
     stored = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = stored.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_search_shard(longest, k, ef), "query_id long, vec_id long, score double")
+    found = stored.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_search_shard(k, ef), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

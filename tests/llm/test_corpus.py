@@ -262,6 +262,27 @@ def test_ann_recall(spark):
     assert np.mean([len(got[q] & set(w)) / len(w) for q, w in want.items()]) >= 0.95
 
 
+@pytest.mark.parametrize("factor", [10.0, 1e3, 1e5, 1e20, 1e150])
+def test_ann_recall_beside_long_vectors(spark, factor):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(3000, 16))
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    v[7] *= factor
+    v[8:40] /= rng.uniform(1, 100, 32)[:, None]
+    ids = np.arange(3000)
+    want = plain_nearest(v, ids)
+    vecs = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, v array<double>")
+    got = {}
+    for r in ann.nearest(vecs, vecs.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "v"), shard_rows=2000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[q] & set(w)) / len(w) for q, w in want.items()]) >= 0.95
+
+
+def test_ann_single_row(spark):
+    vecs = spark.createDataFrame([(20, [1e300, 1e300])], "vec_id long, v array<double>")
+    assert ann.nearest(vecs, vecs.selectExpr("vec_id AS query_id", "v")).count() == 0
+
+
 def test_ann_odd_vectors(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
     rows_ = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (20, [0.5, 0.5]), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (0, [1.0, 0.0])]
