@@ -2,14 +2,16 @@
 
 Base spans (e-mail, ip, card, phone) are seeds. The words before and after a seed are its lexical
 patterns. Tokens with a digit or an at sign outside all base spans are candidates, with patterns
-of their own. Patterns and instances form a graph: a pattern's score is the mean score of its
-instances, an instance's the noisy-or of its patterns' scores; seeds stay at 1, the rest start at
-0. After ``ROUNDS`` rounds, candidates after a word of high score, with enough different seeds,
-and of a plausible make for the kind, become spans of that kind.
+of their own. Patterns and instances form a graph. In each generation the patterns with enough
+different known instances are scored in ``ROUNDS`` rounds: a pattern's score is the mean score of its
+instances, an instance's the noisy-or of its patterns' scores; known instances stay at 1, the rest
+start at 0. Candidates after a word of high score, and of a plausible make for the kind, become known
+instances of that kind, and with them their other contexts gain support. Generations go on until none
+finds a new instance. What stands after a pattern of high score at the end becomes a span.
 
 All steps are DataFrame functions. A null text counts as empty; it has no spans and the digest of
-the empty text. Rows equal in id and text are learned from once and all get the same spans. An
-empty table gives an empty result. Other columns play no part.
+the empty text. Texts and words of any length are read whole. Rows equal in id and text are learned
+from once and all get the same spans. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import checkpointed, row_key, table
+from graphlens.llm.common import checkpointed, join_small, row_key, table
 from graphlens.llm.spans import joined, of_kind, with_matches
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 #: A pattern's least number of different seeds and least score.
 SUPPORT, CONFIDENCE = 5, 0.9
-#: Longest context word, in characters, that makes a pattern.
+#: Context words of more characters stand in patterns by their digest.
 LONGEST = 40
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -50,7 +52,7 @@ def _edge(piece: Column, last: bool) -> Column:
     """The last or first word of a piece of text, letters only, lower case; empty if there is none."""
     plain = F.trim(F.translate(piece, "\t\n\u000b\f\r", "     "))
     word = F.lower(F.regexp_replace(F.substring_index(plain, " ", -1 if last else 1), r"[^\p{L}]+", ""))
-    return F.when(F.length(word) > LONGEST, F.lit("")).otherwise(word)
+    return F.when(F.length(word) > LONGEST, F.sha2(word, 256)).otherwise(word)
 
 
 def _mentions(found: Column, kind: str) -> Column:
@@ -83,6 +85,22 @@ def _plausible() -> Column:
     return F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in make.items()], F.lit(False))
 
 
+def scored_patterns(graph: DataFrame, known: DataFrame, sizes: DataFrame) -> DataFrame:
+    """pat, kind, score of the patterns that at least SUPPORT different known instances of a kind share.
+    graph: pat, token; known: token, kind; sizes: pat, n (instances of any kind)."""
+    edges = join_small(graph, known, ["token"])
+    support = edges.groupBy("pat", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
+    strong = checkpointed(support.join(sizes, "pat"))
+    open_ = join_small(graph, strong.select("pat", "kind"), ["pat"])
+    open_ = checkpointed(open_.join(known, ["token", "kind"], "left_anti"))
+    score = strong.withColumn("score", F.col("seeds") / F.col("n"))
+    for _ in range(ROUNDS - 1):
+        instances = join_small(open_, score.select("pat", "kind", "score"), ["pat", "kind"]).groupBy("token", "kind").agg(F.sum(F.log(1 - F.least("score", F.lit(0.999)))).alias("l"))
+        gained = open_.join(instances.select("token", "kind", (1 - F.exp("l")).alias("s")), ["token", "kind"]).groupBy("pat", "kind").agg(F.sum("s").alias("gain"))
+        score = checkpointed(strong.join(gained, ["pat", "kind"], "left").withColumn("score", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("n")).drop("gain"))
+    return score.select("pat", "kind", "score")
+
+
 def discovered(rows: DataFrame) -> DataFrame:
     """The output of base() -> k, more (spans that patterns of high score find)."""
     once = rows.where((F.size("seeds") > 0) | (F.size("others") > 0)).groupBy("k").agg(F.first("seeds").alias("seeds"), F.first("others").alias("others"))
@@ -90,20 +108,21 @@ def discovered(rows: DataFrame) -> DataFrame:
     said = once.select("k", F.explode(F.concat("seeds", apart)).alias("m")).select("k", "m.*")
     pats = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), F.col(c))) for c in ("left", "right")]))
     said = checkpointed(said.withColumn("pats", pats).drop("left", "right"))
-    graph = checkpointed(said.select(F.explode("pats").alias("pat"), "kind", "token").distinct())
-    sizes = graph.groupBy("pat").agg(F.count_distinct("token").alias("n"))
-    seeded = graph.where(F.col("kind") != "").groupBy("pat", "kind").agg(F.count("*").alias("seeds"))
-    # Only patterns with enough seeds can ever count; the rest of the graph goes.
-    strong = checkpointed(seeded.where(F.col("seeds") >= SUPPORT).join(sizes, "pat"))
-    open_ = checkpointed(graph.where(F.col("kind") == "").drop("kind").join(strong.select("pat", "kind"), "pat"))
-    score = strong.withColumn("score", F.col("seeds") / F.col("n"))
-    for _ in range(ROUNDS - 1):
-        instances = open_.join(score.select("pat", "kind", "score"), ["pat", "kind"]).groupBy("token", "kind").agg(F.sum(F.log(1 - F.least("score", F.lit(0.999)))).alias("l"))
-        gained = open_.join(instances.select("token", "kind", (1 - F.exp("l")).alias("s")), ["token", "kind"]).groupBy("pat", "kind").agg(F.sum("s").alias("gain"))
-        score = checkpointed(strong.join(gained, ["pat", "kind"], "left").withColumn("score", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("n")).drop("gain"))
-    # A word after an identifier says less than one before it: alone it finds nothing.
-    sure = score.where((F.col("score") >= CONFIDENCE) & F.col("pat").startswith("left:")).select("pat", "kind", "score")
-    hits = said.where(F.col("kind") == "").select("k", "start", "end", "token", F.explode("pats").alias("pat")).join(sure, "pat").where(_plausible())
+    graph = checkpointed(said.select(F.explode("pats").alias("pat"), "token").distinct())
+    sizes = checkpointed(graph.groupBy("pat").agg(F.count("*").alias("n")))
+    known = checkpointed(said.where(F.col("kind") != "").select("token", "kind").distinct())
+    loose = checkpointed(said.where(F.col("kind") == "").select("k", "start", "end", "token", F.explode("pats").alias("pat")))
+    found = 0
+    while True:
+        score = scored_patterns(graph, known, sizes)
+        # A word after an identifier says less than one before it: alone it finds nothing.
+        sure = score.where((F.col("score") >= CONFIDENCE) & F.col("pat").startswith("left:"))
+        hits = checkpointed(join_small(loose, checkpointed(sure), ["pat"]).where(_plausible()))
+        known = checkpointed(known.unionByName(hits.select("token", "kind")).distinct())
+        now = hits.select("token", "kind").distinct().count()
+        if now == found:
+            break
+        found = now
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
     best = hits.groupBy("k", "start", "end").agg(F.max(F.struct("score", (-rank).alias("r"), "kind")).alias("b"))
     span = F.struct("start", (-F.col("b.r")).alias("rank"), F.col("b.kind").alias("kind"), "end")
