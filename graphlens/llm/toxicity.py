@@ -5,11 +5,12 @@ fitted text that mentions a group also has a counterpart in which its identity t
 for others of the same kind; the squared change of the model's logit between the two is a penalty,
 so a neutral mention of a group does not move the score.
 
-Fitting reads a bounded sample: the ``MAX_PER_CLASS`` rows of each label with the smallest hash of
-their id. Features come from statistics over that sample. Rows without a label, a label other than
-0 or 1, or without an id do not take part; if an id has several labels, the largest holds. With no
-labelled rows every score is 0. A null or empty text is scored as one without words. Scores depend
-on the text alone, so equal texts score alike. Other columns pass through.
+Fitting reads a bounded sample: of each label at most ``MAX_PER_CLASS`` different pairs of id and text, those
+with the smallest hash of their id. Features come from statistics over that sample. Rows without a
+label, a label other than 0 or 1, or without an id do not take part; if an id has several labels, the
+largest holds. Repeated rows count once. With no labelled rows every score is 0. A null or empty text is
+scored as one without words. Texts of any length are read whole. Scores depend on the text alone, so
+equal texts score alike. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphlens.llm.common import fold, table
+from graphlens.llm.common import checkpointed, fold, table
 
 MAX_PER_CLASS = 8000
 MAX_FEATURES = 6000
@@ -108,12 +109,16 @@ class Index:
 
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, max_per_class: int = MAX_PER_CLASS) -> tuple[DataFrame, dict[int, int]]:
-    """The texts to fit on (text, y), and how many labelled rows there are of each class."""
+    """The different texts to fit on (text, y), and how many labelled ids there are of each class."""
     known = labels.where(usable & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(max_per_class) for y in (0, 1)]
+    rank = F.xxhash64(F.lit(11), "doc_id")
+    parts = [known.where(F.col("y") == y).orderBy(rank, "doc_id").limit(max_per_class) for y in (0, 1)]
     # At most 2 * max_per_class ids.
-    return docs.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("text", "y"), totals
+    texts = docs.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("doc_id", "text", "y").distinct()
+    # An id may stand for several texts.
+    parts = [texts.where(F.col("y") == y).orderBy(rank, "doc_id", F.xxhash64("text")).limit(max_per_class) for y in (0, 1)]
+    return checkpointed(parts[0].unionByName(parts[1]).select("text", "y")), totals
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,15 +184,13 @@ def fit(x: list[list[int]], y: np.ndarray, swap: list[list[int] | None], scale:
 def train(docs: DataFrame, labels: DataFrame, usable: Column, max_per_class: int = MAX_PER_CLASS) -> tuple[list[int], np.ndarray, float]:
     """Feature ids, weights and bias. ``usable`` says which rows of labels may be learned from."""
     texts, totals = sample(docs, labels, usable, max_per_class)
-    n = {y: min(totals.get(y, 0), max_per_class) for y in (0, 1)}
+    n = {0: 0, 1: 0} | {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n[1]:
         return [], np.zeros(0), -40.0
     if not n[0]:
         return [], np.zeros(0), 40.0
     ids, scale = choose(texts, n[1], n[0])
     rows = texts.mapInPandas(_rows(Index(ids)), "y int, x array<int>, swap array<int>").collect()
-    if not rows:
-        return [], np.zeros(0), -40.0
     rows.sort(key=lambda r: (r["y"], len(r["x"]), r["x"]))
     y = np.array([r["y"] for r in rows], dtype=float)
     most = max(totals.values())
