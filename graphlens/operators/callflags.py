@@ -73,10 +73,10 @@ def macro_calls(tree: DataFrame) -> DataFrame:
     return tree.where("node_type = 'CompoundStatement'").join(lists, "parent").select("call").distinct()
 
 
-def first_calls(tree: DataFrame, tops: DataFrame, max_depth: int = 64) -> DataFrame:
+def first_calls(tree: DataFrame, tops: DataFrame) -> DataFrame:
     """top, call: the first call in pre-order below each top (column id), macro constants aside."""
     links = tree.where(F.col("parent").isNotNull()).select(F.col("parent").alias("src"), F.col("id").alias("dst"))
-    below = graph.closure(links, tops.select("id"), max_depth)
+    below = graph.closure(links, tops.select("id"))
     calls = tree.where(F.col("node_type").isin("StandardLibCall", "UserDefinedCall")).select(F.col("id").alias("node"), "path").join(macro_calls(tree).withColumnRenamed("call", "node"), "node", "left_anti")
     return below.join(calls, "node").groupBy(F.col("seed").alias("top")).agg(F.min_by("node", "path").alias("call"))
 
@@ -107,7 +107,7 @@ def array_lengths(tree: DataFrame, fns: DataFrame) -> DataFrame:
 def contains_sizeof(tree: DataFrame) -> DataFrame:
     """id: nodes with a sizeof at or below them."""
     links = tree.where(F.col("parent").isNotNull()).select(F.col("id").alias("src"), F.col("parent").alias("dst"))
-    return graph.closure(links, tree.where("node_type = 'SizeOfExpression'").select("id"), 256).select(F.col("node").alias("id")).distinct()
+    return graph.closure(links, tree.where("node_type = 'SizeOfExpression'").select("id")).select(F.col("node").alias("id")).distinct()
 
 
 def has_indexing(code: Column) -> Column:

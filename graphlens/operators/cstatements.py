@@ -95,10 +95,9 @@ class Functions:
     def features(self) -> DataFrame:
         """fn, sid, node_type, code, node_type_id, train_mask, in_loop, is_loop, is_buffer_decl,
         buffer_size_state, buffer_size_norm, call_sem_cat_id, call_flag_danger_unbounded."""
-        loops = self.statements.where(F.col("node_type").isin(*LOOPS)).select(F.col("id").alias("top"))
-        up = self.links.where(F.col("parent").isNotNull()).select(F.col("id").alias("src"), F.col("parent").alias("dst"))
-        tops = graph.closure(up, self.statements.select("id"), 256).where("depth > 0").select(F.col("seed").alias("id"), F.col("node").alias("top"))
-        looped = tops.join(loops, "top", "left_semi").select("id", F.lit(1).alias("in_loop")).distinct()
+        # A statement is in a loop if its parent is a loop or in one.
+        over = graph.owner(self.tree, self.links, F.col("node_type").isin(*LOOPS)).where(F.col("owner").isNotNull()).select(F.col("id").alias("parent"))
+        looped = self.links.join(over, "parent", "left_semi").select("id", F.lit(1).alias("in_loop"))
         kind, size = F.col("node_type"), array_size("code")
         is_call = kind.isin("StandardLibCall", "UserDefinedCall")
         low = F.lower(F.coalesce("name", F.lit("")))

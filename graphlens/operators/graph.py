@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlens.session import rounds
 from graphlens.session import settled as checkpointed
 
 
@@ -60,15 +61,16 @@ def last_by_index(edges: DataFrame, index: Column, label: str) -> DataFrame:
     return of_label(edges, label).groupBy(F.col("src").alias("owner"), index.alias("index")).agg(F.max_by("dst", F.struct("ord", "dst")).alias("param"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 64, every: int = 1) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """seed, node, depth: everything reachable from each seed (column ``id``), the seed itself at
     depth 0, with the least depth. Cycle-safe: a node enters a seed's set once.
 
-    A frontier loop: each round joins the newest nodes with the edges and drops what is known."""
+    A frontier loop: each round joins the newest nodes with the edges and drops what is known, until
+    nothing is new or a depth that the caller gives is reached."""
     steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
     front = checkpointed(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct().withColumn("depth", F.lit(0)))
     known = front
-    for depth in range(1, max_depth + 1):
+    for depth in rounds(max_depth):
         new = front.join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
         front = checkpointed(new.join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
@@ -79,7 +81,7 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 64, every: int
     return known
 
 
-def descendants(edges: DataFrame, roots: DataFrame, label: str, max_depth: int = 64) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame, label: str, max_depth: int | None = None) -> DataFrame:
     """root, node, depth: all below each root, without the root itself."""
     return closure(of_label(edges, label), roots, max_depth).where("depth > 0").withColumnRenamed("seed", "root")
 
@@ -101,7 +103,7 @@ def owner(nodes: DataFrame, parent_of: DataFrame, is_owner: Column, max_rounds:
     return now.select("id", F.when(F.col("found"), F.col("at")).alias("owner"))
 
 
-def dominates(edges: DataFrame, pairs: DataFrame, label: str = "DOMINATE", max_depth: int = 256) -> DataFrame:
+def dominates(edges: DataFrame, pairs: DataFrame, label: str = "DOMINATE", max_depth: int | None = None) -> DataFrame:
     """pairs (a, b) -> adds dominated: whether b is reachable from a along a label, a itself included."""
     reach = closure(of_label(edges, label), pairs.select(F.col("a").alias("id")), max_depth).select(F.col("seed").alias("a"), F.col("node").alias("b"), F.lit(True).alias("_hit"))
     return pairs.join(reach, ["a", "b"], "left").withColumn("dominated", F.coalesce("_hit", F.lit(False))).drop("_hit")
@@ -113,20 +115,28 @@ def roots(edges: DataFrame, label: str) -> DataFrame:
     return tree.select(F.col("src").alias("id")).distinct().join(tree.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-def forest(edges: DataFrame, label: str, max_depth: int = 64) -> DataFrame:
+def forest(edges: DataFrame, label: str) -> DataFrame:
     """root, node, depth, path: the trees below all roots in pre-order; ``path`` holds the child
-    positions from the root, so sorting by it is pre-order and a prefix test finds descendants."""
+    positions from the root, so sorting by it is pre-order and a prefix test finds descendants.
+
+    Pointer jumping: a row is a way up from a node, and each round puts the way up from its top before
+    it, so a tree of depth d takes log d rounds. Ways that run in a circle reach no root and end when they
+    are longer than there are edges; nodes with no other way up belong to no tree."""
     tree = of_label(edges, label)
     position = F.row_number().over(Window.partitionBy("src").orderBy("ord", "dst"))
-    steps = checkpointed(tree.select(F.col("src").alias("node"), F.col("dst").alias("next"), position.alias("pos")))
-    front = checkpointed(roots(edges, label).select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path")))
-    out = front
-    for depth in range(1, max_depth + 1):
-        front = checkpointed(front.join(steps, "node").select("root", F.col("next").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("pos")).alias("path")))
-        if front.isEmpty():
+    top = roots(edges, label).select(F.col("id").alias("top"), F.lit(True).alias("whole"))
+    ways = tree.select(F.col("src").alias("top"), F.col("dst").alias("node"), F.array(position).alias("path"))
+    ways = checkpointed(ways.join(top, "top", "left").select("top", "node", "path", F.coalesce("whole", F.lit(False)).alias("whole")))
+    length, n = 1, None
+    while not ways.where("not whole").isEmpty():
+        n = ways.count() if n is None else n
+        if length > n:
             break
-        out = out.unionByName(front)
-    return out
+        up = ways.select(F.col("node").alias("top"), F.col("top").alias("over"), F.col("path").alias("before"), F.col("whole").alias("whole_over"))
+        on = ways.where("not whole").join(up, "top").select(F.col("over").alias("top"), "node", F.concat("before", "path").alias("path"), F.col("whole_over").alias("whole"))
+        ways, length = checkpointed(ways.where("whole").unionByName(on)), 2 * length
+    below = ways.where("whole").select(F.col("top").alias("root"), "node", F.size("path").alias("depth"), "path")
+    return top.select(F.col("top").alias("root"), F.col("top").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path")).unionByName(below)
 
 
 def flatten(nodes: DataFrame, edges: DataFrame, blacklist: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

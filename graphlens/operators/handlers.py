@@ -16,6 +16,7 @@ from graphlens.functions.text import strip_quotes, upper_snake
 from graphlens.operators import calculus
 from graphlens.operators.calculus import Policy
 from graphlens.operators.cpg import ARRAY_INIT, ASSIGN, Cpg
+from graphlens.session import rounds
 from graphlens.session import settled as checkpointed
 
 COMPARISONS = tuple(f"<operator>.{x}" for x in ("equals", "notEquals", "lessThan", "greaterThan", "lessEqualsThan", "greaterEqualsThan"))
@@ -47,7 +48,7 @@ def by_string(g: Cpg, kb: KnowledgeBase) -> DataFrame:
     return _evidence(best, F.lit("STRING_DISPATCH"), F.lit(0.9), F.lit("EXACT_IDENTIFIER"), F.lit(None), F.array("lit", "call"), F.concat(F.lit("site:string:"), "owner"), F.lit("string_dispatch"))
 
 
-def first_internal_call(g: Cpg, starts: DataFrame, max_depth: int = 256) -> DataFrame:
+def first_internal_call(g: Cpg, starts: DataFrame) -> DataFrame:
     """start, call, callback: the first internal call over CFG edges from each start, not past another
     case label."""
     cfg = checkpointed(g.edges.where("label = 'CFG'").select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("ord").alias("eord")))
@@ -55,7 +56,7 @@ def first_internal_call(g: Cpg, starts: DataFrame, max_depth: int = 256) -> Data
     labels = g.label("JUMP_TARGET").select(F.col("id").alias("node"))
     front = checkpointed(starts.select("start", F.col("start").alias("node"), F.array().cast("array<bigint>").alias("found")).distinct())
     known, out = front.select("start", "node"), None
-    for _ in range(max_depth):
+    for depth in rounds():
         new = front.join(cfg, "node").select("start", F.col("next").alias("node"), F.concat("found", F.array("eord")).alias("found"))
         new = new.groupBy("start", "node").agg(F.min("found").alias("found")).join(known, ["start", "node"], "left_anti")
         new = checkpointed(new.join(labels, "node", "left_anti").join(hit, "node", "left"))
@@ -65,6 +66,8 @@ def first_internal_call(g: Cpg, starts: DataFrame, max_depth: int = 256) -> Data
         done = checkpointed(done.select("start", "b.*"))
         out = done if out is None else out.unionByName(done)
         known = known.unionByName(new.select("start", "node"))
+        if depth % 16 == 0:
+            known = checkpointed(known)
         front = new.join(done, "start", "left_anti").select("start", "node", "found")
     return out if out is not None else starts.select("start", F.lit(None).cast("string").alias("call"), F.lit(None).cast("string").alias("callback")).limit(0)
 

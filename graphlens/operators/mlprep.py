@@ -5,36 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlens.session import checkpointed
+
 # Words in names that tell the label; the safe ones are tried first.
 SAFE_WORDS = ("good", "safe", "patched", "benign", "fixed")
 UNSAFE_WORDS = ("bad", "vulnerable", "unsafe", "malicious")
 
 
-def flatten_json(rows: DataFrame, key: str, json: str, max_depth: int = 8) -> DataFrame:
+def flatten_json(rows: DataFrame, key: str, json: str) -> DataFrame:
     """key, name, value: numeric leaves of a JSON text under dotted names; booleans are 1 and 0,
-    strings and nulls drop out. Arrays count their elements from 0."""
+    strings and nulls drop out. Arrays count their elements from 0. Each round opens one level, until none is left."""
     at = rows.select(key, F.lit("").alias("name"), F.try_parse_json(json).alias("v"))
     out = None
-    for _ in range(max_depth):
+    while out is None or not at.isEmpty():
         kind = F.schema_of_variant("v")
         leaf = at.where(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"))
         value = F.coalesce(F.try_variant_get("v", "$", "double"), F.try_variant_get("v", "$", "boolean").cast("int").cast("double"))
         leaf = leaf.where(~F.schema_of_variant("v").isin("STRING", "VOID")).select(key, "name", value.alias("value"))
         out = leaf if out is None else out.unionByName(leaf)
         inner = at.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        at = _children(inner, key)
+        at = checkpointed(_children(inner, key))
     return out.where(F.col("name") != "")
 
 
 def _children(inner: DataFrame, key: str) -> DataFrame:
     """The members of objects and arrays, one level down."""
-    spark = inner.sparkSession
-    view = "_graphlens_variants"
-    inner.createOrReplaceTempView(view)
-    return spark.sql(
-        f"SELECT s.`{key}`, CASE WHEN s.name = '' THEN '' ELSE concat(s.name, '.') END || coalesce(e.key, CAST(e.pos AS STRING)) AS name, e.value AS v "
-        f"FROM {view} AS s, LATERAL variant_explode(s.v) AS e"
-    )
+    member = inner.sparkSession.tvf.variant_explode(F.col("v").outer()).select("pos", F.col("key").alias("_key"), F.col("value").alias("_value"))
+    name = F.concat(F.when(F.col("name") == "", F.lit("")).otherwise(F.concat("name", F.lit("."))), F.coalesce("_key", F.col("pos").cast("string")))
+    return inner.lateralJoin(member).select(key, name.alias("name"), F.col("_value").alias("v"))
 
 
 def column_union(features: DataFrame, by: str | None = None) -> DataFrame:

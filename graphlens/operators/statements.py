@@ -67,7 +67,7 @@ def context(active: DataFrame) -> DataFrame:
     return out.select("fn", "sid", (F.col("lower") + 2 * F.col("upper")).alias("strength"), F.when(F.col("upper") == 1, F.col("norm")).otherwise(0.0).alias("norm"))
 
 
-def guard_map(edges: DataFrame, guards: DataFrame, max_depth: int = 64) -> DataFrame:
+def guard_map(edges: DataFrame, guards: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Spreads guards (start, kind, var, lower, upper, norm) from the first statement of a block over
     everything its edges (src, dst) reach -> node, var, kind, lower, upper, norm; bounds of several
     guards are joined, and the kind is the smallest."""

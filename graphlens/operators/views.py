@@ -54,7 +54,7 @@ def ego(nodes: DataFrame, edges: DataFrame, centre: Column | str) -> tuple[DataF
     return nodes.join(ends.distinct(), "id", "left_semi"), own
 
 
-def contract(nodes: DataFrame, edges: DataFrame, keep: Column, max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+def contract(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
     """Drops the nodes that ``keep`` refuses and links survivors through paths of dropped ones."""
     marked = nodes.select("id", keep.alias("keep"))
     kept = nodes.where(keep)
@@ -63,9 +63,7 @@ def contract(nodes: DataFrame, edges: DataFrame, keep: Column, max_rounds: int =
     front = checkpointed(steps.join(kept.select(F.col("id").alias("src")), "src", "left_semi"))
     out, seen = front.where("stays").select("src", "dst"), front.where("not stays").select("src", "dst")
     front = seen
-    for _ in range(max_rounds):
-        if front.isEmpty():
-            break
+    while not front.isEmpty():
         new = front.withColumnRenamed("dst", "mid").join(steps.withColumnRenamed("src", "mid"), "mid").select("src", "dst", "stays").distinct()
         new = checkpointed(new)
         out = out.union(new.where("stays").select("src", "dst"))

@@ -14,7 +14,7 @@ _K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
 
 @query("n01_flatten", f"SELECT event_id, 'k' AS name, {_K} AS value FROM events")
 def n01(spark, d):
-    return mlprep.flatten_json(table(spark, d, "events").select("event_id", "props"), "event_id", "props", max_depth=2)
+    return mlprep.flatten_json(table(spark, d, "events").select("event_id", "props"), "event_id", "props")
 
 
 @query("n02_columns", "SELECT event_type, 'k' AS names FROM events GROUP BY 1")

@@ -5,11 +5,13 @@ the document in ``ord``. Keys are ``document#id``, as ids are unique within a do
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Levels of ``@value`` or ``export`` around a document.
-WRAPS = 4
+from graphlens.session import checkpointed
+
+#: Levels of ``@value`` around a value. A value under more is an error, as none is dropped in silence.
+WRAPS = 6
 # Property -> column, type.
 PROPERTIES = {
     "NAME": ("name", "string"), "CODE": ("code", "string"), "LINE_NUMBER": ("line", "int"), "CANONICAL_NAME": ("canonical_name", "string"), "FILENAME": ("filename", "string"),
@@ -23,7 +25,9 @@ def unwrapped(v: str, kind: str, path: str = "$") -> Column:
     """A value at a path, under as many ``@value`` levels as there are; lists of one count as their
     element, empty lists as null."""
     paths = [path + '["@value"]' * n + "[0]" * last for n in range(WRAPS, -1, -1) for last in (1, 0)]
-    return F.coalesce(*[F.try_variant_get(v, p, kind) for p in paths])
+    deeper = F.try_variant_get(v, path + '["@value"]' * (WRAPS + 1), "variant").isNotNull()
+    found = F.coalesce(*[F.try_variant_get(v, p, kind) for p in paths])
+    return F.when(deeper, F.raise_error(F.lit(f"more than {WRAPS} levels of @value at {path}")).cast(kind)).otherwise(found)
 
 
 def joined_scalar(v: str, path: str) -> Column:
@@ -39,27 +43,26 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = True) -> Da
 
 
 def _bodies(docs: DataFrame) -> DataFrame:
-    """One row for each graph of a document: doc, part, v with vertices and edges."""
+    """One row for each graph of a document: doc, part, v with vertices and edges. ``part`` numbers the graphs
+    in the order of the document. Each round opens one level of lists, ``@value`` and ``export``."""
     spark = docs.sparkSession
-    at = docs.select("doc", F.lit(0).alias("part"), "v")
-    out = None
-    for _ in range(WRAPS + 1):
+    at, out = docs.select("doc", F.array().cast("array<int>").alias("place"), "v"), None
+    while out is None or not at.isEmpty():
         has = F.try_variant_get("v", "$.vertices", "variant").isNotNull() | F.try_variant_get("v", "$.edges", "variant").isNotNull()
         here = at.where(has)
         out = here if out is None else out.unionByName(here)
-        at = at.where(~has)
-        at.createOrReplaceTempView("_graphlens_docs")
-        # A list gives its elements, an object what is under @value or export.
-        at = spark.sql(
-            "SELECT s.doc, s.part * 1000 + coalesce(e.pos, 0) AS part, e.value AS v FROM _graphlens_docs AS s, LATERAL variant_explode(s.v) AS e "
-            "WHERE e.key IS NULL OR e.key IN ('@value', 'export')"
-        )
-    return out
+        member = spark.tvf.variant_explode(F.col("v").outer()).select("pos", "key", F.col("value").alias("_value"))
+        # Scalars have no members and end here.
+        inner = at.where(~has).lateralJoin(member).where(F.col("key").isNull() | F.col("key").isin("@value", "export"))
+        at = checkpointed(inner.select("doc", F.concat("place", F.array(F.coalesce("pos", F.lit(0)))).alias("place"), F.col("_value").alias("v")))
+    part = F.dense_rank().over(Window.partitionBy("doc").orderBy("place")) - 1
+    return out.select("doc", part.cast("long").alias("part"), "v")
 
 
 def _members(bodies: DataFrame, field: str) -> DataFrame:
-    bodies.createOrReplaceTempView("_graphlens_bodies")
-    return bodies.sparkSession.sql(f"SELECT s.doc, CAST(s.part AS BIGINT) * 100000000 + e.pos AS ord, e.value AS v FROM _graphlens_bodies AS s, LATERAL variant_explode(try_variant_get(s.v, '$.{field}', 'variant')) AS e")
+    rows = bodies.select("doc", "part", F.try_variant_get("v", f"$.{field}", "variant").alias("_list")).where(F.col("_list").isNotNull())
+    member = bodies.sparkSession.tvf.variant_explode(F.col("_list").outer()).select("pos", F.col("value").alias("_value"))
+    return rows.lateralJoin(member).select("doc", (F.col("part") * (1 << 32) + F.col("pos")).alias("ord"), F.col("_value").alias("v"))
 
 
 def load(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
