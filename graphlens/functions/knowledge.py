@@ -63,7 +63,7 @@ CHECK_PATTERNS = (
     ("LENGTH_BOUND_CHECK", "STRONG", "SCP_PROFILE_LENGTH_BOUND", "", "lessThan lessEqualsThan greaterThan greaterEqualsThan", "", "", ""),
 )
 # Calls that write without a bound, and with one.
-UNBOUNDED_SINKS = "gets strcpy strcat sprintf vsprintf".split()
+UNBOUNDED_SINKS = "gets strcpy strcat sprintf vsprintf _getws getwd wcscpy wcscat lstrcpy lstrcat stpcpy wcpcpy _mbscpy _mbscat wsprintf wvsprintf".split()
 BOUNDED_SINKS = "memcpy memmove strncpy snprintf vsnprintf fgets read recv getline".split()
 # Semantic category of a call, by lower-cased name; an earlier category wins.
 CALL_CATEGORIES = {

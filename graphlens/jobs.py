@@ -39,9 +39,10 @@ def referenced(nodes: DataFrame, kb: KnowledgeBase) -> DataFrame:
     from graphlens.operators import handlers
 
     said = nodes.where(F.col("label").isin("LITERAL", "IDENTIFIER", "CALL", "FIELD_IDENTIFIER", "JUMP_TARGET")).select("doc", "label", F.coalesce("code", F.lit("")).alias("code"))
-    names = F.broadcast(handlers.tokens(kb).unionByName(kb.actions.select("action", F.upper("action").alias("token"))))
+    names = handlers.tokens(kb).unionByName(kb.actions.select("action", F.upper("action").alias("token"))).distinct()
+    tokens = sorted({r["token"] for r in names.select("token").collect() if r["token"]})
     numbers = F.broadcast(kb.actions.select("action", F.explode(F.transform("numeric", lambda n: n.cast("string"))).alias("number")))
-    by_name = said.join(names, F.contains(F.upper("code"), F.col("token"))).select("doc", "action")
+    by_name = evaluate.token_hits(said, "code", tokens).select("doc", "token").distinct().join(F.broadcast(names), "token").select("doc", "action")
     return by_name.unionByName(said.where("label = 'LITERAL'").join(numbers, F.trim("code") == F.col("number")).select("doc", "action")).distinct()
 
 

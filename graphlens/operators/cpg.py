@@ -16,6 +16,17 @@ FIELD_ACCESS = ("<operator>.fieldAccess", "<operator>.indirectFieldAccess")
 ARRAY_INIT = "<operator>.arrayInitializer"
 
 
+def is_internal(name: Column, external: Column) -> Column:
+    """Whether a method's name is its own code's: no operator, no global scope, not external."""
+    return ~name.startswith("<operator>") & ~name.startswith("<global>") & ~F.coalesce(external, F.lit(False))
+
+
+def base_name(path: Column, default: Column) -> Column:
+    """The last part of a path; the default's where there is no real path."""
+    own = F.when(path.isNotNull() & (path != "") & ~path.startswith("<"), path)
+    return F.coalesce(F.element_at(F.split(F.coalesce(own, default), "/"), -1), F.lit(""))
+
+
 class Cpg:
     """nodes (id, doc, ord, label, name, code, line, ...) and edges (src, dst, label, ord) of many documents."""
 
@@ -51,8 +62,7 @@ class Cpg:
     @cached_property
     def methods(self) -> DataFrame:
         """Internal methods: doc, method, name, ord, line."""
-        internal = ~F.col("name").startswith("<operator>") & ~F.col("name").startswith("<global>") & ~F.coalesce("is_external", F.lit(False))
-        return checkpointed(self.label("METHOD").where(internal).select("doc", F.col("id").alias("method"), F.col("name").alias("method_name"), F.col("ord").alias("method_ord"), F.col("line").alias("method_line")))
+        return checkpointed(self.label("METHOD").where(is_internal(F.col("name"), F.col("is_external"))).select("doc", F.col("id").alias("method"), F.col("name").alias("method_name"), F.col("ord").alias("method_ord"), F.col("line").alias("method_line")))
 
     @cached_property
     def by_name(self) -> DataFrame:
@@ -120,8 +130,6 @@ class Cpg:
     @cached_property
     def files(self) -> DataFrame:
         """method, file: base name of the method's file, else of the first real one of the document."""
-        base = lambda c: F.element_at(F.split(c, "/"), -1)
         first = self.label("FILE").where(~F.col("name").startswith("<") & (F.col("name") != "")).groupBy("doc").agg(F.min_by("name", "ord").alias("f"))
         rows = self.label("METHOD").join(first, "doc", "left")
-        own = F.when(F.col("filename").isNotNull() & (F.col("filename") != "") & ~F.col("filename").startswith("<"), F.col("filename"))
-        return rows.select(F.col("id").alias("method"), F.coalesce(base(F.coalesce(own, F.col("f"))), F.lit("")).alias("file"))
+        return rows.select(F.col("id").alias("method"), base_name(F.col("filename"), F.col("f")).alias("file"))

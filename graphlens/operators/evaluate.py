@@ -13,6 +13,13 @@ def stats(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*agg) if by else rows.agg(*agg)
 
 
+def token_hits(rows: DataFrame, text: str, tokens: list[str]) -> DataFrame:
+    """Rows with each token (upper case) that occurs in their text, case aside, in one pass over the rows. The tokens
+    come from a knowledge base and stand in the plan."""
+    hit = F.filter(F.array(*[F.lit(t) for t in tokens]).cast("array<string>"), lambda t: F.contains(F.upper(F.col(text)), t))
+    return rows.withColumn("token", F.explode(hit))
+
+
 def histograms(rows: DataFrame, *columns: str) -> DataFrame:
     """name, value, n: a histogram of each column and the total, in one pass (grouping sets)."""
     tagged = F.explode(F.array(F.struct(F.lit("total").alias("name"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]))

@@ -56,6 +56,22 @@ def arguments(edges: DataFrame, index: Column, label: str, missing: int = 999) -
     return of_label(edges, label).select(F.col("src").alias("call"), F.row_number().over(order).alias("pos"), F.col("dst").alias("arg"))
 
 
+def argument_of(edges: DataFrame, label: str) -> DataFrame:
+    """arg, call: the calls in which each node is an argument, each once."""
+    return of_label(edges, label).select(F.col("dst").alias("arg"), F.col("src").alias("call")).distinct()
+
+
+def with_body(nodes: DataFrame, edges: DataFrame, label: str, excluded: Column | None = None) -> DataFrame:
+    """Nodes with an edge of a label to something, without the excluded ones."""
+    rows = nodes if excluded is None else nodes.where(~F.coalesce(excluded, F.lit(False)))
+    return rows.join(of_label(edges, label).select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+
+
+def named(nodes: DataFrame, pattern: str) -> DataFrame:
+    """Nodes whose name holds a match of a regular expression."""
+    return nodes.where(F.coalesce(F.col("name").rlike(pattern), F.lit(False)))
+
+
 def last_by_index(edges: DataFrame, index: Column, label: str) -> DataFrame:
     """owner, index, param: for each index the last edge wins."""
     return of_label(edges, label).groupBy(F.col("src").alias("owner"), index.alias("index")).agg(F.max_by("dst", F.struct("ord", "dst")).alias("param"))

@@ -82,6 +82,57 @@ def infer_label(explicit: Column, positive_keyword: Column, keyword_known: Colum
     return F.coalesce(explicit.cast("int"), partition, keyword_label(filename), keyword_label(path))
 
 
+def collate(rows: DataFrame, batch: Column, order: str, *columns: str) -> DataFrame:
+    """batch, n and an array of each column, in order: samples of a batch side by side."""
+    packed = F.array_sort(F.collect_list(F.struct(order, *columns))).alias("x")
+    out = rows.groupBy(batch.alias("batch")).agg(F.count("*").alias("n"), packed)
+    side = lambda c: F.transform("x", lambda s: s[c]).alias(c)
+    return out.select("batch", "n", *[side(c) for c in columns])
+
+
+def dims(rows: DataFrame, vector: str, *by: str) -> DataFrame:
+    """The width that vectors need, by some columns."""
+    return rows.groupBy(*by).agg(F.max(F.size(vector)).alias("dim"))
+
+
+def graph_tables(graphs: DataFrame, graph: str, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """Graphs with arrays of nodes and of edges -> node rows (graph_id, pos, node) and edge rows (graph_id, pos, edge);
+    graph_id is made from the graph's key."""
+    key = F.xxhash64(graph).alias("graph_id")
+    return graphs.select(key, F.posexplode(nodes).alias("pos", "node")), graphs.select(key, F.posexplode(edges).alias("pos", "edge"))
+
+
+def counts(rows: DataFrame, column: str | Column, name: str | None = None) -> DataFrame:
+    """value, n: how often each value occurs, most often first."""
+    c = F.col(column) if isinstance(column, str) else column
+    name = name or str(column)
+    return rows.groupBy(c.alias(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first(name))
+
+
+def success_summary(rows: DataFrame, ok: Column, *by: str) -> DataFrame:
+    """success_rate and n, by some columns."""
+    agg = [F.round(F.avg(ok.cast("int")), 6).alias("success_rate"), F.count("*").alias("n")]
+    return rows.groupBy(*by).agg(*agg) if by else rows.agg(*agg)
+
+
+def samples(records: DataFrame, key: str, nodes: str, edges: str, features: list[str], label: Column) -> DataFrame:
+    """Training records -> key, x (a row of numbers for each node, in the order of the array), src, dst (places of the
+    ends among the nodes), label, n_nodes. Nodes are structs with ``sid`` and the features, edges structs with ``src`` and
+    ``dst``; an edge with an end that is no node drops out. Missing features count as 0."""
+    sids = F.transform(nodes, lambda s: s["sid"])
+    kept = F.filter(edges, lambda e: F.array_contains(sids, e["src"]) & F.array_contains(sids, e["dst"]))
+    end = lambda c: F.transform(kept, lambda e: (F.array_position(sids, e[c]) - 1).cast("int"))
+    x = F.transform(nodes, lambda s: F.array(*[F.coalesce(s[f].cast("double"), F.lit(0.0)) for f in features]))
+    return records.select(key, x.alias("x"), F.coalesce(end("src"), F.array().cast("array<int>")).alias("src"), F.coalesce(end("dst"), F.array().cast("array<int>")).alias("dst"), label.alias("label"), F.size(nodes).alias("n_nodes"))
+
+
+def convert(rows: DataFrame, json: str, config: dict[str, tuple[str, str]]) -> DataFrame:
+    """Samples from JSON texts by a configuration: column -> (path, type). A path may lead to a tensor (an array type)
+    or to a list of node or edge objects (a type such as array<struct<...>>). A value that does not fit is null."""
+    v = F.try_parse_json(json)
+    return rows.select("*", *[F.try_variant_get(v, path, kind).alias(name) for name, (path, kind) in config.items()])
+
+
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
     """label, n, weight: total / (C * sqrt(n)), scaled so that the weights sum to C."""
     counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))

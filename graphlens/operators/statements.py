@@ -30,6 +30,11 @@ def guard_edges(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("fn", "control", "branch").agg(F.min_by("sid", "path").alias("dst")).withColumnRenamed("control", "src")
 
 
+def train_mask(node_type: Column) -> Column:
+    """0 for statements that are not learned from."""
+    return F.when(node_type.isin("BreakStatement", "ContinueStatement"), 0).otherwise(1)
+
+
 def node_type_id(node_type: Column | str) -> Column:
     return lookup(node_type, NODE_TYPE_ID, 0)
 

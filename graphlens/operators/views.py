@@ -76,6 +76,33 @@ def is_noise() -> Column:
     return F.col("label").isin(*NOISE_LABELS) | ((F.col("label") == "CALL") & F.coalesce(F.col("name").startswith("<operator>"), F.lit(False)))
 
 
+def picker(nodes: DataFrame) -> DataFrame:
+    """name, first, n: each name with the first node (by ord) and how many there are, in the order of names."""
+    return nodes.groupBy("name").agg(F.min("ord").alias("first"), F.count("*").alias("n")).orderBy("name")
+
+
+def focus(nodes: DataFrame, name: str, default: str) -> DataFrame:
+    """One row: the first node of a name, or the default."""
+    return nodes.where(F.col("name") == name).agg(F.min_by("id", "ord").alias("id")).select(F.coalesce("id", F.lit(default)).alias("focus"))
+
+
+def statement_view(statements: DataFrame, parent: DataFrame, order: DataFrame, guard: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The statement graph of functions for display: nodes (fn, sid, caption) and edges (fn, src, dst, label) of the
+    three families, guards with their branch."""
+    nodes = statements.select("fn", "sid", F.concat_ws(": ", "node_type", F.nullif("code", F.lit(""))).alias("caption"))
+    tagged = lambda df, label: df.select("fn", "src", "dst", label.alias("label"))
+    branch = F.concat(F.lit("guard "), F.coalesce(F.col("branch").cast("string"), F.lit("")))
+    return nodes, tagged(parent, F.lit("parent")).unionByName(tagged(order, F.lit("next"))).unionByName(tagged(guard, F.trim(branch)))
+
+
+def flow_view(statements: DataFrame, flow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The def-use graph for display: statements at an end of an edge with their code, and edges labelled by the
+    variable, or by the kind of flow where there is none."""
+    edges = flow.select("fn", "src", "dst", F.coalesce(F.nullif("var", F.lit("")), "flow").alias("label"))
+    ends = edges.select("fn", F.col("src").alias("sid")).union(edges.select("fn", F.col("dst").alias("sid"))).distinct()
+    return ends.join(statements.select("fn", "sid", F.coalesce("code", F.lit("")).alias("caption")), ["fn", "sid"], "left"), edges
+
+
 def search(nodes: DataFrame, query: str, *columns: str) -> DataFrame:
     """Nodes with the query in one of some columns, case aside; a blank query finds nothing."""
     wanted = query.strip().lower()

@@ -137,10 +137,8 @@ def e01(spark, d):
 
 @query("e02_referenced", "SELECT t.token, count(DISTINCT p_partkey) AS n, coalesce(bool_or(p_size = 50), false) AS any_large FROM (VALUES ('RED'), ('BOLT'), ('ZZZ')) t(token) LEFT JOIN part ON contains(upper(p_name), t.token) GROUP BY 1")
 def e02(spark, d):
-    # The tokens are a constant of three, so the parts are scanned once with three tests each.
     tokens = ["RED", "BOLT", "ZZZ"]
-    hit = F.explode(F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(F.upper("p_name"), t)))
-    rows = table(spark, d, "part").select("p_partkey", "p_size", hit.alias("token"))
+    rows = evaluate.token_hits(table(spark, d, "part").select("p_partkey", "p_size", "p_name"), "p_name", tokens)
     found = rows.groupBy("token").agg(F.count_distinct("p_partkey").alias("n"), F.bool_or(F.col("p_size") == 50).alias("any_large"))
     return spark.createDataFrame([(t,) for t in tokens], "token string").join(found, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("any_large", F.lit(False)).alias("any_large"))
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.operators import graph, traverse, views
+from graphlens.operators import cpg, graph, traverse, views
 from graphlens.plans.registry import query
 from graphlens.session import table
 
@@ -100,13 +100,15 @@ def g07(spark, d):
 
 @query("g08_internal", "SELECT 'P:' || p_partkey AS id FROM part WHERE NOT starts_with(p_name, 'small') AND p_size > 10")
 def g08(spark, d):
-    return table(spark, d, "part").where(~F.col("p_name").startswith("small") & (F.col("p_size") > 10)).select(_id("P", "p_partkey").alias("id"))
+    name = F.when(F.col("p_name").startswith("small"), F.concat(F.lit("<operator>."), "p_name")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").where(cpg.is_internal(name, F.col("p_size") <= 10)).select(_id("P", "p_partkey").alias("id"))
 
 
 @query("g09_filenames", "SELECT page_id, coalesce(nullif(split_part(split_part(url, '?', 1), '/', -1), ''), 'index') AS file FROM pages")
 def g09(spark, d):
-    name = F.element_at(F.split(F.element_at(F.split("url", r"\?"), 1), "/"), -1)
-    return table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(name, F.lit("")), F.lit("index")).alias("file"))
+    path = F.element_at(F.split("url", r"\?"), 1)
+    named = F.when(~path.endswith("/"), path)
+    return table(spark, d, "pages").select("page_id", cpg.base_name(named, F.lit("site/index")).alias("file"))
 
 
 @query("g10_first_call", "SELECT 'O:' || l_orderkey AS id, arg_min('P:' || l_partkey, {'o': l_linenumber, 'p': 'P:' || l_partkey}) AS target FROM lineitem GROUP BY 1")
@@ -133,7 +135,7 @@ def g13(spark, d):
 @query("g14_argument_of", "SELECT 'P:' || l_partkey AS arg, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
 def g14(spark, d):
     calls = nodes(spark, d, "O").where("name = 'F'").select(F.col("id").alias("src"))
-    return edges(spark, d, ("CALL",)).join(calls, "src", "left_semi").groupBy(F.col("dst").alias("arg")).agg(F.count_distinct("src").alias("n"))
+    return graph.argument_of(edges(spark, d, ("CALL",)).join(calls, "src", "left_semi"), "CALL").groupBy("arg").agg(F.count("*").alias("n"))
 
 
 @query("g15_reaching_out", "SELECT 'C:' || o_custkey AS id, count(*) AS n FROM orders GROUP BY 1")
@@ -196,13 +198,13 @@ def g22(spark, d):
 
 @query("g23_with_body", "SELECT 'C:' || c_custkey AS id FROM customer WHERE c_mktsegment <> 'MACHINERY' AND EXISTS (FROM orders WHERE o_custkey = c_custkey)")
 def g23(spark, d):
-    some = edges(spark, d, ("TREE",)).select(F.col("src").alias("id"))
-    return table(spark, d, "customer").where("c_mktsegment <> 'MACHINERY'").select(_id("C", "c_custkey").alias("id")).join(some, "id", "left_semi")
+    rows = table(spark, d, "customer").select(_id("C", "c_custkey").alias("id"), "c_mktsegment")
+    return graph.with_body(rows, edges(spark, d, ("TREE",)), "TREE", excluded=F.col("c_mktsegment") == "MACHINERY").select("id")
 
 
 @query("g24_name_filter", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)BOLT|ring|Red')")
 def g24(spark, d):
-    return table(spark, d, "part").where(F.col("p_name").rlike("(?i)BOLT|ring|Red")).select("p_partkey", "p_name")
+    return graph.named(nodes(spark, d, "P"), "(?i)BOLT|ring|Red").select(F.col("ord").alias("p_partkey"), F.col("name").alias("p_name"))
 
 
 @query(
@@ -243,12 +245,15 @@ def v04(spark, d):
 
 @query("v06_picker", "SELECT p_name AS name, min(p_partkey) AS first, count(*) AS n FROM part GROUP BY 1")
 def v06(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("first"), F.count("*").alias("n"))
+    return views.picker(nodes(spark, d, "P"))
 
 
 @query("v07_noise", "SELECT event_type IN ('error', 'view') AS noise, count(*) AS n FROM events GROUP BY 1")
 def v07(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").isin("error", "view").alias("noise")).agg(F.count("*").alias("n"))
+    kind = F.col("event_type")
+    label = F.when(kind == "error", "BLOCK").when(kind.isin("view", "click"), "CALL").otherwise("METHOD")
+    rows = table(spark, d, "events").select(label.alias("label"), F.when(kind == "view", "<operator>.assignment").when(kind == "click", "open").alias("name"))
+    return rows.groupBy(views.is_noise().alias("noise")).agg(F.count("*").alias("n"))
 
 
 @query("v08_induce", "SELECT count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE p_size > 25 AND o_orderstatus = 'O'")
@@ -303,7 +308,7 @@ def v14(spark, d):
 
 @query("v17_nonempty", "SELECT 'O:' || o_orderkey AS id FROM orders WHERE EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey)")
 def v17(spark, d):
-    return nodes(spark, d, "O").select("id").join(edges(spark, d, ("CALL",)).select(F.col("src").alias("id")), "id", "left_semi")
+    return graph.with_body(nodes(spark, d, "O"), edges(spark, d, ("CALL",)), "CALL").select("id")
 
 
 @query("v19_summary", "SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM part) AS n_nodes, (SELECT count(*) FROM orders) AS n_methods, (SELECT count(*) FROM lineitem) AS n_edges")
@@ -313,8 +318,7 @@ def v19(spark, d):
 
 @query("v20_focus", "SELECT coalesce((SELECT 'P:' || min(p_partkey) FROM part WHERE p_name = 'red widget'), 'P:0') AS focus")
 def v20(spark, d):
-    first = nodes(spark, d, "P").where("name = 'red widget'").agg(F.min_by("id", "ord").alias("id"))
-    return first.select(F.coalesce("id", F.lit("P:0")).alias("focus"))
+    return views.focus(nodes(spark, d, "P"), "red widget", "P:0")
 
 
 def _handoffs() -> str:

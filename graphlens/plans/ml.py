@@ -60,13 +60,13 @@ def n09(spark, d):
 
 @query("n10_collate", "SELECT event_id // 32 AS batch, count(*) AS n, string_agg(event_type, ',' ORDER BY event_id) AS types FROM events GROUP BY 1")
 def n10(spark, d):
-    b = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 32).alias("batch")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
-    return b.select("batch", "n", F.array_join(F.transform("x", lambda s: s["event_type"]), ",").alias("types"))
+    b = mlprep.collate(table(spark, d, "events"), F.floor(F.col("event_id") / 32), "event_id", "event_type")
+    return b.select("batch", "n", F.array_join("event_type", ",").alias("types"))
 
 
 @query("n11_dims", "SELECT label, max(len(embedding))::INTEGER AS dim FROM embeddings GROUP BY 1")
 def n11(spark, d):
-    return table(spark, d, "embeddings").groupBy("label").agg(F.max(F.size("embedding")).alias("dim"))
+    return mlprep.dims(table(spark, d, "embeddings"), "embedding", "label")
 
 
 @query("n12_weights", "WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1), r AS (SELECT *, count(*) OVER () AS k, (sum(n) OVER ())::BIGINT / (count(*) OVER () * sqrt(n)) AS raw FROM c) SELECT quality, n, round(raw * k / sum(raw) OVER (), 9) AS weight FROM r")
@@ -98,9 +98,9 @@ def n15(spark, d):
     return mlprep.message_pass(e, f).withColumn("x", F.round("x", 3))
 
 
-@query("n21_softmax", "WITH x AS (SELECT vec_id, list_transform(embedding[1:10], lambda v: v::DOUBLE) AS e FROM embeddings), m AS (SELECT vec_id, e, list_max(e) AS t FROM x) SELECT vec_id, (list_position(e, t) - 1)::INTEGER AS predicted, round(1 / list_sum(list_transform(e, lambda v: exp(v - t))), 6) AS confidence FROM m")
+@query("n21_softmax", "WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), m AS (SELECT vec_id, e, list_max(e) AS t FROM x) SELECT vec_id, (list_position(e, t) - 1)::INTEGER AS predicted, round(1 / list_sum(list_transform(e, lambda v: exp(v - t))), 6) AS confidence FROM m")
 def n21(spark, d):
-    s = mlprep.softmax(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")))
+    s = mlprep.softmax(F.transform("embedding", lambda x: x.cast("double")))
     return table(spark, d, "embeddings").select("vec_id", s.alias("s")).select("vec_id", "s.predicted", F.round("s.confidence", 6).alias("confidence"))
 
 
@@ -128,14 +128,15 @@ def n22(spark, d):
 
 @query("n24_extract", "SELECT count(*) AS n_nodes, sum(n)::BIGINT AS n_edges FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)")
 def n24(spark, d):
-    docs = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("edges"))
-    rows = docs.select("l_orderkey", F.posexplode("edges").alias("pos", "dst"))
-    return rows.agg(F.count_distinct("l_orderkey").alias("n_nodes"), F.count("*").alias("n_edges"))
+    docs = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("edges")).withColumn("nodes", F.array("l_orderkey"))
+    n, e = mlprep.graph_tables(docs, "l_orderkey", "nodes", "edges")
+    n, e = n.groupBy("graph_id").agg(F.count("*").alias("nodes")), e.groupBy("graph_id").agg(F.count("*").alias("edges"))
+    return n.join(e, "graph_id").agg(F.sum("nodes").alias("n_nodes"), F.sum("edges").alias("n_edges"))
 
 
 @query("n25_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def n25(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+    return mlprep.counts(table(spark, d, "events"), "event_type")
 
 
 @query("n26_flags", "SELECT sum((event_type = 'error')::INTEGER)::BIGINT AS errors, sum((value > 100)::INTEGER)::BIGINT AS large FROM events")
@@ -150,7 +151,7 @@ def n27(spark, d):
 
 @query("n28_calls", "SELECT CASE WHEN p_size > 30 THEN NULL ELSE p_name END AS name, count(*) AS n FROM part GROUP BY 1")
 def n28(spark, d):
-    return table(spark, d, "part").groupBy(F.when(F.col("p_size") <= 30, F.col("p_name")).alias("name")).agg(F.count("*").alias("n"))
+    return mlprep.counts(table(spark, d, "part"), F.when(F.col("p_size") <= 30, F.col("p_name")), "name")
 
 
 @query("n29_histogram", "WITH s AS (SELECT min(p_size) AS lo, max(p_size) AS hi, greatest(least(count(DISTINCT p_size), 50), 10) AS k FROM part) SELECT coalesce(least(floor((p_size - lo) * k / nullif(hi - lo, 0)::DOUBLE), k - 1), 0)::BIGINT AS bin, count(*) AS n FROM part, s GROUP BY 1")
@@ -182,4 +183,4 @@ def n31(spark, d):
 
 @query("n33_summary", "SELECT o_orderstatus, round(avg((o_totalprice > 100000)::INTEGER), 6) AS success_rate, count(*) AS n FROM orders GROUP BY 1")
 def n33(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.round(F.avg((F.col("o_totalprice") > 100000).cast("int")), 6).alias("success_rate"), F.count("*").alias("n"))
+    return mlprep.success_summary(table(spark, d, "orders"), F.col("o_totalprice") > 100000, "o_orderstatus")

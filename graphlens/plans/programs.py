@@ -221,7 +221,7 @@ def a05(spark, d):
     return order.unionByName(f.guard_edges().select(F.lit("guard").alias("kind"), "src", "dst", F.col("branch").cast("int")))
 
 
-@query("d01_program", "SELECT * FROM (VALUES (0, 6, 'n', 'value'), (0, 8, 'n', 'size'), (0, 8, 'src', 'value'), (3, 6, 'buf', 'base'), (4, 6, 'i', 'index'), (6, 8, 'buf', 'base'), (8, 10, 'buf', 'value')) t(src, dst, var, flow)")
+@query("d01_program", "SELECT * FROM (VALUES (0, 6, 'n', 'value'), (0, 8, 'n', 'size'), (0, 8, 'src', 'value'), (3, 6, 'buf', 'base'), (5, 6, 'i', 'index'), (6, 8, 'buf', 'base'), (8, 10, 'buf', 'value')) t(src, dst, var, flow)")
 def d01(spark, d):
     return guarded(spark)[1].def_use.select("src", "dst", "var", "flow")
 

@@ -64,7 +64,8 @@ def a13(spark, d):
 def a14(spark, d):
     w = W.partitionBy("fn").orderBy("sid").rowsBetween(W.unboundedPreceding, -1)
     loop = F.max((F.col("event_type") == "signup").cast("int")).over(w)
-    return events(spark, d).select("event_id", (~F.col("event_type").isin("error", "signup")).cast("int").alias("train_mask"), F.coalesce(loop, F.lit(0)).alias("in_loop"))
+    kind = F.when(F.col("event_type") == "error", "BreakStatement").when(F.col("event_type") == "signup", "ContinueStatement").otherwise("AssignmentExpression")
+    return events(spark, d).select("event_id", statements.train_mask(kind).alias("train_mask"), F.coalesce(loop, F.lit(0)).alias("in_loop"))
 
 
 _DU = f"""{_E}, m AS (SELECT fn, sid, k % 10 AS var, event_type IN ('purchase', 'signup') AS is_def, event_type IN ('click', 'view') AS is_use, event_type FROM e),

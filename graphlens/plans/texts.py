@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphlens.functions import text
 from graphlens.plans.registry import query
 from graphlens.session import table
+from graphlens.sources import artifacts, graphson
 
 
 @query("f02_upper_snake", "SELECT c_custkey, upper(regexp_replace(replace(c_name, '#', 'IdTag'), '([^A-Z])([A-Z])', '\\1_\\2', 'g')) AS snake FROM customer")
@@ -30,23 +31,27 @@ def f04(spark, d):
 @query("s04_join", "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, '/' ORDER BY l_linenumber, l_partkey) AS joined FROM lineitem GROUP BY 1")
 def s04(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
-    return rows.select("l_orderkey", F.array_join(F.transform("x", lambda s: s["l_partkey"].cast("string")), "/").alias("joined"))
+    values = F.transform("x", lambda s: s["l_partkey"].cast("string"))
+    wrapped = F.to_json(F.struct(F.struct(F.struct(values.alias("@value")).alias("CODE")).alias("properties")))
+    return rows.select("l_orderkey", F.parse_json(wrapped).alias("v")).select("l_orderkey", graphson.joined_scalar("v", "$.properties.CODE").alias("joined"))
 
 
 @query("s11_merge", "SELECT l_orderkey, l_linenumber, max(l_partkey) AS value FROM lineitem GROUP BY ALL")
 def s11(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_partkey", F.col("l_partkey")).alias("value"))
+    rows = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("key"), F.col("l_partkey").alias("value"), F.col("l_partkey").alias("file_ord"))
+    return graphson.merge_files(rows).select("key.*", "value")
 
 
 @query("s12_count_methods", "SELECT count(*) AS n FROM events WHERE event_type = 'signup'")
 def s12(spark, d):
-    return table(spark, d, "events").where("event_type = 'signup'").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "events").select(F.lit("all").alias("doc"), F.when(F.col("event_type") == "signup", "METHOD").otherwise("CALL").alias("label"))
+    return graphson.count_methods(rows).select("n")
 
 
 @query("s14_extension", "SELECT page_id, coalesce(nullif(lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '\\.([A-Za-z0-9]+)$', 1)), ''), '') IN ('html', 'htm') AS supported FROM pages")
 def s14(spark, d):
     path = F.element_at(F.split(F.element_at(F.split("url", r"\?"), 1), "#"), 1)
-    return table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).isin("html", "htm").alias("supported"))
+    return table(spark, d, "pages").select("page_id", artifacts.is_supported(path, ".HTML", "htm").alias("supported"))
 
 
 @query("s16_unique_names", "SELECT p_partkey, CASE WHEN r = 0 THEN p_name ELSE p_name || '_' || r END AS name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS r FROM part)")
@@ -70,9 +75,9 @@ def s19(spark, d):
     return table(spark, d, "pages").select("page_id", text.name_from_code("url").alias("name"))
 
 
-@query("s20_markdown", "SELECT p_partkey, '# ' || p_name || chr(10) || chr(10) || '```' || chr(10) || p_type || chr(10) || '```' AS doc FROM part")
+@query("s20_markdown", "SELECT p_partkey, '## Code' || chr(10) || chr(10) || '```c' || chr(10) || p_name || chr(10) || '```' || chr(10) || chr(10) || '## AST' || chr(10) || chr(10) || '```json' || chr(10) || p_type || chr(10) || '```' || chr(10) || chr(10) || '## DFG' || chr(10) || chr(10) || '```json' || chr(10) || p_size || chr(10) || '```' || chr(10) AS doc FROM part")
 def s20(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("# "), "p_name", F.lit("\n\n```\n"), "p_type", F.lit("\n```")).alias("doc"))
+    return table(spark, d, "part").select("p_partkey", artifacts.to_markdown(F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string")).alias("doc"))
 
 
 _LABEL = "CASE p_size % 5 WHEN 0 THEN '0x' || p_size WHEN 1 THEN p_size::VARCHAR || 'U' WHEN 2 THEN '''a''' WHEN 3 THEN 'default' ELSE 'NAME_' || p_size END"
