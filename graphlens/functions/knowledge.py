@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Action; sensitive fields; handler patterns; symbols; numeric ids.
 ACTIONS = (
@@ -105,5 +106,10 @@ class KnowledgeBase:
     def _table(self, rows: list, schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
 
+    def reverse(self) -> DataFrame:
+        """by, key, action: actions by symbol, number and name."""
+        each = lambda by, c: self.actions.select(F.lit(by).alias("by"), F.explode(c.cast("array<string>")).alias("key"), "action")
+        return each("symbol", F.col("symbols")).unionByName(each("numeric", F.col("numeric"))).unionByName(each("name", F.array(F.upper("action"))))
+
     def slots(self) -> DataFrame:
         return self._table([(n, d, s) for n, (d, s) in API_SLOTS.items()], "name string, dst int, size int")

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 KIND_WEIGHT = {"STRING_DISPATCH": 0.90, "ENUM_CASE": 0.85, "REGISTRATION_INIT": 0.80, "REGISTRATION_ASSIGN": 0.80, "REGISTRAR_CALL": 0.70, "NAME_MATCH": 0.70, "DISPATCH_SITE": 0.00}
@@ -19,8 +20,12 @@ MATCH_MULTIPLIER = {"EXACT_IDENTIFIER": 1.00, "RESOLVED_VALUE": 0.95, "NORMALIZE
 STRONG_MATCHES = ("EXACT_IDENTIFIER", "RESOLVED_VALUE")
 
 
+# Fixed values, as the defaults.
 @dataclass(frozen=True)
 class Policy:
+    """Bounds of the calculus: the most that weak evidence alone, and any evidence, can say; the least confidence and the
+    least lead of a resolved candidate; what conflicting evidence keeps; how many calls a registrar is followed."""
+
     weak_only_cap: float = 0.85
     global_cap: float = 0.99
     min_confidence: float = 0.50
@@ -65,9 +70,13 @@ def score(evidence: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 
 def group_max(scored: DataFrame) -> DataFrame:
-    """slot, callback, group score: the best of each provenance group; a row without a group stands alone."""
-    alone = F.when(F.col("group").isNull(), F.monotonically_increasing_id())
-    return scored.withColumn("_alone", alone).groupBy("slot", "callback", "group", "_alone").agg(F.max("score").alias("g"), F.max(F.col("match").isin(*STRONG_MATCHES)).alias("strong"))
+    """slot, callback, group score: the best of each provenance group; a row without a group stands alone. Such rows are
+    told apart by their own values and their place among equal ones, so that a task that runs again agrees."""
+    plain = [F.col(f"`{f.name}`") for f in scored.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    own = F.xxhash64(*plain)
+    place = F.row_number().over(Window.partitionBy("slot", "callback", "_own").orderBy("score"))
+    scored = scored.withColumn("_own", F.when(F.col("group").isNull(), own))
+    return scored.withColumn("_alone", F.when(F.col("group").isNull(), F.struct("_own", place))).groupBy("slot", "callback", "group", "_alone").agg(F.max("score").alias("g"), F.max(F.col("match").isin(*STRONG_MATCHES)).alias("strong"))
 
 
 def noisy_or(groups: DataFrame, policy: Policy = Policy()) -> DataFrame:

@@ -52,6 +52,23 @@ def decisions(resolutions: DataFrame, packages: DataFrame | None = None) -> Data
     return own.unionByName(out.join(packages.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_anti"))
 
 
+def traces(evidence: DataFrame) -> DataFrame:
+    """slot, callback, notes, sites: what speaks for each candidate, strongest first, and the places it was seen."""
+    rows = evidence.groupBy("slot", "callback").agg(F.sort_array(F.collect_list(F.struct("weight", "kind", "match", "site")), False).alias("e"))
+    note = lambda e: F.concat_ws(" ", e["kind"], e["match"], F.format_string("%.2f", e["weight"]))
+    return rows.select("slot", "callback", F.transform("e", note).alias("notes"), F.array_distinct(F.array_compact(F.transform("e", lambda e: e["site"].cast("string")))).alias("sites"))
+
+
+# What the kinds of export hold.
+EXPORTS = {"fragments": ("resolutions", "bindings", "sinks", "steps", "observed", "matching"), "packages": ("packages",)}
+
+
+def selection(tables: dict[str, DataFrame], which: str) -> dict[str, DataFrame]:
+    """The result tables of an export: fragments, packages, or full."""
+    names = tables if which == "full" else EXPORTS[which]
+    return {n: tables[n] for n in names if n in tables}
+
+
 def status_counts(resolutions: DataFrame) -> DataFrame:
     return resolutions.agg(*[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in STATUS_ORDER])
 

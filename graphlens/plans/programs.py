@@ -142,7 +142,7 @@ def run(spark: SparkSession, *names: str, **options) -> evidence.Result:
     return evidence.analyze(nodes, edges, KnowledgeBase(spark), **options)
 
 
-@query("s01_graphson")
+@query("s01_graphson", "SELECT * FROM (VALUES ('firmware', 39::BIGINT, 3::BIGINT, 73::BIGINT), ('checked_profile', 41, 2, 83), ('two_registrations', 18, 3, 23), ('designated', 18, 2, 25), ('registrar', 34, 4, 59), ('registrar_search', 34, 3, 55), ('switch_case', 22, 3, 32)) t(doc, n_nodes, n_methods, n_edges)")
 def s01(spark, d):
     nodes, edges = graphson.load(documents(spark))
     n = nodes.groupBy("doc").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("label") == "METHOD").alias("n_methods"))
@@ -226,12 +226,14 @@ def d01(spark, d):
     return guarded(spark)[1].def_use.select("src", "dst", "var", "flow")
 
 
-@query("d26_records", "SELECT 'copy_bad' AS function_name, 1 AS label, 11 AS n_nodes, 7 AS n_flow")
+@query("d26_records", "SELECT 'copy_bad' AS function_name, 1 AS label, 11 AS n_nodes, 7 AS n_flow, 10 AS n_parent, 5 AS n_order, 3 AS n_guard, 11 AS n_flow_nodes, 3 AS strength, 0.1::DOUBLE AS norm")
 def d26(spark, d):
     from graphlens.operators import cstatements
 
-    out = cstatements.training_records(guarded(spark)[1], with_label=True)
-    return out.select("function_name", "label", F.size("nodes").alias("n_nodes"), F.size("edges_dfg").alias("n_flow"))
+    out = cstatements.validated_records(cstatements.training_records(guarded(spark)[1], with_label=True))
+    sizes = {"n_nodes": "nodes", "n_flow": "edges_dfg", "n_parent": "edges_ast_pc", "n_order": "edges_ast_sb", "n_guard": "edges_ast_guard", "n_flow_nodes": "dfg_nodes"}
+    inner = F.filter("nodes", lambda n: n["sid"] == 6)[0]["feat"]
+    return out.select("function_name", "label", *[F.size(c).alias(n) for n, c in sizes.items()], inner["ctx_guard_strength"].alias("strength"), inner["ctx_upper_bound_norm"].alias("norm"))
 
 
 @query("a21_call_flags", "SELECT * FROM (VALUES (0::BIGINT, 1, 0, 0, 0, 3, 1, 0, 0, 0), (1, 0, 0, 0, 0, 4, 1, 0, 0, 0), (2, 0, 0, 1, 1, 3, 0, 1, 1, 0), (3, 0, 0, 0, 1, 3, 1, 0, 0, 0), (4, 0, 1, 0, 0, 0, 0, 0, 0, 0), (5, 0, 0, 0, 0, 1, 0, 0, 0, 0), (6, 0, 0, 0, 0, 0, 0, 0, 0, 0)) t(call, varargs, unbounded, non_dst, field, kind, linked, base, mismatch, alloc)")
