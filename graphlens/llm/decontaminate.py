@@ -6,8 +6,8 @@ block how far the end of the search window may move; blocks in no pattern move i
 shift 0 the block selects a bucket, the first words select patterns within it, and a direct
 comparison confirms each occurrence. Patterns of each length have tables of their own.
 
-The benchmark is read in parts of at most ``MAX_WINDOWS`` windows, each shipped to the executors
-and searched in turn, so its size is bounded in memory but not in total. A null or empty text has
+The benchmark is read in parts of at most ``MAX_WINDOWS`` windows (about half a kilobyte each in a Python
+worker), each shipped to the executors and searched in turn, so its size is bounded in memory but not in total. A null or empty text has
 no words. Items without words have no window; a null item id counts as the empty one; equal ids
 are one item. Repeated rows are scored alike. Other columns of the documents pass through.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from graphlens.llm.common import table
 
 WINDOW = 10
-MAX_WINDOWS = 500_000
+MAX_WINDOWS = 200_000
 #: Bytes of text that are split into words at a time.
 BLOCK = 1 << 22
 _CLASS = bytes((c + 32 if 65 <= c <= 90 else c) if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -42,19 +42,21 @@ class Patterns:
     def __init__(self, size: int) -> None:
         self.size, self.block = size, min(2, size)
         self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, dict[tuple, list[tuple[list[bytes], set[str]]]]] = {}
-        self.known: dict[tuple, set[str]] = {}
-
-    def add(self, window: tuple, item: str) -> None:
-        if window in self.known:
-            self.known[window].add(item)
+        self.bucket: dict[tuple, dict[tuple, list[tuple]]] = {}
+        self.known: dict[tuple, frozenset[str]] = {}
+
+    def add(self, window: tuple, item: frozenset[str]) -> None:
+        """A window of an item; windows of one item share the set that names it."""
+        if (known := self.known.get(window)) is not None:
+            if not item <= known:
+                self.known[window] = known | item
             return
-        self.known[window] = {item}
+        self.known[window] = item
         m, b = self.size, self.block
         for end in range(b, m + 1):
             block = window[end - b : end]
             self.shift[block] = min(self.shift.get(block, m - b + 1), m - end)
-        self.bucket.setdefault(window[m - b :], {}).setdefault(window[:b], []).append((list(window), self.known[window]))
+        self.bucket.setdefault(window[m - b :], {}).setdefault(window[:b], []).append(window)
 
     def search(self, w: list[bytes], hits: list[tuple[int, int]], items: set[str]) -> None:
         m, b, n, far = self.size, self.block, len(w), self.size - self.block + 1
@@ -65,10 +67,11 @@ class Patterns:
                 end += step
                 continue
             at = end - m
-            for window, ids in bucket[block].get(tuple(w[at : at + b]), ()):
-                if w[at:end] == window:
+            here = tuple(w[at:end])
+            for window in bucket[block].get(here[:b], ()):
+                if here == window:
                     hits.append((at, end))
-                    items |= ids
+                    items |= self.known[window]
             end += 1
 
 
@@ -76,9 +79,9 @@ def build(rows: list[tuple[str | None, str | None]], window: int = WINDOW) -> li
     by_size: dict[int, Patterns] = {}
     for item, text in rows:
         w = words(text)
-        size = min(window, len(w))
+        size, name = min(window, len(w)), frozenset(["" if item is None else str(item)])
         for at in range(len(w) - size + 1 if size else 0):
-            by_size.setdefault(size, Patterns(size)).add(tuple(w[at : at + size]), "" if item is None else str(item))
+            by_size.setdefault(size, Patterns(size)).add(tuple(w[at : at + size]), name)
     return list(by_size.values())
 
 
