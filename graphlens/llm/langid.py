@@ -61,8 +61,13 @@ def _not_letters() -> re.Pattern:
     return re.compile(rf"[\W\d_{''.join(numbers)}]+")
 
 
+_MOSTLY = re.compile(r"[\W\d_]+")
+
+
 def letters(text: str) -> str:
-    return _not_letters().sub(" ", text.lower()).strip()
+    part = _MOSTLY.sub(" ", text.lower()).strip()
+    # The large class is slow, and few texts hold a number that is no digit.
+    return part if part.replace(" ", "").isalpha() else _not_letters().sub(" ", part).strip()
 
 
 def pieces(text: str) -> Iterator[bytes]:
