@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from graphlens.llm.common import checkpointed, fold, table
 
 MAX_PER_CLASS = 8000
+#: Partitions of the sample.
+SAMPLE_PARTS = 64
 MAX_FEATURES = 6000
 MIN_DF = 4
 PREFIXES = (4, 5, 6, 7)
@@ -118,7 +120,9 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, max_per_class: in
     texts = docs.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("doc_id", "text", "y").distinct()
     # An id may stand for several texts.
     parts = [texts.where(F.col("y") == y).orderBy(rank, "doc_id", F.xxhash64("text")).limit(max_per_class) for y in (0, 1)]
-    return checkpointed(parts[0].unionByName(parts[1]).select("text", "y")), totals
+    # A limit leaves one partition; dealt out again, no Python worker holds many texts at once.
+    dealt = parts[0].unionByName(parts[1]).select("text", "y").repartition(SAMPLE_PARTS, F.xxhash64("text"))
+    return checkpointed(dealt), totals
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
