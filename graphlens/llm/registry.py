@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphlens.llm import ann, decontaminate, divergence, html, langid, line_dedup, mixing, pii, repair, secrets, simhash, toxicity
+from graphlens.llm import ann, decontaminate, divergence, html, langid, line_dedup, mixing, pii, repair, secrets, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html": html.op9_html,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_repair": repair.op11_repair,
+    "op12_suffixes": suffixes.op12_suffixes,
     "op13_divergence": divergence.op13_divergence,
 }
-SQL = mixing.SQL | decontaminate.SQL | line_dedup.SQL | divergence.SQL
+SQL = mixing.SQL | decontaminate.SQL | line_dedup.SQL | suffixes.SQL | divergence.SQL
