@@ -15,24 +15,29 @@ UNSAFE_WORDS = ("bad", "vulnerable", "unsafe", "malicious")
 def flatten_json(rows: DataFrame, key: str, json: str) -> DataFrame:
     """key, name, value: numeric leaves of a JSON text under dotted names; booleans are 1 and 0,
     strings and nulls drop out. Arrays count their elements from 0. Each round opens one level, until none is left."""
-    at = rows.select(key, F.lit("").alias("name"), F.try_parse_json(json).alias("v"))
+    return flatten_variants(rows.select(key, F.try_parse_json(json).alias("v")), [key], "v").where(F.col("name") != "")
+
+
+def flatten_variants(rows: DataFrame, keys: list[str], variant: str) -> DataFrame:
+    """keys, name, value as in ``flatten_json``, of a variant column; a number that stands alone has the empty name."""
+    at = rows.select(*keys, F.lit("").alias("name"), F.col(variant).alias("v"))
     out = None
     while out is None or not at.isEmpty():
         kind = F.schema_of_variant("v")
         leaf = at.where(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"))
         value = F.coalesce(F.try_variant_get("v", "$", "double"), F.try_variant_get("v", "$", "boolean").cast("int").cast("double"))
-        leaf = leaf.where(~F.schema_of_variant("v").isin("STRING", "VOID")).select(key, "name", value.alias("value"))
+        leaf = leaf.where(~F.schema_of_variant("v").isin("STRING", "VOID")).select(*keys, "name", value.alias("value"))
         out = leaf if out is None else out.unionByName(leaf)
         inner = at.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        at = checkpointed(_children(inner, key))
-    return out.where(F.col("name") != "")
+        at = checkpointed(_children(inner, keys))
+    return out
 
 
-def _children(inner: DataFrame, key: str) -> DataFrame:
+def _children(inner: DataFrame, keys: list[str]) -> DataFrame:
     """The members of objects and arrays, one level down."""
-    member = inner.sparkSession.tvf.variant_explode(F.col("v").outer()).select("pos", F.col("key").alias("_key"), F.col("value").alias("_value"))
-    name = F.concat(F.when(F.col("name") == "", F.lit("")).otherwise(F.concat("name", F.lit("."))), F.coalesce("_key", F.col("pos").cast("string")))
-    return inner.lateralJoin(member).select(key, name.alias("name"), F.col("_value").alias("v"))
+    member = inner.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value"))
+    name = F.concat(F.when(F.col("name") == "", F.lit("")).otherwise(F.concat("name", F.lit("."))), F.coalesce("_key", F.col("_pos").cast("string")))
+    return inner.lateralJoin(member).select(*keys, name.alias("name"), F.col("_value").alias("v"))
 
 
 def column_union(features: DataFrame, by: str | None = None) -> DataFrame:

@@ -27,12 +27,6 @@ def n07(spark, d):
     return out.select("l_orderkey", "label", "n_nodes", F.size("src").alias("n_edges"), total.alias("quantity"))
 
 
-@query("n08_convert", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS x, NULL::DOUBLE[] AS tensor FROM events")
-def n08(spark, d):
-    config = {"k": ("$.k", "bigint"), "x": ("$.k", "double"), "tensor": ("$.k", "array<double>")}
-    return mlprep.convert(table(spark, d, "events").select("event_id", "props"), "props", config).drop("props")
-
-
 @query("t20_call_names", "SELECT user_id AS doc, event_type AS name, min(event_id) AS first FROM events WHERE event_type <> 'error' GROUP BY ALL")
 def t20(spark, d):
     label = F.when(F.col("event_type") == "error", "BLOCK").otherwise("CALL")
