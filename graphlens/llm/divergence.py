@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,40 +67,44 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
             return
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial occurrences and documents by language, source and term."""
     total: dict[tuple[str, str], Counter] = {}
     docs: dict[tuple[str, str], Counter] = {}
     held = 0
 
-    def frame() -> pd.DataFrame:
-        rows = [(lang, source, t.decode("utf-8", "replace"), n, docs[lang, source][t]) for (lang, source), c in total.items() for t, n in c.items()]
-        return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
+    def given() -> Iterator[pa.RecordBatch]:
+        for (lang, source), n in total.items():
+            d, size = docs[lang, source], len(n)
+            names = [pa.repeat(pa.scalar(x, pa.string()), size) for x in (lang, source)]
+            numbers = [pa.array(x, pa.int64()) for x in (n.values(), map(d.__getitem__, n))]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(n.keys(), pa.binary()), *numbers], names=["lang", "source", "term", "n", "docs"])
+        total.clear()
+        docs.clear()
 
     for b in batches:
-        for lang, source, text in zip(b["lang"], b["source"], b["text"], strict=True):
-            own: Counter = Counter()
-            for part in terms(text):
+        for lang, source, text in zip(*(b.column(c) for c in ("lang", "source", "text")), strict=True):
+            group = (lang.as_py(), source.as_py())
+            n = total.setdefault(group, Counter())
+            before, own = len(n), set()
+            for part in terms(text.as_py()):
+                n.update(part)
                 own.update(part)
-            group = (lang, source)
-            n = len(total.setdefault(group, Counter()))
-            total[group].update(own)
-            docs.setdefault(group, Counter()).update(own.keys())
-            held += len(total[group]) - n
+            docs.setdefault(group, Counter()).update(own)
+            held += len(n) - before
             if held > HELD:
-                yield frame()
-                total.clear()
-                docs.clear()
+                yield from given()
                 held = 0
-    yield frame()
+    yield from given()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs."""
+    """lang, source, term, n, docs, dealt out by language and term."""
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     rows = docs.select(text("lang"), text("source"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    counted = rows.mapInPandas(_counts, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = rows.mapInArrow(_counts, "lang string, source string, term binary, n long, docs long")
+    dealt = counted.withColumn("term", F.col("term").cast("string")).repartition("lang", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def scaled(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -182,9 +187,10 @@ def _block(term: Column, blocks: Column) -> Column:
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block: int = BLOCK, wide: int = STRIP) -> DataFrame:
     """lang, source, part, item, value, rank."""
     groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
-    counts = checkpointed(term_counts(docs))
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total")).where(F.col("docs") >= min_docs).select("lang", "term", "total")
-    cells = checkpointed(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "total"))
+    # A list holds a number for each source of the language at most. All sums by term take one shuffle.
+    by_term = term_counts(docs).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("cells"))
+    kept = checkpointed(by_term.where(F.col("docs") >= min_docs).select("lang", "term", "total", "cells"))
+    cells = kept.select("lang", "term", "total", F.explode("cells").alias("c")).select("lang", "c.source", "term", "c.n", "total")
     words = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("whole"))
     sizes = cells.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     # Numbers of a language's sources; the result has a row for each pair of them.

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphlens.llm import divergence
@@ -61,11 +62,14 @@ def test_equals_plain_integers(spark, monkeypatch, strip, block, held):
     """Ranges of strips and blocks, flushed counts, languages without kept terms, nulls, empty names."""
     rows = random_docs()
     assert rows_of(divergence.divergence(docs(spark, rows), block=block, wide=strip)) == plain(rows, divergence.MIN_DOCS)
-    partial = list(divergence._counts(iter([docs(spark, rows, extra=False).fillna("").toPandas().assign(text=[(r[1] or "").encode() for r in rows])])))
+    batch = pa.RecordBatch.from_pylist([{"lang": r[2] or "", "source": r[3] or "", "text": (r[1] or "").encode()} for r in rows])
+    given = lambda: [r for x in divergence._counts(iter([batch])) for r in x.to_pylist()]
+    whole = given()
     monkeypatch.setattr(divergence, "HELD", held)
-    small = list(divergence._counts(iter([docs(spark, rows, extra=False).fillna("").toPandas().assign(text=[(r[1] or "").encode() for r in rows])])))
-    total = lambda frames: sum((Counter({(a, b, c): n for a, b, c, n in f[["lang", "source", "term", "n"]].itertuples(index=False)}) for f in frames), Counter())
-    assert total(partial) == total(small)
+    small = given()
+    for c in ("n", "docs"):
+        total = lambda out: sum((Counter({(r["lang"], r["source"], r["term"]): r[c]}) for r in out), Counter())  # noqa: B023, E731
+        assert total(whole) == total(small)
 
 
 def test_odd_rows_and_empty_table(spark):
