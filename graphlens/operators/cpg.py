@@ -56,8 +56,7 @@ class Cpg:
     def below(self) -> DataFrame:
         """top, node, depth: every node with itself and all of its AST ancestors. Trees are as deep
         as code is nested, so this holds a small multiple of the nodes."""
-        up = self.edges.where("label = 'AST'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        return checkpointed(graph.closure(up, self.nodes.select("id")).select(F.col("node").alias("top"), F.col("seed").alias("node"), "depth"))
+        return checkpointed(graph.ancestry(self.nodes, self.edges, "AST"))
 
     @cached_property
     def methods(self) -> DataFrame:

@@ -97,9 +97,47 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     return known
 
 
+def places(edges: DataFrame, label: str) -> DataFrame | None:
+    """root, node, depth, path of every node of a label's trees (see ``forest``), if the edges form trees: each node has
+    one parent at most and none is on a circle. Else None, and closures are needed."""
+    tree = of_label(edges, label).select("src", "dst", "label", "ord")
+    n, children = tree.agg(F.count("*"), F.count_distinct("dst")).first()
+    if n != children:
+        return None
+    found = checkpointed(forest(tree, label))
+    return found if found.where("depth > 0").count() == n else None
+
+
+def _below(tree: DataFrame, tops: DataFrame) -> DataFrame:
+    """top, node, depth: the nodes of a forest below some of its nodes (top, root, path), found by their path's prefixes of the
+    tops' lengths. One join, whatever the depth; as many rows are made as a node has prefixes of these lengths."""
+    tops = checkpointed(tops.select("top", "root", F.col("path").alias("prefix"), F.size("path").alias("at")))
+    lengths = tops.agg(F.array_sort(F.collect_set("at")).alias("lengths"))
+    rows = tree.where("depth > 0").join(F.broadcast(lengths)).select("root", "node", "depth", "path", F.explode(F.filter("lengths", lambda x: x < F.col("depth"))).alias("at"))
+    rows = rows.select("root", "node", F.slice("path", F.lit(1), F.col("at")).alias("prefix"), (F.col("depth") - F.col("at")).alias("depth"))
+    return rows.join(tops.drop("at"), ["root", "prefix"]).select("top", "node", "depth")
+
+
 def descendants(edges: DataFrame, roots: DataFrame, label: str, max_depth: int | None = None) -> DataFrame:
-    """root, node, depth: all below each root, without the root itself."""
-    return closure(of_label(edges, label), roots, max_depth).where("depth > 0").withColumnRenamed("seed", "root")
+    """root, node, depth: all below each root, without the root itself. In trees by a test on paths, else by closure."""
+    tree = places(edges, label)
+    if tree is None:
+        return closure(of_label(edges, label), roots, max_depth).where("depth > 0").withColumnRenamed("seed", "root")
+    tops = roots.select(F.col("id").alias("node")).distinct().join(tree, "node").select(F.col("node").alias("top"), "root", "path")
+    found = _below(tree, tops).withColumnRenamed("top", "root")
+    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
+
+
+def ancestry(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """top, node, depth: every node (id) with itself and with all that it lies below."""
+    tree = places(edges, label)
+    if tree is None:
+        up = of_label(edges, label).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return closure(up, nodes.select("id")).select(F.col("node").alias("top"), F.col("seed").alias("node"), "depth")
+    own = nodes.select(F.col("id").alias("top"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct()
+    below = tree.where("depth > 0").select("root", "node", "depth", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("depth") - 1), lambda k: F.slice("path", F.lit(1), k))).alias("at", "path"))
+    above = below.join(tree.select("root", "path", F.col("node").alias("top")), ["root", "path"]).select("top", "node", (F.col("depth") - F.col("at")).cast("int").alias("depth"))
+    return own.unionByName(above.join(nodes.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("top", "node", "depth"))
 
 
 def owner(nodes: DataFrame, parent_of: DataFrame, is_owner: Column, max_rounds: int = 64) -> DataFrame:
@@ -120,7 +158,15 @@ def owner(nodes: DataFrame, parent_of: DataFrame, is_owner: Column, max_rounds:
 
 
 def dominates(edges: DataFrame, pairs: DataFrame, label: str = "DOMINATE", max_depth: int | None = None) -> DataFrame:
-    """pairs (a, b) -> adds dominated: whether b is reachable from a along a label, a itself included."""
+    """pairs (a, b) -> adds dominated: whether b is reachable from a along a label, a itself included. In trees a test on
+    the two paths of each pair, else by closure."""
+    tree = places(edges, label)
+    if tree is not None:
+        at = lambda c: tree.select(F.col("node").alias(c), F.struct("root", "path").alias(f"_{c}"))
+        both = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+        inside = (F.col("_a.root") == F.col("_b.root")) & (F.slice("_b.path", F.lit(1), F.size("_a.path")) == F.col("_a.path"))
+        hit = (F.col("a") == F.col("b")) | (inside if max_depth is None else inside & (F.size("_b.path") - F.size("_a.path") <= max_depth))
+        return both.select(*[F.col(c) for c in pairs.columns], F.coalesce(hit, F.lit(False)).alias("dominated"))
     reach = closure(of_label(edges, label), pairs.select(F.col("a").alias("id")), max_depth).select(F.col("seed").alias("a"), F.col("node").alias("b"), F.lit(True).alias("_hit"))
     return pairs.join(reach, ["a", "b"], "left").withColumn("dominated", F.coalesce("_hit", F.lit(False))).drop("_hit")
 

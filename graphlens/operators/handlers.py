@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.knowledge import KnowledgeBase
 from graphlens.functions.text import strip_quotes, upper_snake
-from graphlens.operators import calculus
+from graphlens.operators import calculus, traverse
 from graphlens.operators.calculus import Policy
-from graphlens.operators.cpg import ARRAY_INIT, ASSIGN, Cpg
+from graphlens.operators.cpg import ARRAY_INIT, ASSIGN, FIELD_ACCESS, Cpg
 from graphlens.session import rounds
 from graphlens.session import settled as checkpointed
 
@@ -54,10 +54,10 @@ def first_internal_call(g: Cpg, starts: DataFrame) -> DataFrame:
     cfg = checkpointed(g.edges.where("label = 'CFG'").select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("ord").alias("eord")))
     hit = g.calls.where("internal").select(F.col("call").alias("node"), F.col("target").alias("callback"))
     labels = g.label("JUMP_TARGET").select(F.col("id").alias("node"))
-    front = checkpointed(starts.select("start", F.col("start").alias("node"), F.array().cast("array<bigint>").alias("found")).distinct())
+    front = checkpointed(starts.select("start", F.col("start").alias("node"), F.array().cast("array<struct<rank:int,eord:bigint>>").alias("found")).distinct())
     known, out = front.select("start", "node"), None
     for depth in rounds():
-        new = front.join(cfg, "node").select("start", F.col("next").alias("node"), F.concat("found", F.array("eord")).alias("found"))
+        new = front.join(cfg, "node").select("start", F.col("next").alias("node"), F.concat("found", F.array(F.struct(F.lit(0).alias("rank"), F.col("eord").cast("long").alias("eord")))).alias("found"))
         new = new.groupBy("start", "node").agg(F.min("found").alias("found")).join(known, ["start", "node"], "left_anti")
         new = checkpointed(new.join(labels, "node", "left_anti").join(hit, "node", "left"))
         if new.isEmpty():
@@ -69,6 +69,8 @@ def first_internal_call(g: Cpg, starts: DataFrame) -> DataFrame:
         if depth % 16 == 0:
             known = checkpointed(known)
         front = new.join(done, "start", "left_anti").select("start", "node", "found")
+        if depth % traverse.RENUMBER == 0:
+            front = traverse.renumbered(front, "start", "found")
     return out if out is not None else starts.select("start", F.lit(None).cast("string").alias("call"), F.lit(None).cast("string").alias("callback")).limit(0)
 
 
@@ -152,8 +154,9 @@ def by_registration(g: Cpg, kb: KnowledgeBase) -> DataFrame:
 
 
 def registrar_calls(g: Cpg, kb: KnowledgeBase, depth: int) -> DataFrame:
-    """doc, action, call, callback, cb_arg, exact, stored, searched: internal calls that get a function
-    and an id of an action, and whether some function within ``depth`` hops stores both in one slot."""
+    """doc, action, call, callback, cb_arg, exact, stored, searched, sites, id_store, cb_store: internal calls that get a function
+    and an id of an action, and whether some function within ``depth`` hops stores both in one slot; then with the first such way
+    in the order of a search that looks into a function before the functions it calls: the calls passed through and both stores."""
     internal = g.methods.select(F.col("method").alias("target"))
     calls = g.calls.where(~F.col("name").startswith("<operator>")).join(internal, "target", "left_semi").select("doc", "call", "target", "ord")
     refs = g.args.where("arg_label = 'METHOD_REF'").select("call", F.col("idx").alias("cb_idx"), F.col("arg").alias("cb_arg"), "pos", strip_quotes("arg_code").alias("method_name"))
@@ -173,25 +176,58 @@ def registrar_calls(g: Cpg, kb: KnowledgeBase, depth: int) -> DataFrame:
     named = g.below.join(g.ids("node", "name", "label", "code"), "node").select("top", F.coalesce(F.nullif("node_name", F.lit("")), F.when(F.col("node_label") == "METHOD_REF", strip_quotes("node_code"))).alias("n"), F.col("node_label").alias("nl")).where(F.col("n").isNotNull())
     named = checkpointed(named.distinct())
     rhs = g.args.where("pos = 2").select(F.col("call").alias("assign"), F.col("arg").alias("top")).join(named.where(F.col("nl").isin("IDENTIFIER", "METHOD_REF")), "top").select("assign", "n").join(g.receiver.select("assign", "slot", "method"), "assign")
-    rhs = checkpointed(rhs.distinct())
-    state = rows.select("action", "call", F.col("target").alias("method"), "cb_name", "id_name").distinct()
+    rhs = checkpointed(rhs.distinct().join(g.calls.select(F.col("call").alias("assign"), F.col("ord").cast("long").alias("a_ord")), "assign"))
+    # ``way`` holds the places of the calls passed through; the way of a function sorts before those through its calls.
+    state = rows.select("action", "call", F.col("target").alias("method"), "cb_name", "id_name", F.array().cast("array<bigint>").alias("way"), F.array().cast(f"array<{g.nodes.schema['id'].dataType.simpleString()}>").alias("sites")).distinct()
     stored = None
     for hop in range(depth + 1):
-        a = rhs.select("method", F.col("n").alias("cb_name"), "slot", F.col("assign").alias("ca"))
-        b = rhs.select("method", F.col("n").alias("id_name"), "slot", F.col("assign").alias("ia"))
-        hit = state.join(a, ["method", "cb_name"]).join(b, ["method", "id_name", "slot"]).where(F.col("ca") != F.col("ia")).select("action", "call").distinct()
+        a = rhs.select("method", F.col("n").alias("cb_name"), "slot", F.col("assign").alias("cb_store"), F.col("a_ord").alias("ca"))
+        b = rhs.select("method", F.col("n").alias("id_name"), "slot", F.col("assign").alias("id_store"), F.col("a_ord").alias("ia"))
+        hit = state.join(a, ["method", "cb_name"]).join(b, ["method", "id_name", "slot"]).where(F.col("cb_store") != F.col("id_store")).select("action", "call", "way", "ca", "ia", "sites", "id_store", "cb_store")
         stored = hit if stored is None else stored.unionByName(hit)
         if hop == depth:
             break
-        inside = g.calls.where(~F.col("name").startswith("<operator>") & F.col("target").isNotNull()).select(F.col("owner").alias("method"), F.col("call").alias("site"), F.col("target").alias("next"))
+        inside = g.calls.where(~F.col("name").startswith("<operator>") & F.col("target").isNotNull()).select(F.col("owner").alias("method"), F.col("call").alias("site"), F.col("target").alias("next"), F.col("ord").cast("long").alias("site_ord"))
         uses = g.args.select(F.col("call").alias("site"), "idx", F.col("arg").alias("top")).join(named.select("top", "n"), "top").select("site", "idx", "n").distinct()
         go = state.join(inside, "method").join(uses.select("site", F.col("idx").alias("cb_idx"), F.col("n").alias("cb_name")), ["site", "cb_name"]).join(uses.select("site", F.col("idx").alias("id_idx"), F.col("n").alias("id_name")), ["site", "id_name"])
-        state = checkpointed(_bind(g, go.select("action", "call", F.col("next").alias("target"), "cb_idx", "id_idx")).select("action", "call", F.col("target").alias("method"), "cb_name", "id_name").distinct())
+        # If several arguments of a call hold a name, the last one stands for it.
+        go = go.groupBy("action", "call", "site", "next", "site_ord", "way", "sites").agg(F.max("cb_idx").alias("cb_idx"), F.max("id_idx").alias("id_idx"))
+        go = _bind(g, go.select("action", "call", F.col("next").alias("target"), "cb_idx", "id_idx", F.concat("way", F.array("site_ord")).alias("way"), F.concat("sites", F.array("site")).alias("sites")))
+        state = go.groupBy("action", "call", F.col("target").alias("method"), "cb_name", "id_name").agg(F.min(F.struct("way", "sites")).alias("w"))
+        state = checkpointed(state.select("action", "call", "method", "cb_name", "id_name", "w.way", "w.sites"))
+    stored = stored.groupBy("action", "call").agg(F.min(F.struct("way", "ca", "ia", "sites", "id_store", "cb_store")).alias("w")).select("action", "call", "w.sites", "w.id_store", "w.cb_store")
     compared = g.calls.where(F.col("name").isin(*COMPARISONS)).select(F.col("call").alias("top"), F.col("owner").alias("target")).join(named.select("top", "n"), "top").select("target", F.col("n").alias("id_name"), F.lit(True).alias("compared")).distinct()
     loops = g.label("CONTROL_STRUCTURE").where(F.upper("control_type").isin("FOR", "WHILE", "DO")).select("id").join(g.method_of, "id").select(F.col("owner").alias("target"), F.lit(True).alias("loop")).distinct()
-    out = rows.join(stored.distinct().withColumn("stored", F.lit(True)), ["action", "call"], "left").join(compared, ["target", "id_name"], "left").join(loops, "target", "left")
+    out = rows.join(stored.withColumn("stored", F.lit(True)), ["action", "call"], "left").join(compared, ["target", "id_name"], "left").join(loops, "target", "left")
+    out = out.join(_indexed_stores(g, named), ["target", "cb_name"], "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    return checkpointed(out.select("doc", "action", "call", "callback", "cb_arg", "exact", yes("stored").alias("stored"), (yes("compared") & yes("loop")).alias("searched")))
+    return checkpointed(out.select("doc", "action", "call", "callback", "cb_arg", "exact", yes("stored").alias("stored"), (yes("compared") & (yes("loop") | yes("indexed"))).alias("searched"), "sites", "id_store", "cb_store"))
+
+
+def _indexed_stores(g: Cpg, named: DataFrame) -> DataFrame:
+    """target, cb_name, indexed: functions with an assignment that holds a name and whose target is an element, or a field of one, at
+    an index that is no literal."""
+    place = Window.partitionBy("src").orderBy("ord", "dst")
+    kids = g.edges.where("label = 'AST'").withColumn("at", F.row_number().over(place))
+    kid = lambda k, a, b: kids.where(F.col("at") == k).select(F.col("src").alias(a), F.col("dst").alias(b))
+    calls = lambda a, names: g.calls.where(F.col("name").isin(*names)).select(F.col("call").alias(a))
+    lhs = g.args.where("pos = 1").select(F.col("call").alias("assign"), F.col("arg").alias("lhs")).join(calls("assign", (ASSIGN,)), "assign")
+    of_field = lhs.join(calls("lhs", FIELD_ACCESS), "lhs").join(kid(1, "lhs", "element"), "lhs").select("assign", "element")
+    elements = of_field.unionByName(lhs.select("assign", F.col("lhs").alias("element"))).join(calls("element", INDEXING), "element")
+    index = kid(2, "element", "index").join(g.ids("index", "label", where=F.col("label") != "LITERAL"), "index")
+    stores = elements.join(index, "element").select(F.col("assign").alias("top")).distinct().join(named.select("top", "n"), "top").join(g.calls.select(F.col("call").alias("top"), F.col("owner").alias("target")), "top")
+    return stores.select("target", F.col("n").alias("cb_name"), F.lit(True).alias("indexed")).distinct()
+
+
+def registrar_chains(g: Cpg, registrars: DataFrame) -> DataFrame:
+    """doc, action, call, pos, step, node, code, line: how each registrar call that stores its callback gets there: the call,
+    the calls it is handed on by, the stores of the id and of the callback, and the callback."""
+    step = lambda kind, node: F.struct(F.lit(kind).alias("step"), F.col(node).alias("node"))
+    handed = F.transform("sites", lambda s: F.struct(F.lit("CHAIN_CALL").alias("step"), s.alias("node")))
+    chain = F.concat(F.array(step("DISPATCH_REGISTRAR_CALL", "call")), handed, F.array(step("CHAIN_STORE", "id_store"), step("CHAIN_STORE", "cb_store"), step("HANDLER_REF", "callback")))
+    rows = registrars.where("stored").select("doc", "action", "call", F.posexplode(chain).alias("pos", "s")).select("doc", "action", "call", "pos", "s.step", "s.node")
+    shown = F.when(F.col("step") == "HANDLER_REF", F.col("node_name")).otherwise(F.col("node_code"))
+    return rows.join(g.ids("node", "code", "name", "line"), "node").select("doc", "action", "call", "pos", "step", "node", shown.alias("code"), F.col("node_line").alias("line"))
 
 
 def _bind(g: Cpg, rows: DataFrame) -> DataFrame:

@@ -9,6 +9,18 @@ from graphlens.session import rounds
 from graphlens.session import settled as checkpointed
 
 
+#: Levels of a search after which the order of discovery is numbered anew.
+RENUMBER = 8
+
+
+def renumbered(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """``rows`` with ``order``, an array of struct(rank, eord), replaced by one entry that sorts alike within ``by``. Rows are dealt
+    out by range of that order, so no task sees them all; the numbers hold once the result is written, as it is here."""
+    dealt = rows.repartitionByRange(by, order).sortWithinPartitions(by, order)
+    number = F.array(F.struct(F.lit(0).alias("rank"), F.monotonically_increasing_id().alias("eord")))
+    return checkpointed(dealt.withColumn(order, number))
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, stop: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """node, depth, parent, kind (and ``by``): breadth-first search from the seeds (column id; column
     ord, if any). With ``by``, a column of the seeds, each of its values is a search of its own.
@@ -30,7 +42,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, stop:
     front = start.groupBy("_by", F.col("id").alias("node")).agg(F.min("ord").alias("o"))
     front = front.select("_by", "node", F.lit(0).alias("depth"), F.lit(None).cast(key).alias("parent"), F.lit("").alias("kind"), F.array(F.struct(F.lit(0).alias("rank"), F.col("o").cast("long").alias("eord"))).alias("found"))
     front = checkpointed(front)
-    seen = front
+    seen = front.drop("found")
     for depth in rounds(max_depth):
         # ``found`` is the order of discovery: the parent's, then the edge's.
         step = front.select("_by", "node", "found").join(edges, F.col("node") == F.col("src"))
@@ -40,10 +52,11 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, stop:
         front = checkpointed(new)
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(front.drop("found"))
+        if depth % RENUMBER == 0:
+            front = renumbered(front, "_by", "found")
         if depth % 16 == 0:
             seen = checkpointed(seen)
-    seen = seen.drop("found")
     return seen.withColumnRenamed("_by", by) if by else seen.drop("_by")
 
 
