@@ -116,13 +116,13 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, max_per_class: in
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rank = F.xxhash64(F.lit(11), "doc_id")
     parts = [known.where(F.col("y") == y).orderBy(rank, "doc_id").limit(max_per_class) for y in (0, 1)]
-    # At most 2 * max_per_class ids.
-    texts = docs.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("doc_id", "text", "y").distinct()
-    # An id may stand for several texts.
-    parts = [texts.where(F.col("y") == y).orderBy(rank, "doc_id", F.xxhash64("text")).limit(max_per_class) for y in (0, 1)]
-    # A limit leaves one partition; dealt out again, no Python worker holds many texts at once.
-    dealt = parts[0].unionByName(parts[1]).select("text", "y").repartition(SAMPLE_PARTS, F.xxhash64("text"))
-    return checkpointed(dealt), totals
+    # At most 2 * max_per_class ids. An id may stand for several texts, so rows are chosen again, by the hash of their text.
+    named = docs.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h")).distinct()
+    parts = [named.where(F.col("y") == y).orderBy(rank, "doc_id", "h").limit(max_per_class) for y in (0, 1)]
+    chosen = checkpointed(parts[0].unionByName(parts[1]))
+    # Only now are texts read, those of the chosen rows, and dealt out; no sort or limit holds a text.
+    texts = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"]).repartition(SAMPLE_PARTS, "doc_id", "h")
+    return checkpointed(texts.dropDuplicates(["doc_id", "h"]).select("text", "y")), totals
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
