@@ -44,13 +44,27 @@ BAD_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising ban
     share sharing shoutbox sidebar sidebars signup social sponsor sponsored subscribe subscription tags teaser
     toolbar topbar widget widgets""".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
+#: Words that name a part of a page beside one of the words above, as in sidebar-left or comment-list.
+PARTS = frozenset("""area article articles bar block blog body bottom box btn button buttons col column container content entry feed
+    form global group head header icon icons inline inner item items js left link links list main module outer page panel post posts
+    primary region right row secondary section site slot small space text the thread title top unit user wrap wrapper""".split())
+#: First words of a label that says what an element has or lacks, and last words of one that says how it is.
+DESCRIBING = frozenset("has have with without no not non is are hide hides show shows".split())
+STATES = frozenset("active allowed closed collapsed disabled enabled free less off on open ready visible".split())
+#: Elements that frame a whole page, whose labels describe its layout.
+FRAME = frozenset("html body main article".split())
+#: A label does not count against an element with at least this share of the text if less than so many characters, and less than a
+#: tenth of the page, are left without any cue.
+MOST, LITTLE = 0.5, 200
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)""", re.S)
 #: Of a tag, up to its end or through one quoted value.
 _PART = re.compile(r"""[^>"']*+(?:(>)|"[^"]*+"|'[^']*+')""")
 _CUE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/>]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
+_NAME = re.compile(r"[a-z]+|[0-9]+")
+#: Between the words of a name in camel case.
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -78,31 +92,50 @@ class Block:
     ``leaf`` and ``parent`` number its element and the one around that (0 for none), ``depth`` counts the
     elements around the text, ``shared`` those that it has in common with the block before."""
 
-    __slots__ = ("text", "linked", "leaf", "parent", "depth", "shared", "bad", "good", "tag")
+    __slots__ = ("text", "linked", "leaf", "parent", "depth", "shared", "bad", "good", "tag", "label")
 
-    def __init__(self, text: str, linked: int, leaf: int, parent: int, depth: int, shared: int, bad: int, good: int, tag: str) -> None:
+    def __init__(self, text: str, linked: int, leaf: int, parent: int, depth: int, shared: int, bad: int, good: int, tag: str, label: int = 0) -> None:
         self.text, self.linked, self.leaf, self.parent, self.depth, self.shared = text, linked, leaf, parent, depth, shared
-        self.bad, self.good, self.tag = bad, good, tag
+        self.bad, self.good, self.tag, self.label = bad, good, tag, label
 
 
-def _cues(tag: str, attrs: str, in_article: bool) -> tuple[int, int]:
-    """Whether an element's name or labels speak against or for content."""
-    bad = tag in BAD_TAGS or (tag == "header" and not in_article)
-    good = tag in ("article", "main")
+def _names(attrs: str) -> Iterator[list[str]]:
+    """The words of each of an element's labels; ``with-sidebar`` is one label of two words."""
     if "=" in attrs:
         for found in _CUE.finditer(attrs):
-            names = _NAME.findall((found[1] or found[2] or found[3] or "").lower())
-            bad = bad or any(n in BAD_WORDS for n in names)
-            good = good or any(n in GOOD_WORDS for n in names)
+            for label in _HUMP.sub("-", found[1] or found[2] or found[3] or "").split():
+                yield _NAME.findall(label.lower())
+
+
+def _speaks_against(words: list[str]) -> bool:
+    """Whether a label says what an element is. One that says what the element has, lacks or does (has-sidebar,
+    no-ads, comments-open, overflow-hidden, social-studies) only describes it."""
+    if not words or words[0] in DESCRIBING or words[-1] in STATES:
+        return False
+    known = [w in BAD_WORDS or w.isdigit() or w in PARTS for w in words]
+    return any(w in BAD_WORDS for w in words) and (len(words) == 1 or all(known))
+
+
+def _cues(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element's name or a hidden state speaks against content, whether its labels do, and whether either speaks for it.
+    Labels of the page's own frame (html, body, main, article) say nothing against it."""
+    bad = tag in BAD_TAGS or (tag == "header" and not in_article)
+    good, labelled = tag in ("article", "main"), False
+    for words in _names(attrs):
+        labelled = labelled or (tag not in FRAME and _speaks_against(words))
+        good = good or any(n in GOOD_WORDS for n in words)
     if attrs and _HIDDEN.search(attrs):
         bad = True
-    return int(bad), int(good and not bad)
+    return bad, labelled and not bad, good and not bad and not labelled
 
 
 def blocks(html: str | None) -> list[Block]:
     """All blocks with text, in page order."""
     page, out = html or "", []
-    stack: list[tuple[str, int, int, int, bool]] = []  # name, number, bad and good cues so far, in an article
+    # Name, number, bad and good cues so far, in an article, nearest element whose label speaks against it.
+    stack: list[tuple[str, int, int, int, bool, int]] = []
+    labels = [0]  # for each element with such a label the one around it
+    pairs: dict[str, dict[int, int]] = {}
     opened: Counter[str] = Counter()
     buffer: list[str] = []
     number, linked, in_link, at, last = 0, 0, 0, 0, len(page)
@@ -113,9 +146,9 @@ def blocks(html: str | None) -> list[Block]:
         if buffer:
             text = _SPACE.sub(" ", "".join(buffer)).strip()
             if text:
-                bad, good, tag = (stack[-1][2], stack[-1][3], stack[-1][0]) if stack else (0, 0, "")
+                bad, good, tag, label = (stack[-1][2], stack[-1][3], stack[-1][0], stack[-1][5]) if stack else (0, 0, "", 0)
                 leaf, parent = stack[-1][1] if stack else 0, stack[-2][1] if len(stack) > 1 else 0
-                out.append(Block(text, min(linked, len(text)), leaf, parent, len(stack), low, bad, good, tag))
+                out.append(Block(text, min(linked, len(text)), leaf, parent, len(stack), low, bad, good, tag, label))
                 low = len(stack)
             buffer.clear()
         linked = 0
@@ -153,7 +186,7 @@ def blocks(html: str | None) -> list[Block]:
         name, ends = m[2].lower(), bool(m[1])
         if name in SKIPPED:
             if not ends and not attrs.endswith("/>"):
-                at = _skip(page, at, name)
+                at = _skip(page, m.start(), at, name, pairs)
             elif ends:
                 continue
             buffer.append(" ")
@@ -173,25 +206,56 @@ def blocks(html: str | None) -> list[Block]:
             if name in VOID:
                 continue
             number += 1
-            was = stack[-1] if stack else ("", 0, 0, 0, False)
-            bad, good = _cues(name, attrs, was[4])
-            stack.append((name, number, was[2] + bad, was[3] + good, was[4] or name in ("article", "main")))
+            was = stack[-1] if stack else ("", 0, 0, 0, False, 0)
+            bad, labelled, good = _cues(name, attrs, was[4])
+            if labelled:
+                labels.append(was[5])
+            stack.append((name, number, was[2] + bad, was[3] + good, was[4] or name in ("article", "main"), len(labels) - 1 if labelled else was[5]))
             opened[name] += 1
     flush()
+    _weigh_labels(out, labels)
+    return out
+
+
+def _weigh_labels(found: list[Block], labels: list[int]) -> None:
+    """Adds to each block's bad cues the labels around it that count: not those of an element with most of a page that would
+    lose nearly all of its text by them."""
+    below, total = [0] * len(labels), sum(len(b.text) for b in found)
+    for b in found:
+        below[b.label] += len(b.text)
+    for i in range(len(labels) - 1, 0, -1):
+        below[labels[i]] += below[i]
+    free = sum(len(b.text) for b in found if not b.bad and not b.label)
+    spare = free < LITTLE and 10 * free < total
+    counted = [0] * len(labels)
+    for i in range(1, len(labels)):
+        counted[i] = counted[labels[i]] + (not (spare and below[i] >= MOST * total))
+    for b in found:
+        b.bad += counted[b.label]
+
+
+def _closes(page: str, name: str) -> dict[int, int]:
+    """Where each element of a name that is closed ends, by the place of its start tag, in one pass over the page."""
+    out, opened = {}, []
+    for m in re.finditer(rf"<(/?){name}\b[^>]*>", page, re.I):
+        if not m[1]:
+            opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
     return out
 
 
-def _skip(page: str, at: int, name: str) -> int:
-    """The end of a skipped element; the end of the page if it is never closed, unless it may stay open."""
-    pattern = re.compile(rf"</{name}\s*[^>]*>", re.I) if name in RAW else re.compile(rf"<(/?){name}\b[^>]*>", re.I)
+def _skip(page: str, start: int, at: int, name: str, pairs: dict[str, dict[int, int]]) -> int:
+    """The end of a skipped element whose tag is at start and ends at ``at``. One that is never closed and holds no raw text may
+    stay open; else it goes on to the end of the page. ``pairs`` keeps what has been found for a name."""
     if name in RAW:
-        m = pattern.search(page, at)
+        m = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
         return m.end() if m else len(page)
-    depth = 1
-    for m in pattern.finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
+    if name not in pairs:
+        pairs[name] = _closes(page, name)
+    end = pairs[name].get(start, -1)
+    if end >= at:
+        return end
     if name == "head":
         m = re.compile(r"<body\b", re.I).search(page, at)
         return m.start() if m else at

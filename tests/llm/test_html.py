@@ -63,3 +63,39 @@ def test_odd_and_empty_tables(spark, tmp_path):
     assert len(out) == len(rows) and [(r["text"], r["n_chars"]) for r in out if r["page_id"] == 1] == [("A whole sentence of an article, repeated.", 41)] * 3
     assert all(r["text"] == "" and r["n_chars"] == 0 for r in out if r["page_id"] in (None, 2, 4))
     assert html.op9_html(spark, write(df.limit(0), tmp_path / "none", "pages")).count() == 0
+
+
+SENTENCES = ["This is a plain sentence about rivers and the towns that stand on their banks, number %d of the whole article." % i for i in range(5)]
+
+
+@pytest.mark.parametrize("body", ["", ' class="has-sidebar single"', ' class="overflow-hidden"', ' class="post comments-open"', ' class="no-ads"', ' class="page-sidebar-left nav-open" id=search'])
+@pytest.mark.parametrize("around", ["<article>%s</article>", '<div class="entry">%s</div>', "<main>%s</main>", '<div class="content with-sidebar">%s</div>', '<main class="social-studies">%s</main>', '<div class="socialStudies">%s</div>'])
+def test_names_of_layouts_hide_nothing(body, around):
+    page = f"<html><body{body}><nav><a href=a>Home</a></nav>" + around % "".join(f"<p>{s}</p>" for s in SENTENCES) + '<div class="sidebar"><p>Read also what others wrote about this very topic, all week long.</p></div></body></html>'
+    assert html.main_text(page) == "\n".join(SENTENCES)
+
+
+@pytest.mark.parametrize("name", ["sidebar", "comment-list", "site-footer", "relatedArticles", "cookie-banner", "newsletter signup", "ad", "ad-slot-3", "share-buttons", "left-sidebar", "post-comments", "hidden"])
+def test_names_of_boilerplate_still_count(name):
+    page = "<body><article>" + "".join(f"<p>{s}</p>" for s in SENTENCES) + f'</article><div class="{name}"><p>A sentence that is none of the article and has quite some words in it, too.</p></div>'
+    assert html.main_text(page) == "\n".join(SENTENCES)
+
+
+def test_a_label_around_nearly_all_text_is_no_sidebar():
+    inner = "".join(f"<p>{s}</p>" for s in SENTENCES)
+    assert html.main_text(f'<body><h1>Title of it</h1><div class="widget">{inner}</div>') .endswith("\n".join(SENTENCES))
+    long_comments = "".join(f"<p>{s}</p>" for s in SENTENCES * 4)
+    assert html.main_text(f'<body><div>{inner}</div><div class="comments">{long_comments}</div>') == "\n".join(SENTENCES)
+
+
+@pytest.mark.parametrize("tag", ["<button>", "<svg><path>", "<select><option>a", "<object>", "<canvas>x"])
+def test_unclosed_elements_take_linear_time(tag):
+    page = "<body><p>The only sentence of this page, ahead of all.</p>" + tag * 100_000 + "<p>And one more sentence, at the very end of it.</p>"
+    start = time.time()
+    assert "The only sentence of this page" in html.main_text(page)
+    assert time.time() - start < 10
+
+
+def test_closed_elements_are_skipped():
+    page = "<p>One sentence that stays here.</p><svg><text>no<svg>no</svg>no</text></svg><p>Another one <button>no <b>no</b></button>that stays, too.</p><select><option>no</select>"
+    assert html.main_text("<body>" + page) == "One sentence that stays here.\nAnother one that stays, too."
