@@ -4,8 +4,8 @@ Base spans (e-mail, ip, card, phone) are seeds. The words before and after a see
 patterns. Tokens with a digit or an at sign outside all base spans are candidates, with patterns
 of their own. Patterns and instances form a graph. In each generation the patterns with enough
 different known instances are scored in ``ROUNDS`` rounds: a pattern's score is the mean score of its
-instances, an instance's the noisy-or of its patterns' scores; known instances stay at 1, the rest
-start at 0. Candidates after a word of high score, and of a plausible make for the kind, become known
+instances, an instance's the noisy-or of the scores of its other patterns, of those of high score; so no
+pattern vouches for itself. Known instances stay at 1, the rest start at 0. Candidates after a word of high score, and of a plausible make for the kind, become known
 instances of that kind, and with them their other contexts gain support. Generations go on until none
 finds a new instance. What stands after a pattern of high score at the end becomes a span.
 
@@ -95,8 +95,12 @@ def scored_patterns(graph: DataFrame, known: DataFrame, sizes: DataFrame) -> Dat
     open_ = checkpointed(open_.join(known, ["token", "kind"], "left_anti"))
     score = strong.withColumn("score", F.col("seeds") / F.col("n"))
     for _ in range(ROUNDS - 1):
-        instances = join_small(open_, score.select("pat", "kind", "score"), ["pat", "kind"]).groupBy("token", "kind").agg(F.sum(F.log(1 - F.least("score", F.lit(0.999)))).alias("l"))
-        gained = open_.join(instances.select("token", "kind", (1 - F.exp("l")).alias("s")), ["token", "kind"]).groupBy("pat", "kind").agg(F.sum("s").alias("gain"))
+        # Only patterns of high score speak for an instance: two weak ones that always stand together would else lift each other.
+        own = F.when(F.col("score") >= CONFIDENCE, F.log(1 - F.least("score", F.lit(0.999)))).otherwise(F.lit(0.0))
+        said = join_small(open_, score.select("pat", "kind", own.alias("own")), ["pat", "kind"])
+        instances = said.groupBy("token", "kind").agg(F.sum("own").alias("l"), F.count("*").alias("pats")).where("pats > 1")
+        # What a pattern gains from an instance comes from the instance's other patterns alone.
+        gained = said.join(instances, ["token", "kind"]).groupBy("pat", "kind").agg(F.sum(1 - F.exp(F.least(F.col("l") - F.col("own"), F.lit(0.0)))).alias("gain"))
         score = checkpointed(strong.join(gained, ["pat", "kind"], "left").withColumn("score", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("n")).drop("gain"))
     return score.select("pat", "kind", "score")
 
@@ -134,7 +138,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = checkpointed(base(docs))
     own = F.transform("seeds", lambda m: F.struct(m["start"].alias("start"), m["rank"].alias("rank"), m["kind"].alias("kind"), m["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return rows.select("k", "doc_id", own.alias("base")).join(discovered(rows), "k", "left").select("doc_id", "base", F.coalesce("more", none).alias("more"))
+    # Only rows with a candidate can gain a span, so rows that share a key for having no text at all do not meet in one task.
+    open_, rest = (rows.where(F.size("others") > 0), rows.where(F.size("others") <= 0))
+    found = open_.select("k", "doc_id", own.alias("base")).join(checkpointed(discovered(rows)), "k", "left").select("doc_id", "base", F.coalesce("more", none).alias("more"))
+    return found.unionByName(rest.select("doc_id", own.alias("base"), none.alias("more")))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import math
 import re
 from collections import defaultdict
 
+import pytest
+
 from graphlens.llm import pii
 from tests.conftest import SF
 from tests.llm.cases import write
@@ -54,12 +56,13 @@ def plain_spans(texts):
         seeds = {(p, k): n for p in of for k in pii.KINDS if (n := sum((t, k) in known for t in of[p])) >= pii.SUPPORT}
         score = {pk: n / len(of[pk[0]]) for pk, n in seeds.items()}
         for _ in range(pii.ROUNDS - 1):
-            miss = defaultdict(float)
+            said_by = defaultdict(dict)
             for (p, k), s in score.items():
                 for t in of[p]:
                     if (t, k) not in known:
-                        miss[t, k] += math.log(1 - min(s, 0.999))
-            score = {(p, k): (n + sum(1 - math.exp(miss[t, k]) for t in of[p] if (t, k) not in known)) / len(of[p]) for (p, k), n in seeds.items()}
+                        said_by[t, k][p] = 1 - min(s, 0.999) if s >= pii.CONFIDENCE else 1.0
+            trust = lambda t, k, but: 1 - math.prod(v for p, v in said_by[t, k].items() if p != but)  # noqa: B023, E731
+            score = {(p, k): (n + sum(trust(t, k, p) for t in of[p] if (t, k) not in known)) / len(of[p]) for (p, k), n in seeds.items()}
         hits = defaultdict(list)
         for i, (_, ms) in said.items():
             for s, e, kind, tok, pats in ms:
@@ -77,9 +80,10 @@ def plain_spans(texts):
 
 
 def two_generations():
-    rows = [(i, f"please call helpline +1 (555) 55{i % 10}-{1000 + i} now or never") for i in range(40)]
-    rows += [(60 + i, f"call helpline 55{i}-0199-77{i} today") for i in range(6)]  # found after helpline
-    rows += [(70 + i, f"ring nightdesk 55{i}-0199-77{i} soon") for i in range(6)]  # the same numbers teach nightdesk
+    # 120 of 132 and 12 of 13 are above 0.9 without any support from the instances themselves.
+    rows = [(200 + i, f"please call helpline +1 (555) 55{i % 10}-{1000 + i} now or never") for i in range(120)]
+    rows += [(30 + i, f"call helpline 55{i}-0199-77{i} today") for i in range(12)]  # found after helpline
+    rows += [(50 + i, f"ring nightdesk 55{i}-0199-77{i} soon") for i in range(12)]  # the same numbers teach nightdesk
     rows += [(80, "ring nightdesk 991-0000-123 soon"), (81, "in 1999 there were 1234567 now"), (82, "z" * 50 + " 991-0000-555 x"), (83, None), (83, None)]
     return rows
 
@@ -93,6 +97,17 @@ def test_found_instances_induce_patterns(spark, tmp_path):
     assert got[80] == "phone:15:27" and got[81] == got[82] == ""
 
 
+@pytest.mark.parametrize(("phones", "orders"), [(11, 11), (11, 8), (30, 10)])
+@pytest.mark.parametrize("around", ["order %s done", "%s done"])
+def test_mixed_contexts_report_nothing(spark, tmp_path, phones, orders, around):
+    """Words that stand beside phones and beside order numbers alike vouch for neither."""
+    rows = [(i, around % f"+1 555 01{i:02d} 99{i:02d}" + f" w{chr(97 + i)}") for i in range(phones)]
+    rows += [(100 + i, around % f"7{i:02d}400{i:03d}" + f" v{chr(97 + i)}") for i in range(orders)]
+    d = write(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)
+    got = {r["doc_id"]: r["spans"] for r in pii.op3_pii(spark, d).collect()}
+    assert all(got[i].startswith("phone:") for i in range(phones)) and not any(got[100 + i] for i in range(orders))
+
+
 def test_spans_match_plain_python(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r["doc_id"]: r["spans"] for r in pii.op3_pii(spark, SF).collect()} == plain_spans(texts)[0]
