@@ -91,9 +91,11 @@ def root_causes(rows: DataFrame, causes: DataFrame, domain: str = "domain", miss
     # Both ways to match become keys of an equi-join, so the rows are not paired with the catalog.
     wanted = F.array_distinct(F.concat(F.array(F.concat(F.lit("d:"), F.col(domain))), F.transform(missing, lambda m: F.concat(F.lit("c:"), m))))
     offered = c.select("id", "ord", F.explode(F.concat(F.transform("domains", lambda d: F.concat(F.lit("d:"), d)), F.transform("checks", lambda d: F.concat(F.lit("c:"), d)))).alias("_k"))
-    tagged = rows.withColumn("_id", F.monotonically_increasing_id())
-    hits = tagged.select(*key, "_id", F.explode_outer(wanted).alias("_k")).join(F.broadcast(offered), "_k", "left")
-    out = hits.groupBy("_id", *key).agg(F.array_sort(F.collect_set(F.when(F.col("id").isNotNull(), F.struct("ord", "id")))).alias("c"))
+    # Rows are told apart by their own values; equal ones are counted, and given out again as often as they came.
+    each = rows.groupBy(*key).agg(F.count("*").alias("_times"))
+    hits = each.select(*key, "_times", F.explode_outer(wanted).alias("_k")).join(F.broadcast(offered), "_k", "left")
+    out = hits.groupBy(*key, "_times").agg(F.array_sort(F.collect_set(F.when(F.col("id").isNotNull(), F.struct("ord", "id")))).alias("c"))
+    out = out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return out.select(*key, F.transform("c", lambda s: s["id"]).alias("causes"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphlens.session import checkpointed
 
-#: Levels of ``@value`` around a value. A value under more is an error, as none is dropped in silence.
+#: Levels of ``@value`` around a value that are opened at a time. Values under more are opened in rounds.
 WRAPS = 6
 # Property -> column, type.
 PROPERTIES = {
@@ -22,12 +22,33 @@ PROPERTIES = {
 
 
 def unwrapped(v: str, kind: str, path: str = "$") -> Column:
-    """A value at a path, under as many ``@value`` levels as there are; lists of one count as their
-    element, empty lists as null."""
+    """A value at a path, under up to WRAPS ``@value`` levels; lists of one count as their
+    element, empty lists as null. ``opened`` deals with values under more."""
     paths = [path + '["@value"]' * n + "[0]" * last for n in range(WRAPS, -1, -1) for last in (1, 0)]
-    deeper = F.try_variant_get(v, path + '["@value"]' * (WRAPS + 1), "variant").isNotNull()
-    found = F.coalesce(*[F.try_variant_get(v, p, kind) for p in paths])
-    return F.when(deeper, F.raise_error(F.lit(f"more than {WRAPS} levels of @value at {path}")).cast(kind)).otherwise(found)
+    return F.coalesce(*[F.try_variant_get(v, p, kind) for p in paths])
+
+
+def opened(rows: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Members (doc, ord, v, others) -> the same without v, and a column for each field: name -> (path, type). Members with a value under more than
+    WRAPS levels, or wrapped inside a list, which are rare, are taken apart by field and opened in rounds until nothing is wrapped."""
+    more = lambda p: [p + '["@value"]' * (WRAPS + 1), *(p + '["@value"]' * n + '[0]["@value"]' for n in range(WRAPS + 1))]
+    deeper = F.coalesce(*[F.try_variant_get("v", x, "variant") for p, _ in fields.values() for x in more(p)]).isNotNull()
+    others = [c for c in rows.columns if c != "v"]
+    rows = rows.withColumn("_deep", deeper)
+    shallow = rows.where("not _deep").select(*others, *[unwrapped("v", kind, p).alias(c) for c, (p, kind) in fields.items()])
+    deep = rows.where("_deep")
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.try_variant_get("v", p, "variant").alias("x")) for c, (p, _) in fields.items()]))
+    at = deep.select("doc", "ord", parts.alias("p")).select("doc", "ord", "p.field", "p.x")
+    listed = F.try_variant_get("x", '$[0]["@value"]', "variant").isNotNull() & F.try_variant_get("x", "$[1]", "variant").isNull()
+    wrapped = F.try_variant_get("x", '$["@value"]', "variant").isNotNull() | listed
+    if not deep.isEmpty():
+        at = checkpointed(at)
+        while not at.where(wrapped).isEmpty():
+            inner = [F.try_variant_get("x", "$" + '["@value"]' * n, "variant") for n in range(WRAPS, 0, -1)]
+            at = checkpointed(at.withColumn("x", F.coalesce(*inner, F.when(listed, F.try_variant_get("x", "$[0]", "variant")), F.col("x"))))
+    value = lambda c, kind: F.max(F.when(F.col("field") == c, unwrapped("x", kind))).alias(c)
+    values = at.groupBy("doc", "ord").agg(*[value(c, kind) for c, (_, kind) in fields.items()])
+    return shallow.unionByName(deep.select(*others).join(values, ["doc", "ord"]))
 
 
 def joined_scalar(v: str, path: str) -> Column:
@@ -68,15 +89,13 @@ def _members(bodies: DataFrame, field: str) -> DataFrame:
 def load(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (doc, v) -> nodes and edges. Edges without both ends or a label are dropped."""
     bodies = _bodies(docs)
-    node_id = unwrapped("v", "bigint", "$.id")
-    typed = {c: unwrapped("v", t, f"$.properties.{p}").alias(c) for p, (c, t) in PROPERTIES.items()}
-    nodes = _members(bodies, "vertices").select("doc", "ord", node_id.alias("node_id"), F.try_variant_get("v", "$.label", "string").alias("label"), *typed.values())
-    nodes = nodes.select(F.concat_ws("#", "doc", F.col("node_id").cast("string")).alias("id"), "*").where(F.col("node_id").isNotNull())
-    end = lambda p: F.concat_ws("#", "doc", unwrapped("v", "bigint", p).cast("string"))
-    edges = _members(bodies, "edges")
-    ok = unwrapped("v", "bigint", "$.outV").isNotNull() & unwrapped("v", "bigint", "$.inV").isNotNull() & F.try_variant_get("v", "$.label", "string").isNotNull()
-    edges = edges.where(ok).select("doc", "ord", F.try_variant_get("v", "$.label", "string").alias("label"), end("$.outV").alias("src"), end("$.inV").alias("dst"), unwrapped("v", "string", "$.properties.VARIABLE").alias("variable"))
-    return nodes, edges
+    fields = {"node_id": ("$.id", "bigint"), "label": ("$.label", "string")} | {c: (f"$.properties.{p}", t) for p, (c, t) in PROPERTIES.items()}
+    nodes = opened(_members(bodies, "vertices"), fields).where(F.col("node_id").isNotNull())
+    nodes = nodes.select(F.concat_ws("#", "doc", F.col("node_id").cast("string")).alias("id"), "doc", "ord", *fields)
+    ends = {"label": ("$.label", "string"), "out": ("$.outV", "bigint"), "in": ("$.inV", "bigint"), "variable": ("$.properties.VARIABLE", "string")}
+    edges = opened(_members(bodies, "edges"), ends).where(F.col("out").isNotNull() & F.col("in").isNotNull() & F.col("label").isNotNull())
+    end = lambda c: F.concat_ws("#", "doc", F.col(c).cast("string"))
+    return nodes, edges.select("doc", "ord", "label", end("out").alias("src"), end("in").alias("dst"), "variable")
 
 
 def validate(docs: DataFrame) -> DataFrame:
@@ -88,6 +107,16 @@ def validate(docs: DataFrame) -> DataFrame:
     return bad.unionByName(none).unionByName(missing("vertices", ["$.id", "$.label"])).unionByName(missing("edges", ["$.label", "$.outV", "$.inV"]))
 
 
+def outcomes(docs: DataFrame) -> DataFrame:
+    """doc, ok, error, n_nodes, n_edges of every document: a broken one is a row, and keeps no other from being read."""
+    good = docs.where(F.col("v").isNotNull())
+    nodes, edges = load(good)
+    n = nodes.groupBy("doc").agg(F.count("*").alias("n_nodes")).join(edges.groupBy("doc").agg(F.count("*").alias("n_edges")), "doc", "full")
+    problems = validate(docs).groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("problem")), "; ").alias("error"))
+    rows = docs.select("doc").join(problems, "doc", "left").join(n, "doc", "left")
+    return rows.select("doc", F.col("error").isNull().alias("ok"), "error", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
 def count_methods(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc").agg(F.count_if(F.col("label") == "METHOD").alias("n"))
 
