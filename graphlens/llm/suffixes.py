@@ -256,14 +256,15 @@ def _key(seed: int) -> Column:
 def repeated_starts(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """k1, k2, starts: for each document (by both keys) the ranges of starts of windows that occur again. ``docs`` has k1, k2, text (binary)."""
     long = docs.where(F.octet_length("text") >= LENGTH)
-    often = long.select("text").mapInPandas(_in_batches(_cores), CORES).groupBy("core").agg(F.count("*").alias("seen")).where("seen > 1").select("core")
+    # Written, so that both sides of the joins on a core are plain tables and a core with very many rows is split between tasks.
+    often = checkpointed(long.select("text").mapInPandas(_in_batches(_cores), CORES).groupBy("core").agg(F.count("*").alias("seen")).where("seen > 1").select("core"))
     rows = checkpointed(long.mapInPandas(_in_batches(_phrases), PHRASES).join(often, "core"))
     first = F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("f")
     entries = rows.groupBy("core", "c1", "c2").agg(F.count("*").alias("n"), first)
     entries = checkpointed(entries.select("core", "c1", "c2", F.least("n", F.lit(2)).cast("int").alias("n"), "f.*"))
     whole = rows.join(entries.where("n > 1").select("core", "c1", "c2"), ["core", "c1", "c2"], "left_semi").select("k1", "k2", "lo", "hi")
     # Buckets with an entry that occurs once, and with another one that it may share windows with.
-    open_ = entries.groupBy("core").agg(F.count("*").cast("int").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("core", "m")
+    open_ = checkpointed(entries.groupBy("core").agg(F.count("*").cast("int").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("core", "m"))
     wanted = entries.join(open_, "core").groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "n", "m", "at", "lo", "hi")).alias("wanted"))
     # Repeated rows share keys and texts; one of them is enough.
     texts = long.join(wanted, ["k1", "k2"])
