@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.knowledge import KnowledgeBase
@@ -11,7 +14,7 @@ from graphlens.plans.commerce import nodes as commerce_nodes
 from graphlens.plans.registry import query
 from graphlens.plans.sequences import _DU, _E, events, mentions
 from graphlens.session import table
-from graphlens.sources import artifacts
+from graphlens.sources import artifacts, graphson
 
 
 @query("n07_samples", "SELECT l_orderkey, any_value(o_orderstatus = 'F')::INTEGER AS label, count(*)::INTEGER AS n_nodes, (count(*) - 1)::INTEGER AS n_edges, sum(l_quantity) AS quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem) JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
@@ -156,10 +159,107 @@ def p02(spark, d):
     return shape.traces(rows).select("slot", "callback", F.array_join("notes", ";").alias("notes"), F.size("sites").alias("n_sites"))
 
 
-@query("p08_export", "SELECT 'full' AS which, 3::BIGINT AS n UNION ALL SELECT 'fragments', 1 UNION ALL SELECT 'packages', 1")
+@query("p08_export", """WITH t AS (SELECT 'packages' AS name, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders UNION ALL SELECT 'sinks', count(*), sum(p_partkey)::BIGINT FROM part UNION ALL SELECT 'candidates', count(*), sum(n_nationkey)::BIGINT FROM nation)
+SELECT 'full' AS which, * FROM t UNION ALL SELECT 'fragments', * FROM t WHERE name = 'sinks' UNION ALL SELECT 'packages', * FROM t WHERE name = 'packages'""")
 def p08(spark, d):
+    """The rows of each export, read back from their JSON."""
     tables = {"packages": table(spark, d, "orders"), "sinks": table(spark, d, "part"), "candidates": table(spark, d, "nation")}
-    return spark.createDataFrame([(w, len(shape.selection(tables, w))) for w in ("full", "fragments", "packages")], "which string, n long")
+    rows = reduce(DataFrame.unionByName, [shape.exported(tables, w).withColumn("which", F.lit(w)) for w in ("full", "fragments", "packages")])
+    key = F.coalesce(*[F.get_json_object("row", f"$.{k}").cast("long") for k in ("o_orderkey", "p_partkey", "n_nationkey")])
+    return rows.groupBy("which", "name").agg(F.count("*").alias("n"), F.sum(key).alias("keys"))
+
+
+_LINES = "l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity, l_tax, l_discount) AS pos FROM lineitem)"
+
+
+def _lines(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount")
+    return table(spark, d, "lineitem").withColumn("pos", F.row_number().over(w))
+
+
+def _checks(spark, d):
+    """Orders as packages: a line expects a check by its part; returned ones lack it, linked statuses observe it."""
+    lines = _lines(spark, d).select(F.col("l_orderkey").alias("pkg"), "pos", F.concat(F.lit("C"), (F.col("l_partkey") % 4).cast("string")).alias("check"), "l_returnflag", "l_linestatus", "l_quantity")
+    basis = F.when(F.col("l_returnflag") == "R", "NEGATIVE_EVIDENCE_FOUND").otherwise("UNVERIFIED")
+    missing = lines.where("l_returnflag IN ('A', 'R')").select("pkg", "pos", "check", basis.alias("basis"))
+    expected = lines.groupBy("pkg", "check").agg(F.min("pos").alias("pos"))
+    matched = F.when(F.col("l_linestatus") == "O", F.col("check"))
+    observed = lines.where("l_quantity > 10").select("pkg", "pos", F.lit("BOUND").alias("kind"), F.when(F.col("l_quantity") > 30, "STRONG").otherwise("WEAK").alias("strength"), matched.alias("matched"), F.col("pos").cast("string").alias("evidence"))
+    return expected, observed, missing
+
+
+_CHECKS = f"""{_LINES},
+c AS (SELECT l_orderkey AS pkg, pos, 'C' || (l_partkey % 4) AS chk, l_returnflag AS f, l_linestatus AS s, l_quantity AS q FROM l),
+m AS (SELECT pkg, chk, arg_min(CASE f WHEN 'R' THEN 'NEGATIVE' ELSE 'UNVERIFIED' END, pos) AS basis FROM c WHERE f IN ('A', 'R') GROUP BY ALL),
+o AS (SELECT pkg, chk, arg_min('BOUND ' || CASE WHEN q > 30 THEN 'STRONG' ELSE 'WEAK' END, pos) AS seen, min(pos)::VARCHAR AS ev FROM c WHERE q > 10 AND s = 'O' GROUP BY ALL),
+e AS (SELECT pkg, chk, min(pos) AS pos FROM c GROUP BY ALL),
+k AS (SELECT e.pkg, 0 AS part, e.pos, e.chk AS id, coalesce(m.basis, 'SATISFIED') AS status, o.seen AS observed, o.ev AS evidence FROM e LEFT JOIN m ON m.pkg = e.pkg AND m.chk = e.chk LEFT JOIN o ON o.pkg = e.pkg AND o.chk = e.chk
+  UNION ALL SELECT pkg, 1, pos, 'BOUND', CASE WHEN q > 30 THEN 'SATISFIED' ELSE 'WEAKLY_RELATED' END, 'BOUND ' || CASE WHEN q > 30 THEN 'STRONG' ELSE 'WEAK' END, pos::VARCHAR FROM c WHERE q > 10 AND s <> 'O')"""
+
+
+@query("p01_checks", f"WITH {_CHECKS} SELECT pkg, part, pos::BIGINT AS pos, id, status, observed, evidence FROM k")
+def p01_checks(spark, d):
+    return shape.check_rows(*_checks(spark, d)).select("pkg", "place.part", "place.pos", "id", "status", "observed", "evidence")
+
+
+@query("p01_details", f"""WITH {_CHECKS},
+t AS (SELECT l_orderkey AS pkg, count(*) AS n, count(*) FILTER (pos > 1 AND l_linestatus = 'F') AS sinks, arg_max(l_linenumber, pos) FILTER (pos > 1 AND l_linestatus = 'F') AS at_, count(DISTINCT l_suppkey % 3) AS fns FROM l GROUP BY 1),
+r AS (SELECT pkg, string_agg(rem, ';' ORDER BY pos) AS remedies FROM (SELECT pkg, min(pos) AS pos, CASE chk WHEN 'C1' THEN 'bound it' ELSE 'add the check ' || chk END AS rem FROM c WHERE f IN ('A', 'R') GROUP BY pkg, rem) GROUP BY pkg)
+SELECT o_orderkey AS pkg, n::INTEGER AS n_steps, sinks::INTEGER AS n_sinks, at_ AS location, (SELECT count(*) FROM k WHERE k.pkg = o_orderkey)::INTEGER AS n_checks, coalesce(remedies, '') AS remedies,
+  CASE WHEN o_totalprice >= 160000 THEN 'high' WHEN o_totalprice >= 120000 THEN 'medium' WHEN o_totalprice >= 80000 THEN 'low' ELSE 'very_low' END AS label,
+  'field f of ' || o_orderstatus || ' (text) comes from outside and reaches ' || CASE WHEN fns > 1 THEN 'through ' || fns || ' functions ' ELSE '' END || 'api (SHELL) without enough checks' AS summary
+FROM orders JOIN t ON t.pkg = o_orderkey LEFT JOIN r ON r.pkg = o_orderkey""")
+def p01_details(spark, d):
+    expected, observed, missing = _checks(spark, d)
+    lines = _lines(spark, d).select(F.col("l_orderkey").alias("pkg"), "pos", F.concat(F.lit("fn"), (F.col("l_suppkey") % 3).cast("string")).alias("function"), F.col("l_linenumber").alias("line"), F.when(F.col("l_linestatus") == "F", "sink:system").otherwise("assign").alias("operation"))
+    steps = shape.with_roles(lines, "pkg", ["pos"], F.col("operation").startswith("sink"))
+    o = table(spark, d, "orders")
+    packages = o.select(F.col("o_orderkey").alias("pkg"), F.col("o_orderstatus").alias("action"), F.lit("f").alias("field"), F.lit("text").alias("semantic"), F.lit("api").alias("api"), F.lit("SHELL").alias("domain"), (F.col("o_totalprice") / 200000).alias("confidence"))
+    remedies = spark.createDataFrame([("C1", "bound it")], "check string, remedy string")
+    out = shape.finding_details(packages, steps, shape.check_rows(expected, observed, missing), missing, remedies).where(F.col("trace").isNotNull())
+    sinks = F.size(F.filter("trace", lambda s: s["role"] == "sink"))
+    return out.select("pkg", F.size("trace").alias("n_steps"), sinks.alias("n_sinks"), "location", F.size("checks").alias("n_checks"), F.coalesce(F.array_join("remedies", ";"), F.lit("")).alias("remedies"), F.col("confidence_label").alias("label"), "summary")
+
+
+@query("p02_decisions", f"""WITH {_LINES}, t AS (SELECT l_orderkey, l_suppkey % 2 AS callback, string_agg(CASE WHEN i = 1 THEN 'source' WHEN l_returnflag = 'R' THEN 'sink' ELSE 'step' END || ':' || l_linenumber, ',' ORDER BY i) AS trace
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY pos) AS i FROM l) GROUP BY ALL)
+SELECT o_orderkey AS slot, CASE o_orderstatus WHEN 'F' THEN 'info' WHEN 'O' THEN 'warn' ELSE 'none' END AS tone, CASE o_orderstatus WHEN 'F' THEN 'handler found' WHEN 'O' THEN 'several candidates' ELSE 'no handler settled' END AS title,
+  CASE WHEN o_totalprice >= 160000 THEN 'high' WHEN o_totalprice >= 120000 THEN 'medium' WHEN o_totalprice >= 80000 THEN 'low' ELSE 'very_low' END AS label, trace
+FROM orders LEFT JOIN t ON l_orderkey = o_orderkey AND callback = o_custkey % 2""")
+def p02_decisions(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "RESOLVED").when(F.col("o_orderstatus") == "O", "AMBIGUOUS").otherwise("UNRESOLVED")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("slot"), F.col("o_orderpriority").alias("action"), status.alias("status"), F.lit("").alias("reason"), (F.col("o_custkey") % 2).alias("chosen"), (F.col("o_totalprice") / 200000).alias("top"))
+    records = _lines(spark, d).select(F.col("l_orderkey").alias("slot"), (F.col("l_suppkey") % 2).alias("callback"), "pos", F.when(F.col("l_returnflag") == "R", "HANDLER_REF").otherwise("CHAIN_CALL").alias("step"), F.lit("").alias("code"), F.col("l_linenumber").alias("line"))
+    shown = F.array_join(F.transform("trace", lambda s: F.concat_ws(":", s["role"], s["line"].cast("string"))), ",")
+    return shape.resolution_decisions(rows, records).select("slot", "tone", "title", "label", shown.alias("trace"))
+
+
+def _graph_texts(spark, d):
+    """Orders as GraphSON texts with their lines as calls; every 7th is cut off, every 11th holds no graph, every 13th a vertex without an id."""
+    lines = _lines(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", "l_partkey"))).alias("x"))
+    vertex = F.concat_ws(",", F.array(F.lit('{"id":0,"label":"METHOD","properties":{"NAME":"order"}}')), F.transform("x", lambda s: F.concat(F.lit('{"id":{"@type":"g:Int64","@value":'), s["pos"].cast("string"), F.lit('},"label":"CALL","properties":{"CODE":{"@value":{"@value":["p'), s["l_partkey"].cast("string"), F.lit('"]}}}}'))))
+    edge = F.concat_ws(",", F.transform("x", lambda s: F.concat(F.lit('{"label":"AST","outV":0,"inV":'), s["pos"].cast("string"), F.lit(',"properties":{}}'))))
+    k = F.col("l_orderkey")
+    extra = F.when(k % 13 == 0, F.lit(',{"label":"CALL"}')).otherwise("")
+    text = F.concat(F.lit('{"export":{"@value":{"vertices":['), vertex, extra, F.lit('],"edges":['), edge, F.lit("]}}}"))
+    return lines.select(k.alias("doc"), F.when(k % 7 == 0, F.lit('{"vertices": [')).when(k % 11 == 0, F.lit('{"a": 1}')).otherwise(text).alias("json")).select("doc", F.try_parse_json("json").alias("v"))
+
+
+_BAD = "CASE WHEN l_orderkey % 7 = 0 THEN 'not JSON' WHEN l_orderkey % 11 = 0 THEN 'no graph' WHEN l_orderkey % 13 = 0 THEN 'incomplete vertices' END"
+
+
+@query("s10_outcomes", f"SELECT l_orderkey AS doc, {_BAD} IS NULL AS ok, {_BAD} AS error, CASE WHEN l_orderkey % 7 = 0 OR l_orderkey % 11 = 0 THEN 0 ELSE count(*) + 1 END AS n_nodes, CASE WHEN l_orderkey % 7 = 0 OR l_orderkey % 11 = 0 THEN 0 ELSE count(*) END AS n_edges FROM lineitem GROUP BY 1")
+def s10(spark, d):
+    return graphson.outcomes(_graph_texts(spark, d))
+
+
+@query("s01_tables", "SELECT l_orderkey::VARCHAR AS doc, count(*) AS n, min('p' || l_partkey) AS first FROM lineitem WHERE l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0 GROUP BY 1")
+def s01_tables(spark, d):
+    """The reader over documents of orders: their lines come back as nodes with their code."""
+    docs = _graph_texts(spark, d).withColumn("doc", F.col("doc").cast("string"))
+    nodes, edges = graphson.load(docs)
+    back = edges.select(F.col("dst").alias("id")).join(nodes, "id").where("label = 'CALL'")
+    return back.groupBy("doc").agg(F.count("*").alias("n"), F.min("code").alias("first"))
 
 
 @query("r04_reverse", "SELECT * FROM (VALUES ('numeric', '15', 'RemoteStartTransaction'), ('numeric', '41', 'SetChargingProfile'), ('symbol', 'ACTION_REMOTE_START', 'RemoteStartTransaction'), ('symbol', 'ACTION_SET_CHARGING_PROFILE', 'SetChargingProfile'), ('symbol', 'MSG_SET_PROFILE', 'SetChargingProfile'), ('name', 'UPDATEFIRMWARE', 'UpdateFirmware'), ('name', 'DATATRANSFER', 'DataTransfer'), ('name', 'SETCHARGINGPROFILE', 'SetChargingProfile'), ('name', 'REMOTESTARTTRANSACTION', 'RemoteStartTransaction')) t(\"by\", key, action)")
