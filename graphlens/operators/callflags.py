@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphlens.functions.knowledge import CALL_CATEGORY, LIFTABLE_CATEGORIES, UNBOUNDED_SINKS
 from graphlens.operators import graph
 from graphlens.operators.calculus import lookup
+from graphlens.session import settled as checkpointed
 
 # Target and size argument of the calls whose sizes are looked at.
 SLOTS = {"memcpy": (0, 2), "memmove": (0, 2), "strncpy": (0, 2), "memset": (0, 2), "snprintf": (0, 1), "vsnprintf": (0, 1), "fgets": (0, 1), "read": (1, 2), "recv": (1, 2), "connect": (1, 2)}
@@ -67,6 +68,25 @@ def flags(calls: DataFrame, args: DataFrame) -> DataFrame:
     )
 
 
+def macro_values(tree: DataFrame) -> DataFrame:
+    """call, name, value: what the macros' constants stand for: the only literal in a macro call's block, or that of the only
+    macro used there, followed until a literal is reached. Macros that stand for more, or for each other in a circle, have none."""
+    blocks = tree.where("node_type = 'CompoundStatement'").join(tree.where("node_type = 'ParameterList'").select(F.col("id").alias("parent"), F.col("parent").alias("call")), "parent").select("call", F.col("id").alias("block"))
+    near = graph.owner(tree.join(blocks.select(F.col("block").alias("id"), F.lit(True).alias("is_block")), "id", "left"), tree.select("id", "parent").where(F.col("parent").isNotNull()), F.coalesce("is_block", F.lit(False)))
+    inside = tree.join(near.where(F.col("owner") != F.col("id")), "id").withColumnRenamed("owner", "block").join(blocks, "block")
+    parts = inside.where(F.col("node_type").isin("Literal", "Identifier", "StandardLibCall", "UserDefinedCall")).groupBy("call").agg(F.count("*").alias("n"), F.first("value").alias("value"), F.first("name").alias("refers"))
+    rows = tree.select(F.col("id").alias("call"), "name", "doc").join(parts.where("n = 1"), "call")
+    known = rows.groupBy("doc", "name").agg(F.min("value").alias("value"), F.min(F.when(F.col("value").isNull(), F.col("refers"))).alias("refers"))
+    # Names are followed until none leads to a value that was not there before.
+    while True:
+        at = known.select("doc", F.col("name").alias("refers"), F.col("value").alias("next"))
+        step = checkpointed(known.join(at, ["doc", "refers"], "left").select("doc", "name", F.coalesce("value", "next").alias("value"), "refers"))
+        if step.where(F.col("value").isNotNull()).count() == known.where(F.col("value").isNotNull()).count():
+            break
+        known = step
+    return rows.select("call", "doc", "name").join(known.select("doc", "name", "value"), ["doc", "name"]).where(F.col("value").isNotNull()).select("call", "name", "value")
+
+
 def macro_calls(tree: DataFrame) -> DataFrame:
     """call: calls with a block directly below their parameter list stand for a macro's constant."""
     lists = tree.where("node_type = 'ParameterList'").select(F.col("id").alias("parent"), F.col("parent").alias("call"))

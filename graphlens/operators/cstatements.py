@@ -198,19 +198,25 @@ class Functions:
 
     @cached_property
     def identifiers(self) -> DataFrame:
-        """fn, stmt, node, var, at, depth: identifiers below each statement, each with the nearest
-        statement it belongs to; sizeof operands do not count."""
+        """fn, stmt, node, var, path, pointer, starred: identifiers below each statement, each with the nearest
+        statement it belongs to, and whether it stands for a pointer, or for what one points to; operands of sizeof and what a macro's
+        constant is made of do not count."""
         stmts = self.statements.where("rank = 2").select("id", F.lit(True).alias("is_stmt"))
         near = graph.owner(self.tree.join(stmts, "id", "left"), self.links, F.coalesce("is_stmt", F.lit(False))).select("id", F.col("owner").alias("stmt"))
         sized = graph.owner(self.tree, self.links, F.col("node_type") == "SizeOfExpression").where(F.col("owner").isNotNull()).select("id")
-        return checkpointed(self.tree.where("node_type = 'Identifier'").join(near, "id").join(sized, "id", "left_anti").where(F.col("stmt").isNotNull()).select("fn", "stmt", F.col("id").alias("node"), F.col("name").alias("var"), "path"))
+        macros = callflags.macro_calls(self.tree).select(F.col("call").alias("id"), F.lit(True).alias("is_macro"))
+        constant = graph.owner(self.tree.join(macros, "id", "left"), self.links, F.coalesce("is_macro", F.lit(False))).where(F.col("owner").isNotNull()).select("id")
+        around = self.tree.where("node_type = 'PointerDereference'").select(F.col("id").alias("parent"), F.lit(True).alias("pointer"), F.trim("code").startswith("*").alias("starred"))
+        rows = self.tree.where("node_type = 'Identifier'").join(near, "id").join(sized, "id", "left_anti").join(constant, "id", "left_anti").where(F.col("stmt").isNotNull()).join(around, "parent", "left")
+        no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+        return checkpointed(rows.select("fn", "stmt", F.col("id").alias("node"), F.col("name").alias("var"), "path", no("pointer"), no("starred")))
 
     @cached_property
     def mentions(self) -> DataFrame:
         """fn, sid, phase, var, is_def, flow: definitions and uses in the order in which a statement
         makes them. Parameters are defined at the entry, the variables of a for's header at the for. In an assignment the first operand's first
-        name is defined (the container, for a subscript, is a base), names in a subscript are indexes,
-        the rest are values; in a call the target slot is a base and is defined, the size slot a size.
+        name is defined (the container, for a subscript, is a base; an element of a pointer, or what it points to, is no
+        definition of it, only a base), names in a subscript are indexes, those in an array's length sizes, the rest are values; in a call the target slot is a base and is defined, the size slot a size.
         Conditions make no use."""
         sid = self.statements.where("rank = 2").select(F.col("id").alias("stmt"), "sid", "node_type", F.col("path").alias("s_path"), F.col("name").alias("callee"))
         ids = self.identifiers.join(sid, "stmt")
@@ -226,14 +232,14 @@ class Functions:
         operand = place("s_path", 1)
         index = F.coalesce(place("sub_path", 1) > 1, F.lit(False))
         # Written here, as the optimizer's constraints grow fast over the names below.
-        ids = checkpointed(ids.select("fn", "sid", "node_type", F.lower("callee").alias("api"), "var", "sub", operand.alias("operand"), index.alias("index")))
+        ids = checkpointed(ids.select("fn", "sid", "node_type", F.lower("callee").alias("api"), "var", "sub", operand.alias("operand"), index.alias("index"), (F.col("starred") | (F.col("pointer") & F.col("sub").isNotNull())).alias("through")))
         slots = self.tree.sparkSession.createDataFrame([(n, d, z) for n, (d, z) in API_SLOTS.items()], "api string, dst_slot int, size_slot int")
         call = F.col("node_type").isin("StandardLibCall", "UserDefinedCall")
         lhs = (F.col("node_type") == "AssignmentExpression") & (F.col("operand") == 1)
         at = lambda slot: call & (F.col("operand") - 1 == F.col(slot))
         flow = F.when(F.col("index"), "index").when(lhs, "base").when(at("size_slot"), "size").when(at("dst_slot"), "base").otherwise("value")
         writes_to = F.coalesce(at("dst_slot") & ~F.col("index"), F.lit(False))
-        rows = ids.join(F.broadcast(slots), "api", "left").select("fn", "sid", "var", "node_type", lhs.alias("lhs"), "index", "sub", writes_to.alias("dst"), flow.alias("flow"))
+        rows = ids.join(F.broadcast(slots), "api", "left").select("fn", "sid", "var", "node_type", lhs.alias("lhs"), "index", "sub", "through", writes_to.alias("dst"), flow.alias("flow"))
         rows = checkpointed(rows)
         part = lambda df, phase, is_def, f: df.select("fn", "sid", F.lit(phase).alias("phase"), "var", F.lit(is_def).alias("is_def"), f.alias("flow"))
         own = F.col("lhs") & ~F.col("index")
@@ -242,13 +248,16 @@ class Functions:
         uses = part(rows.where(call), 0, False, F.col("flow"))
         writes = part(rows.where(call & F.col("dst")), 1, True, F.lit("value"))
         inner = part(rows.where(~call & F.col("index")), 2, False, F.lit("index"))
-        bases = part(rows.where(own & F.col("sub").isNotNull()), 3, False, F.lit("base"))
+        bases = part(rows.where(own & (F.col("sub").isNotNull() | F.col("through"))), 3, False, F.lit("base"))
+        length = F.regexp_replace(F.coalesce("length", F.lit("")), r"\bsizeof\s*(\([^()]*\)|\w+)", " ")
+        sizes = self.statements.where("node_type = 'ArrayDeclaration'").select("fn", "sid", F.col("id")).join(self.tree.select("id", "length"), "id").select("fn", "sid", F.explode(F.regexp_extract_all(length, F.lit(r"(?<![\w.])([A-Za-z_]\w*)(?!\s*\()"))).alias("var"), F.lit("size").alias("flow"))
+        sizes = part(sizes, 0, False, F.col("flow"))
         # The call of an assignment owns the values in it.
         taken = self.splits.select("fn", F.col("assign_sid").alias("sid"))
         values = part(rows.where(~call & ~F.col("lhs") & ~F.col("index")).join(taken, ["fn", "sid"], "left_anti"), 4, False, F.lit("value"))
-        defs = part(rows.where(own), 5, True, F.lit("value"))
+        defs = part(rows.where(own & ~F.col("through")), 5, True, F.lit("value"))
         out = entry.unionByName(decl).unionByName(header)
-        for df in (uses, writes, inner, bases, values, defs):
+        for df in (uses, writes, inner, bases, sizes, values, defs):
             out = out.unionByName(df)
         return checkpointed(out.where(F.col("var").isNotNull() & (F.col("var") != "NULL")).distinct())
 
@@ -295,12 +304,20 @@ class Functions:
 
     def _buffer_writes(self) -> DataFrame:
         """fn, sid, is_buffer_access, is_sink_assign: assignments to a subscript, and whether its index is known at run
-        time only."""
+        time only. A subscript may show in the code alone, with a plain name as target; one that gives a declared array its first
+        content, in braces, as a text or within two statements of its declaration, is none."""
         target = F.size("s_path") + 1
         stmts = self.statements.where("node_type = 'AssignmentExpression'").select("fn", "sid", F.col("id").alias("parent"), F.col("path").alias("s_path"))
         subs = self.tree.where("node_type = 'ArraySubscriptExpression'").select(F.col("id").alias("sub"), "parent", "path").join(stmts, "parent").where(F.try_element_at("path", target) == 1).select("fn", "sid")
         indexed = self.mentions.where("flow = 'index' AND NOT is_def AND phase = 2").select("fn", "sid", F.lit(1).alias("is_sink_assign")).distinct()
-        return subs.distinct().withColumn("is_buffer_access", F.lit(1)).join(indexed, ["fn", "sid"], "left").withColumn("is_sink_assign", F.coalesce("is_sink_assign", F.lit(0)))
+        found = subs.distinct().withColumn("is_buffer_access", F.lit(1)).join(indexed, ["fn", "sid"], "left").withColumn("is_sink_assign", F.coalesce("is_sink_assign", F.lit(0)))
+        code = self.statements.select("fn", "sid", "code")
+        plain = self.tree.where("node_type = 'Identifier'").select("parent", "path", F.col("name").alias("target")).join(stmts, "parent").where(F.try_element_at("path", target) == 1).join(code, ["fn", "sid"])
+        at = lambda g: F.regexp_extract("code", r"^\s*([A-Za-z_]\w*)\s*\[([^\]]*)\](?:\s*\[[^\]]*\])*\s*=\s*(.?)", g)
+        plain = plain.where((at(1) == F.col("target")) & ~at(3).isin("{", '"'))
+        arrays = self.statements.where("node_type = 'ArrayDeclaration'").select("fn", F.col("name").alias("target"), F.explode(F.array(F.col("sid") + 1, F.col("sid") + 2)).alias("sid"))
+        plain = plain.join(arrays, ["fn", "sid", "target"], "left_anti").select("fn", "sid", F.lit(1).alias("is_buffer_access"), at(2).rlike(r"(?<!\w)[A-Za-z_]").cast("int").alias("is_sink_assign"))
+        return found.unionByName(plain.join(found.select("fn", "sid"), ["fn", "sid"], "left_anti").distinct())
 
 
 #: The numbers of a statement, and of one in the def-use graph, and of a def-use edge.

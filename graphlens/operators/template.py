@@ -88,7 +88,11 @@ def convert(nodes: DataFrame, edges: DataFrame, library: tuple[str, ...] = LIBRA
     by_op = lambda table_: lookup(op, table_)
     assign = op == "assignment"
     allocs = nodes.where("label = 'CALL' AND name = '<operator>.alloc'").select("id").join(parent, "id").select(F.col("parent").alias("id")).distinct().withColumn("allocs", F.lit(True))
-    t = t.join(allocs, "id", "left")
+    # The type behind an address is that of the identifier it is taken of.
+    named = nodes.where("label = 'IDENTIFIER'").select("id", "name", "type_full_name", "ord").join(parent, "id").select(F.col("parent").alias("id"), F.col("name").alias("of"), F.col("type_full_name").alias("of_type"), F.col("ord").alias("of_ord"))
+    taken = nodes.where("name = '<operator>.addressOf'").select("id", "code").join(named, "id").where(F.col("of") == F.replace("code", F.lit("&"), F.lit("")))
+    taken = taken.groupBy("id").agg(F.min_by("of_type", "of_ord").alias("of_type"))
+    t = t.join(allocs, "id", "left").join(taken, "id", "left")
     call = (
         F.when(by_op(BINARY).isNotNull(), "BinaryExpression").when(by_op(UNARY).isNotNull(), "UnaryExpression").when(op == "addressOf", "AddressOfExpression")
         .when(assign & (F.col("n_children") != 2), F.raise_error(F.concat(F.lit("assignment without two children: "), F.col("id"))))
@@ -146,9 +150,10 @@ def convert(nodes: DataFrame, edges: DataFrame, library: tuple[str, ...] = LIBRA
         F.when(label.isin("LOCAL", "MEMBER") & (star > 0), star).alias("level"),
         F.when(label.isin("LOCAL", "MEMBER") & ~F.startswith(F.trim(code), typ) & F.contains(code, typ), F.trim(F.split_part(code, typ, F.lit(1)))).alias("storage"),
         F.when(op == "cast", cast_target(code)).when(F.col("control_type") == "GOTO", F.replace(F.regexp_extract(code, r"goto (.*)$", 1), F.lit(";"), F.lit(""))).when(typedef == "TypeDefinition", F.coalesce("alias_type_full_name", F.lit("<unknown>"))).alias("target"),
-        (label == "CALL").alias("is_call"), is_method.alias("is_method"), pointer.alias("is_pointer"), F.col("name").alias("raw_name"), F.coalesce(lookup(name, PREDEFINED), base).alias("raw_type"),
+        F.concat("of_type", F.lit("*")).alias("of_type"), (label == "CALL").alias("is_call"), is_method.alias("is_method"), pointer.alias("is_pointer"), F.col("name").alias("raw_name"), F.coalesce(lookup(name, PREDEFINED), base).alias("raw_type"),
     )
-    rows = checkpointed(rows)
+    address = F.col("node_type") == "AddressOfExpression"
+    rows = checkpointed(rows.withColumn("type", F.when(address, F.coalesce("of_type", F.lit("<unknown>"))).otherwise(F.col("type"))).drop("of_type"))
     blank = {c: F.lit(None).cast(rows.schema[c].dataType) for c in rows.columns}
     made = lambda df, **cols: df.select(*[cols.get(c, blank[c]).alias(c) for c in rows.columns])
     no = F.lit(False)
