@@ -127,3 +127,20 @@ def conflicts(candidates: DataFrame, top: int = 3) -> DataFrame:
     rows = candidates.where(F.col("rank") <= top).groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("rank", "callback", "confidence"))).alias("c"))
     rows = rows.where(F.size("c") > 1)
     return rows.select("slot", F.transform("c", lambda x: F.struct(x["callback"].alias("callback"), x["confidence"].alias("confidence"))).alias("competing"), F.round(F.col("c")[0]["confidence"] - F.col("c")[1]["confidence"], 6).alias("margin"))
+
+
+def handler_map(evidence: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """slot, callback, kind, weight of each resolved slot: the chosen callback with its best evidence, by weight and then by
+    the rank of its kind."""
+    chosen = resolutions.where("status = 'RESOLVED'").select("slot", F.col("chosen").alias("callback"))
+    best = best_evidence(evidence.join(chosen, ["slot", "callback"], "left_semi"))
+    return best.select("slot", "callback", F.col("best_kind").alias("kind"), F.col("best_weight").alias("weight"))
+
+
+def public_candidates(candidates: DataFrame, resolutions: DataFrame, names: DataFrame) -> DataFrame:
+    """slot, place, callback, name, file, confidence, chosen: the candidates as they are shown. The chosen one comes first, then by
+    falling confidence, name and file; ``names`` has callback, name, file."""
+    chosen = resolutions.select("slot", F.col("chosen").alias("callback"), F.lit(True).alias("chosen"))
+    rows = candidates.join(names, "callback", "left").join(chosen, ["slot", "callback"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    order = Window.partitionBy("slot").orderBy(F.desc("chosen"), F.desc("confidence"), F.asc_nulls_last("name"), F.asc_nulls_last("file"), "callback")
+    return rows.select("slot", F.row_number().over(order).alias("place"), "callback", "name", "file", "confidence", "chosen")

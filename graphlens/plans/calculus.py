@@ -268,3 +268,21 @@ def p07(spark, d):
     missing = spark.createDataFrame([("1-URGENT", "none seen"), ("2-HIGH", "weak")], "check string, reason string")
     rows = shape.report_rows(table(spark, d, "orders").select(F.col("o_orderpriority").alias("check")), F.broadcast(missing))
     return rows.groupBy("check").agg(F.count("*").alias("n"), F.bool_or("is_missing").alias("is_missing"))
+
+
+_CHOSEN = f"""WITH {_EV}, ch AS (SELECT slot, callback AS chosen FROM se WHERE rank = 1 AND confidence >= 0.5 AND (runner_up IS NULL OR confidence - runner_up >= 0.15))"""
+
+
+@query("f22_handler_map", _CHOSEN + """ SELECT ev.slot, ev.callback, arg_max(kind, weight * 10 + krank) AS kind, max(weight) AS weight FROM ev JOIN ch ON ch.slot = ev.slot AND ch.chosen = ev.callback GROUP BY ALL""")
+def f22(spark, d):
+    ev = evidence(spark, d)
+    return calculus.handler_map(ev, calculus.select(calculus.corroborate(ev)))
+
+
+@query("f21_candidates", _CHOSEN + """ SELECT rk.slot, rk.callback, confidence, chosen IS NOT NULL AS chosen, s_name AS name, 'n' || s_nationkey AS file,
+  row_number() OVER (PARTITION BY rk.slot ORDER BY chosen IS NOT NULL DESC, confidence DESC, s_name NULLS LAST, 'n' || s_nationkey NULLS LAST, rk.callback)::INTEGER AS place
+FROM rk LEFT JOIN ch ON ch.slot = rk.slot AND ch.chosen = rk.callback LEFT JOIN supplier ON s_suppkey = rk.callback""")
+def f21(spark, d):
+    candidates = calculus.corroborate(evidence(spark, d))
+    names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("callback"), F.col("s_name").alias("name"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("file"))
+    return calculus.public_candidates(candidates, calculus.select(candidates), names)
