@@ -7,8 +7,8 @@ shift 0 the block selects a bucket, the first words select patterns within it, a
 comparison confirms each occurrence. Patterns of each length have tables of their own.
 
 The benchmark is read in parts of at most ``MAX_WINDOWS`` windows (about half a kilobyte each in a Python
-worker), each shipped to the executors and searched in turn, so its size is bounded in memory but not in total. A null or empty text has
-no words. Items without words have no window; a null item id counts as the empty one; equal ids
+worker), each shipped to the executors. The tables of all parts are in memory together, so a part's size is bounded, that of the benchmark is not.
+A null or empty text has no words. Items without words have no window; a null item id counts as the empty one; equal ids
 are one item. Repeated rows are scored alike. Other columns of the documents pass through.
 """
 
