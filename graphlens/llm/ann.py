@@ -5,7 +5,9 @@ Vectors are dealt into bands of like length, a factor of 2 each, and a band into
 points enter in batches, each batch searching the graph so far and linking to diverse near neighbours; a
 geometric level decides in how many layers a point lives. The graph is stored as a row per point with
 flat neighbour arrays by layer. Blocks of queries search every shard's graph; the best of all shards
-are kept by merging small candidate lists. Scores are inner products of the original vectors in double
+are kept by merging small candidate lists. How wide a search is depends on the vectors: ``PROBES`` queries of a
+block are answered exactly as well, and the width is doubled until the search finds ``AIM`` of these answers. If that
+takes more than ``EF_MOST``, as with vectors without any structure, the block scans the shard, which is then the cheaper way. Scores are inner products of the original vectors in double
 precision.
 
 Equal vectors are one point of a graph and are told apart again in the results.
@@ -35,6 +37,8 @@ K = 20
 SHARD_ROWS, QUERY_ROWS = 16384, 65536
 LINKS, EF_BUILD, EF_SEARCH = 16, 64, 96
 BATCH = 512
+#: Queries of a block that tell how wide to search, the share of true neighbours to reach, and the widest search.
+PROBES, AIM, EF_MOST = 64, 0.95, 192
 
 
 def _level(ids: np.ndarray) -> np.ndarray:
@@ -187,6 +191,29 @@ def search(x: np.ndarray, layers: list[np.ndarray], top: int, q: np.ndarray, ef:
     return np.concatenate(out)
 
 
+def width_for(x: np.ndarray, layers: list[np.ndarray], top: int, q: np.ndarray, k: int, ef: int) -> int:
+    """The least doubling of ``ef`` at which the probes among the queries find their k nearest points, or 0 if none does."""
+    probes, k = q[:: max(1, len(q) // PROBES)][:PROBES], min(k, len(x))
+    scores = probes @ x.T
+    worst = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
+    while ef <= EF_MOST:
+        found = search(x, layers, top, probes, max(ef, k))
+        near = (np.take_along_axis(scores, np.maximum(found, 0), axis=1) >= worst[:, None]) & (found >= 0)
+        if np.minimum(near.sum(axis=1), k).mean() >= AIM * k:
+            return ef
+        ef *= 2
+    return 0
+
+
+def scan(x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's k nearest points, by all scores, for a few queries at a time."""
+    k, out = min(k, len(x)), []
+    for at in range(0, len(q), BATCH):
+        s = q[at : at + BATCH] @ x.T
+        out.append(np.argpartition(s, len(x) - k, axis=1)[:, len(x) - k :])
+    return np.concatenate(out)
+
+
 def lengths(v: np.ndarray) -> np.ndarray:
     """Lengths of vectors, without overflow."""
     most = np.abs(v).max(axis=1, initial=0.0)
@@ -234,7 +261,9 @@ def _search_shard(k: int, ef: int):
                 layers[n][i, : len(near)] = near
         top = int(np.argmax(height))
         q, qid = np.stack(queries["v"].to_numpy()).astype(np.float64), queries["query_id"].to_numpy()
-        found = search(_lifted(v), layers, top, _aimed(q), max(ef, k + 1))
+        x, aimed = _lifted(v), _aimed(q)
+        wide = width_for(x, layers, top, aimed, k + 1, max(ef, k + 1))
+        found = search(x, layers, top, aimed, wide) if wide else scan(x, aimed, max(ef, k + 1))
         r, c = np.nonzero(found >= 0)
         hit = found[r, c]
         score = np.concatenate([(v[hit[i : i + 65536]] * q[r[i : i + 65536]]).sum(axis=1) for i in range(0, len(hit), 65536)] or [np.zeros(0)])
