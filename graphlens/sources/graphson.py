@@ -5,6 +5,9 @@ the document in ``ord``. Keys are ``document#id``, as ids are unique within a do
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from graphlens.session import checkpointed
 
 #: Levels of ``@value`` around a value that are opened at a time. Values under more are opened in rounds.
 WRAPS = 6
+#: Levels of a lone ``@value`` or ``export`` around a graph that are entered at once; deeper ones take rounds.
+STRAIGHT = 3
 # Property -> column, type.
 PROPERTIES = {
     "NAME": ("name", "string"), "CODE": ("code", "string"), "LINE_NUMBER": ("line", "int"), "CANONICAL_NAME": ("canonical_name", "string"), "FILENAME": ("filename", "string"),
@@ -31,24 +36,30 @@ def unwrapped(v: str, kind: str, path: str = "$") -> Column:
 def opened(rows: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """Members (doc, ord, v, others) -> the same without v, and a column for each field: name -> (path, type). Members with a value under more than
     WRAPS levels, or wrapped inside a list, which are rare, are taken apart by field and opened in rounds until nothing is wrapped."""
-    more = lambda p: [p + '["@value"]' * (WRAPS + 1), *(p + '["@value"]' * n + '[0]["@value"]' for n in range(WRAPS + 1))]
-    deeper = F.coalesce(*[F.try_variant_get("v", x, "variant") for p, _ in fields.values() for x in more(p)]).isNotNull()
     others = [c for c in rows.columns if c != "v"]
-    rows = rows.withColumn("_deep", deeper)
-    shallow = rows.where("not _deep").select(*others, *[unwrapped("v", kind, p).alias(c) for c, (p, kind) in fields.items()])
-    deep = rows.where("_deep")
-    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.try_variant_get("v", p, "variant").alias("x")) for c, (p, _) in fields.items()]))
-    at = deep.select("doc", "ord", parts.alias("p")).select("doc", "ord", "p.field", "p.x")
+    # Each field is looked up once; most members lack most fields, and a value that is not wrapped needs no further look.
+    own = {c: f"_{i}" for i, c in enumerate(fields)}
+    rows = rows.select(*others, *[F.try_variant_get("v", p, "variant").alias(own[c]) for c, (p, _) in fields.items()])
+    wraps = lambda c: F.coalesce(F.try_variant_get(own[c], '$["@value"]', "variant"), F.try_variant_get(own[c], "$[0]", "variant")).isNotNull()
+    rows = rows.select("*", *[wraps(c).alias(f"{own[c]}w") for c in fields])
+    more = ["$" + '["@value"]' * (WRAPS + 1), *("$" + '["@value"]' * n + '[0]["@value"]' for n in range(WRAPS + 1))]
+    buried = lambda c: F.col(f"{own[c]}w") & F.coalesce(*[F.try_variant_get(own[c], x, "variant") for x in more]).isNotNull()
+    is_deep = functools.reduce(operator.or_, [buried(c) for c in fields])
+    value = lambda c, kind: F.when(F.col(f"{own[c]}w"), unwrapped(own[c], kind)).otherwise(F.try_variant_get(own[c], "$", kind))
+    shallow = lambda at: at.select(*others, *[value(c, kind).alias(c) for c, (_, kind) in fields.items()])
+    deep = rows.where(is_deep)
+    if deep.isEmpty():
+        return shallow(rows)
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(own[c]).alias("x")) for c in fields]))
+    at = checkpointed(deep.select("doc", "ord", parts.alias("p")).select("doc", "ord", "p.field", "p.x"))
     listed = F.try_variant_get("x", '$[0]["@value"]', "variant").isNotNull() & F.try_variant_get("x", "$[1]", "variant").isNull()
     wrapped = F.try_variant_get("x", '$["@value"]', "variant").isNotNull() | listed
-    if not deep.isEmpty():
-        at = checkpointed(at)
-        while not at.where(wrapped).isEmpty():
-            inner = [F.try_variant_get("x", "$" + '["@value"]' * n, "variant") for n in range(WRAPS, 0, -1)]
-            at = checkpointed(at.withColumn("x", F.coalesce(*inner, F.when(listed, F.try_variant_get("x", "$[0]", "variant")), F.col("x"))))
-    value = lambda c, kind: F.max(F.when(F.col("field") == c, unwrapped("x", kind))).alias(c)
-    values = at.groupBy("doc", "ord").agg(*[value(c, kind) for c, (_, kind) in fields.items()])
-    return shallow.unionByName(deep.select(*others).join(values, ["doc", "ord"]))
+    while not at.where(wrapped).isEmpty():
+        inner = [F.try_variant_get("x", "$" + '["@value"]' * n, "variant") for n in range(WRAPS, 0, -1)]
+        at = checkpointed(at.withColumn("x", F.coalesce(*inner, F.when(listed, F.try_variant_get("x", "$[0]", "variant")), F.col("x"))))
+    value_of = lambda c, kind: F.max(F.when(F.col("field") == c, unwrapped("x", kind))).alias(c)
+    values = at.groupBy("doc", "ord").agg(*[value_of(c, kind) for c, (_, kind) in fields.items()])
+    return shallow(rows.where(~is_deep)).unionByName(deep.select(*others).join(values, ["doc", "ord"]))
 
 
 def joined_scalar(v: str, path: str) -> Column:
@@ -63,21 +74,41 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = True) -> Da
     return files.select(F.col("_metadata.file_path").alias("doc"), F.try_parse_json("value").alias("v"))
 
 
-def _bodies(docs: DataFrame) -> DataFrame:
+def _has() -> Column:
+    """Whether v has vertices or edges. The first of a list is asked for ahead of the list, as what is got is copied."""
+    return F.coalesce(*[F.try_variant_get("v", p, "variant") for p in ("$.vertices[0]", "$.edges[0]", "$.vertices", "$.edges")]).isNotNull()
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    """doc, v, has, is_json, written once: v is the graph of a document (has), or what is left of it when no single way leads on. A member
+    ``@value`` or ``export`` that stands alone is entered at once, several levels deep, without a row or a shuffle for each level."""
+    at = docs.select("doc", "v", F.col("v").isNotNull().alias("is_json"), _has().alias("has"))
+    for _ in range(STRAIGHT):
+        one, other = F.try_variant_get("v", '$["@value"]', "variant"), F.try_variant_get("v", "$.export", "variant")
+        at = at.select("doc", "v", "is_json", "has", F.when(~F.col("has"), one).alias("a"), F.when(~F.col("has"), other).alias("b"))
+        alone = F.coalesce(F.when(F.col("b").isNull(), F.col("a")), F.when(F.col("a").isNull(), F.col("b")))
+        at = at.select("doc", "is_json", "has", F.coalesce(alone, F.col("v")).alias("v"))
+        at = at.select("doc", "v", "is_json", (F.col("has") | _has()).alias("has"))
+    return checkpointed(at)
+
+
+def _bodies(read: DataFrame) -> DataFrame:
     """One row for each graph of a document: doc, part, v with vertices and edges. ``part`` numbers the graphs
     in the order of the document. Each round opens one level of lists, ``@value`` and ``export``."""
-    spark = docs.sparkSession
-    at, out = docs.select("doc", F.array().cast("array<int>").alias("place"), "v"), None
-    while out is None or not at.isEmpty():
-        has = F.try_variant_get("v", "$.vertices", "variant").isNotNull() | F.try_variant_get("v", "$.edges", "variant").isNotNull()
+    spark, only = read.sparkSession, read.where("has").select("doc", F.lit(0).cast("long").alias("part"), "v")
+    at, out = read.where(~F.col("has") & F.col("v").isNotNull()).select("doc", F.array().cast("array<int>").alias("place"), "v"), None
+    while not at.isEmpty():
+        has = _has()
         here = at.where(has)
         out = here if out is None else out.unionByName(here)
         member = spark.tvf.variant_explode(F.col("v").outer()).select("pos", "key", F.col("value").alias("_value"))
         # Scalars have no members and end here.
         inner = at.where(~has).lateralJoin(member).where(F.col("key").isNull() | F.col("key").isin("@value", "export"))
         at = checkpointed(inner.select("doc", F.concat("place", F.array(F.coalesce("pos", F.lit(0)))).alias("place"), F.col("_value").alias("v")))
+    if out is None:
+        return only
     part = F.dense_rank().over(Window.partitionBy("doc").orderBy("place")) - 1
-    return out.select("doc", part.cast("long").alias("part"), "v")
+    return only.unionByName(out.select("doc", part.cast("long").alias("part"), "v"))
 
 
 def _members(bodies: DataFrame, field: str) -> DataFrame:
@@ -86,34 +117,58 @@ def _members(bodies: DataFrame, field: str) -> DataFrame:
     return rows.lateralJoin(member).select("doc", (F.col("part") * (1 << 32) + F.col("pos")).alias("ord"), F.col("_value").alias("v"))
 
 
+NODE = {"node_id": ("$.id", "bigint"), "label": ("$.label", "string")} | {c: (f"$.properties.{p}", t) for p, (c, t) in PROPERTIES.items()}
+EDGE = {"label": ("$.label", "string"), "out": ("$.outV", "bigint"), "in": ("$.inV", "bigint"), "variable": ("$.properties.VARIABLE", "string")}
+
+
 def load(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (doc, v) -> nodes and edges. Edges without both ends or a label are dropped."""
-    bodies = _bodies(docs)
-    fields = {"node_id": ("$.id", "bigint"), "label": ("$.label", "string")} | {c: (f"$.properties.{p}", t) for p, (c, t) in PROPERTIES.items()}
-    nodes = opened(_members(bodies, "vertices"), fields).where(F.col("node_id").isNotNull())
-    nodes = nodes.select(F.concat_ws("#", "doc", F.col("node_id").cast("string")).alias("id"), "doc", "ord", *fields)
-    ends = {"label": ("$.label", "string"), "out": ("$.outV", "bigint"), "in": ("$.inV", "bigint"), "variable": ("$.properties.VARIABLE", "string")}
-    edges = opened(_members(bodies, "edges"), ends).where(F.col("out").isNotNull() & F.col("in").isNotNull() & F.col("label").isNotNull())
+    bodies = _bodies(_read(docs))
+    nodes = opened(_members(bodies, "vertices"), NODE).where(F.col("node_id").isNotNull())
+    nodes = nodes.select(F.concat_ws("#", "doc", F.col("node_id").cast("string")).alias("id"), "doc", "ord", *NODE)
     end = lambda c: F.concat_ws("#", "doc", F.col(c).cast("string"))
+    edges = opened(_members(bodies, "edges"), EDGE).where(F.col("out").isNotNull() & F.col("in").isNotNull() & F.col("label").isNotNull())
     return nodes, edges.select("doc", "ord", "label", end("out").alias("src"), end("in").alias("dst"), "variable")
 
 
+_NEEDS = {"vertices": ("$.id", "$.label"), "edges": ("$.label", "$.outV", "$.inV")}
+
+
+def _incomplete(field: str) -> Column:
+    lacks = functools.reduce(operator.or_, [F.try_variant_get("v", p, "variant").isNull() for p in _NEEDS[field]])
+    return F.when(lacks, F.lit(f"incomplete {field}"))
+
+
+def _whole_problems(read: DataFrame, bodies: DataFrame) -> DataFrame:
+    bad = read.where(~F.col("is_json")).select("doc", F.lit("not JSON").alias("problem"))
+    # A document that is one graph needs no look for others.
+    rest = read.where(F.col("is_json") & ~F.col("has")).select("doc")
+    return bad.unionByName(rest.join(bodies.select("doc"), "doc", "left_anti").select("doc", F.lit("no graph").alias("problem")))
+
+
 def validate(docs: DataFrame) -> DataFrame:
     """doc, problem: documents that are no JSON, hold no graph, or have members without their fields."""
-    bad = docs.where(F.col("v").isNull()).select("doc", F.lit("not JSON").alias("problem"))
-    bodies = _bodies(docs.where(F.col("v").isNotNull()))
-    none = docs.where(F.col("v").isNotNull()).join(bodies.select("doc"), "doc", "left_anti").select("doc", F.lit("no graph").alias("problem"))
-    missing = lambda field, paths: _members(bodies, field).where(~F.forall(F.array(*[F.try_variant_get("v", p, "variant").isNotNull() for p in paths]), lambda x: x)).select("doc", F.lit(f"incomplete {field}").alias("problem")).distinct()
-    return bad.unionByName(none).unionByName(missing("vertices", ["$.id", "$.label"])).unionByName(missing("edges", ["$.label", "$.outV", "$.inV"]))
+    read = _read(docs)
+    bodies = _bodies(read)
+    out = _whole_problems(read, bodies)
+    for field in _NEEDS:
+        out = out.unionByName(_members(bodies, field).select("doc", _incomplete(field).alias("problem")).where("problem IS NOT NULL").distinct())
+    return out
 
 
 def outcomes(docs: DataFrame) -> DataFrame:
-    """doc, ok, error, n_nodes, n_edges of every document: a broken one is a row, and keeps no other from being read."""
-    good = docs.where(F.col("v").isNotNull())
-    nodes, edges = load(good)
-    n = nodes.groupBy("doc").agg(F.count("*").alias("n_nodes")).join(edges.groupBy("doc").agg(F.count("*").alias("n_edges")), "doc", "full")
-    problems = validate(docs).groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("problem")), "; ").alias("error"))
-    rows = docs.select("doc").join(problems, "doc", "left").join(n, "doc", "left")
+    """doc, ok, error, n_nodes, n_edges of every document: a broken one is a row, and keeps no other from being read. Members are opened once,
+    for their number and their problems, and are summed up by document before any shuffle."""
+    read = _read(docs)
+    bodies = _bodies(read)
+    fields = {"vertices": {"node_id": NODE["node_id"]}, "edges": {c: EDGE[c] for c in ("label", "out", "in")}}
+    said = _whole_problems(read, bodies).select("doc", F.lit(0).alias("vertices"), F.lit(0).alias("edges"), "problem")
+    for field, wanted in fields.items():
+        members = opened(_members(bodies, field).withColumn("problem", _incomplete(field)), wanted)
+        good = functools.reduce(operator.and_, [F.col(c).isNotNull() for c in wanted]).cast("int")
+        said = said.unionByName(members.select("doc", *[(good if f == field else F.lit(0)).alias(f) for f in fields], "problem"))
+    found = said.groupBy("doc").agg(F.sum("vertices").alias("n_nodes"), F.sum("edges").alias("n_edges"), F.nullif(F.array_join(F.array_sort(F.collect_set("problem")), "; "), F.lit("")).alias("error"))
+    rows = read.select("doc").join(found, "doc", "left")
     return rows.select("doc", F.col("error").isNull().alias("ok"), "error", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
