@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphlens.session import parts_for
+
 # Fixed values.
 KIND_WEIGHT = {"STRING_DISPATCH": 0.90, "ENUM_CASE": 0.85, "REGISTRATION_INIT": 0.80, "REGISTRATION_ASSIGN": 0.80, "REGISTRAR_CALL": 0.70, "NAME_MATCH": 0.70, "DISPATCH_SITE": 0.00}
 KIND_RANK = {"STRING_DISPATCH": 5, "ENUM_CASE": 4, "REGISTRATION_INIT": 3, "REGISTRATION_ASSIGN": 3, "REGISTRAR_CALL": 2, "NAME_MATCH": 1, "DISPATCH_SITE": 0}
@@ -69,14 +71,18 @@ def score(evidence: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return evidence.withColumn("score_pre_penalty", pre).withColumn("score", F.when(bad, cut).otherwise(pre))
 
 
-def group_max(scored: DataFrame) -> DataFrame:
+def group_max(scored: DataFrame, parts: int | None = None) -> DataFrame:
     """slot, callback, group score: the best of each provenance group; a row without a group stands alone. Such rows are
-    told apart by their own values and their place among equal ones, so that a task that runs again agrees."""
+    told apart by their own values and their place among equal ones, so that a task that runs again agrees. Rows with a group
+    are dealt out by their number before they are summed up (or over ``parts``), as a task holds all its groups and most have few rows."""
+    best = [F.max("score").alias("g"), F.max(F.col("match").isin(*STRONG_MATCHES)).alias("strong")]
+    slim = scored.where(F.col("group").isNotNull()).select("slot", "callback", "group", "score", "match")
+    grouped = slim.repartition(parts or parts_for(slim), "slot", "callback").groupBy("slot", "callback", "group").agg(*best)
     plain = [F.col(f"`{f.name}`") for f in scored.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
-    own = F.xxhash64(*plain)
     place = F.row_number().over(Window.partitionBy("slot", "callback", "_own").orderBy("score"))
-    scored = scored.withColumn("_own", F.when(F.col("group").isNull(), own))
-    return scored.withColumn("_alone", F.when(F.col("group").isNull(), F.struct("_own", place))).groupBy("slot", "callback", "group", "_alone").agg(F.max("score").alias("g"), F.max(F.col("match").isin(*STRONG_MATCHES)).alias("strong"))
+    alone = scored.where(F.col("group").isNull()).withColumn("_own", F.xxhash64(*plain)).withColumn("_place", place)
+    alone = alone.groupBy("slot", "callback", "group", "_own", "_place").agg(*best)
+    return grouped.unionByName(alone.select(*grouped.columns))
 
 
 def noisy_or(groups: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -101,8 +107,10 @@ def ranked(candidates: DataFrame) -> DataFrame:
 
 def corroborate(evidence: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Candidates by noisy-or over provenance groups, ranked."""
-    conf = noisy_or(group_max(score(evidence, policy)), policy)
-    return ranked(conf.join(best_evidence(evidence), ["slot", "callback"]))
+    parts = parts_for(evidence)
+    conf = noisy_or(group_max(score(evidence, policy), parts), policy)
+    best = best_evidence(evidence.select("slot", "callback", "kind", "weight").repartition(parts, "slot", "callback"))
+    return ranked(conf.join(best, ["slot", "callback"]).repartition(parts, "slot"))
 
 
 def cascade(evidence: DataFrame) -> DataFrame:

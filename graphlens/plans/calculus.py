@@ -12,7 +12,7 @@ from graphlens.functions.knowledge import BOUNDED_SINKS, CALL_CATEGORY, Knowledg
 from graphlens.operators import calculus, evaluate, rules, shape
 from graphlens.operators.calculus import lookup
 from graphlens.plans.registry import query
-from graphlens.session import table
+from graphlens.session import parts_for, table
 
 _KIND = {"A": "ENUM_CASE", "N": "REGISTRATION_INIT", "R": "NAME_MATCH"}
 
@@ -109,7 +109,8 @@ def r12(spark, d):
 def e04(spark, d):
     ev = evidence(spark, d)
     c = calculus.corroborate(ev)
-    best = calculus.score(ev).groupBy("slot", "callback").agg(F.max("score").alias("best_score"))
+    scores = calculus.score(ev).select("slot", "callback", "score")
+    best = scores.repartition(parts_for(scores), "slot", "callback").groupBy("slot", "callback").agg(F.max("score").alias("best_score"))
     return evaluate.records(c.join(best, ["slot", "callback"]), calculus.select(c)).select("slot", "top", "runner_up", "lift")
 
 
