@@ -79,25 +79,31 @@ def array_size(declaration: Column | str, cap: int = 100) -> Column:
     return F.struct(state.alias("state"), F.when(state == 1, norm_value(product, cap)).otherwise(0.0).alias("norm"))
 
 
-def _depths(text: Column, opens: str, closes: str) -> Column:
-    """Array of struct(ch, depth): depth after each character."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    none = F.array().cast("array<struct<ch:string,depth:int>>")
-    step = lambda acc, c: F.struct((acc["d"] + F.when(c == opens, 1).when(c == closes, -1).otherwise(0)).alias("d"), F.concat(acc["out"], F.array(F.struct(c.alias("ch"), (acc["d"] + F.when(c == opens, 1).when(c == closes, -1).otherwise(0)).alias("depth")))).alias("out"))
-    return F.aggregate(chars, F.struct(F.lit(0).alias("d"), none.alias("out")), step, lambda acc: acc["out"])
+def _tokens(text: Column) -> Column:
+    """Parentheses and commas, and the runs between them."""
+    return F.regexp_extract_all(text, F.lit("[(),]|[^(),]+"), F.lit(0))
+
+
+def _depth(before: Column, token: Column) -> Column:
+    return before + F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
 
 
 def matching_paren(text: Column | str) -> Column:
     """1-based position of the parenthesis that closes the first one; 0 if there is none."""
-    d = _depths(_col(text), "(", ")")
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(d), F.lit(1))), lambda i: (F.try_element_at(d, i)["ch"] == ")") & (F.try_element_at(d, i)["depth"] == 0))
-    return F.coalesce(F.try_element_at(at, F.lit(1)), F.lit(0))
+    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("at"), F.lit(0).alias("found"))
+
+    def step(acc: Column, token: Column) -> Column:
+        depth, at = _depth(acc["d"], token), acc["at"] + F.length(token)
+        return F.struct(depth.alias("d"), at.alias("at"), F.when((acc["found"] == 0) & (token == ")") & (depth == 0), at).otherwise(acc["found"]).alias("found"))
+
+    return F.coalesce(F.aggregate(_tokens(_col(text)), start, step, lambda acc: acc["found"]), F.lit(0))
 
 
 def split_arguments(text: Column | str) -> Column:
     """Arguments of a list at its outer commas, trimmed; an empty list has none."""
-    d = _depths(_col(text), "(", ")")
-    marked = F.array_join(F.transform(d, lambda x: F.when((x["ch"] == ",") & (x["depth"] == 0), F.lit("\u0001")).otherwise(x["ch"])), "")
+    start = F.struct(F.lit(0).alias("d"), F.lit("").alias("out"))
+    step = lambda acc, token: F.struct(_depth(acc["d"], token).alias("d"), F.concat(acc["out"], F.when((token == ",") & (acc["d"] == 0), F.lit("\u0001")).otherwise(token)).alias("out"))
+    marked = F.aggregate(_tokens(_col(text)), start, step, lambda acc: acc["out"])
     return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
 
 
