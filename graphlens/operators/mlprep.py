@@ -172,11 +172,16 @@ def message_pass(edges: DataFrame, features: DataFrame) -> DataFrame:
 
 def softmax(logits: Column | str) -> Column:
     """struct(probs, predicted, confidence) of an array of logits."""
-    x = F.col(logits) if isinstance(logits, str) else logits
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    probs = F.transform(e, lambda v: v / total)
-    return F.struct(probs.alias("probs"), (F.array_position(x, F.array_max(x)) - 1).cast("int").alias("predicted"), (F.lit(1.0) / total).alias("confidence"))
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def out(x: Column, e: Column, total: Column) -> Column:
+        probs = F.transform(e, lambda v: v / total)
+        return F.struct(probs.alias("probs"), (F.array_position(x, F.array_max(x)) - 1).cast("int").alias("predicted"), (F.lit(1.0) / total).alias("confidence"))
+
+    # Each part is named by a function's parameter, as an expression inside a function runs again for each element.
+    exps = lambda x: bound(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    summed = lambda x, e: bound(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda total: out(x, e, total))
+    return bound(F.col(logits) if isinstance(logits, str) else logits, lambda x: bound(exps(x), lambda e: summed(x, e)))
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
