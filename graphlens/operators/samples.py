@@ -1,7 +1,7 @@
 """Training records as graph samples: schema-free JSON to feature matrices, edge lists and labels.
 
-Records are read as variants and opened by joins with their members, so no schema is needed and a record of any size
-is spread over rows while its features are found. A graph comes back as one struct:
+Records are read as variants, so no schema is needed. A graph is told by its record alone, so a record stays in its row and nothing is
+shuffled; its nodes and edges, and their leaves at any depth, are read by a small function over batches of rows. A graph comes back as one struct:
 
 x_names, x (a row for each node), src, dst, edge_names, edge_attr (a row for each edge).
 
@@ -11,17 +11,24 @@ leaves of one node have the same dotted name, the larger counts. A graph without
 
 from __future__ import annotations
 
+import json
+import math
+import re
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.operators.mlprep import flatten_variants
-from graphlens.session import checkpointed
-
 GRAPH = "struct<x_names:array<string>,x:array<array<double>>,src:array<bigint>,dst:array<bigint>,edge_names:array<string>,edge_attr:array<array<double>>>"
 # Fields of an edge object that are features by themselves; words in names that tell the label, safe ones first.
 EDGE_FIELDS = ("edge_type", "guard_kind", "guard_branch")
 SAFE = ("patched", "good", "safe", "fixed")
 UNSAFE = ("bad", "vuln", "unpatched", "unsafe")
+#: What Spark trims from texts before a cast, and the texts that it takes for true.
+BLANK = "".join(map(chr, range(33)))
+TRUE = ("t", "true", "y", "yes", "1")
 
 
 def _kind(v: Column, name: str) -> Column:
@@ -32,71 +39,119 @@ def _get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _number(v: Column, path: str, kind: str) -> Column:
-    """A number, also one in a text; true is 1; anything else is 0."""
-    return F.coalesce(_get(v, path, kind), _get(v, path, "boolean").cast(kind), F.lit(0).cast(kind))
-
-
-def members(rows: DataFrame, variant: str, name: str, value: str) -> DataFrame:
-    """A row for each member of an object or array: the columns of rows but ``variant``, pos, name (null in arrays), value."""
-    inside = rows.sparkSession.tvf.variant_explode(F.col(variant).outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value"))
-    keep = [c for c in rows.columns if c != variant]
-    return rows.lateralJoin(inside).select(*keep, F.col("_pos").alias("pos"), F.col("_key").alias(name), F.col("_value").alias(value))
-
-
-def _as_map(pairs: Column) -> Column:
-    return F.map_from_entries(F.coalesce(pairs, F.array().cast("array<struct<name:string,value:double>>")))
-
-
-def node_matrix(items: DataFrame, order: list[str]) -> DataFrame:
-    """Nodes (key, the columns of ``order``, item) -> key, x_names, x: the numeric leaves of ``item.feat``, or of the item where that is no object."""
-    feat = _get(F.col("item"), "$.feat")
-    at = F.struct(*order).alias("at")
-    nodes = items.select("key", at, F.when(_kind(feat, "OBJECT"), feat).otherwise(F.col("item")).alias("f"))
-    flat = flatten_variants(nodes, ["key", "at"], "f").groupBy("key", "at", "name").agg(F.max("value").alias("value"))
-    each = flat.groupBy("key", "at").agg(F.collect_list(F.struct("name", "value")).alias("m"))
-    names = flat.groupBy("key").agg(F.array_sort(F.collect_set("name")).alias("x_names"))
-    rows = nodes.select("key", "at").join(each, ["key", "at"], "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("rows"))
-    x = F.transform(F.transform("rows", lambda r: _as_map(r["m"])), lambda m: F.transform("x_names", lambda n: F.coalesce(F.try_element_at(m, n), F.lit(0.0))))
-    return rows.join(names, "key", "left").withColumn("x_names", F.coalesce("x_names", F.array().cast("array<string>"))).select("key", "x_names", x.alias("x"))
-
-
-def edge_matrix(edges: DataFrame, families: DataFrame) -> DataFrame:
-    """Edges (key, fam, pos, src, dst, feats: an array of (name, value), nested: a variant or null) and the families of each graph
-    (key, fams) -> key, src, dst, edge_names, edge_attr. Leaves of ``nested`` do not replace features with their name."""
-    at = ["key", "fam", "pos"]
-    deep = flatten_variants(edges.where(F.col("nested").isNotNull()).select(*at, "nested"), at, "nested").where(~F.col("name").isin("src", "dst"))
-    flat = edges.select(*at, F.explode("feats").alias("f")).select(*at, "f.name", "f.value", F.lit(0).alias("rank")).unionByName(deep.withColumn("rank", F.lit(1)))
-    flat = flat.groupBy(*at, "name").agg(F.min(F.struct("rank", (-F.col("value")).alias("v")))["v"].alias("v")).select(*at, "name", (-F.col("v")).alias("value"))
-    each = flat.groupBy(*at).agg(F.collect_list(F.struct("name", "value")).alias("m"))
-    names = flat.groupBy("key").agg(F.collect_set("name").alias("names"))
-    rows = edges.select(*at, "src", "dst").join(each, at, "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("fam", "pos", "src", "dst", "m"))).alias("rows"))
-    out = families.join(rows, "key", "left").join(names, "key", "left")
-    flags = F.transform("fams", lambda f: F.concat(F.lit("fam_"), f))
-    found = F.coalesce("names", F.array().cast("array<string>"))
-    edge_names = F.concat(flags, F.array_sort(F.array_except(found, flags)))
-    out = out.select("key", F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)).alias("rows"), edge_names.alias("edge_names"))
-    r_type = "array<struct<name:string,value:double>>"
-    # A family's flag stands in the map like any other feature, unless a leaf has its name.
-    flag = lambda r: F.struct(F.concat(F.lit("fam_"), r["fam"]).alias("name"), F.lit(1.0).alias("value"))
-    named = lambda r: F.exists(F.coalesce(r["m"], F.array().cast(r_type)), lambda p: p["name"] == flag(r)["name"])
-    full = lambda r: F.when(named(r), r["m"]).otherwise(F.concat(F.coalesce(r["m"], F.array().cast(r_type)), F.array(flag(r))))
-    attr = F.transform(F.transform("rows", lambda r: _as_map(full(r))), lambda m: F.transform("edge_names", lambda n: F.coalesce(F.try_element_at(m, n), F.lit(0.0))))
-    side = lambda c: F.transform("rows", lambda r: r[c]).alias(c)
-    shown = F.when(F.size("edge_names") == 0, F.array(F.lit("edge_attr"))).otherwise(F.col("edge_names"))
-    return out.select("key", side("src"), side("dst"), shown.alias("edge_names"), attr.alias("edge_attr"))
-
-
-def _graphs(keys: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """key, graph."""
-    both = keys.join(nodes, "key", "left").join(edges, "key", "left")
-    bare = F.array(F.array().cast("array<double>"))
-    nothing = lambda kind: F.array().cast(kind)
-    graph = F.struct(
-        F.coalesce("x_names", nothing("array<string>")).alias("x_names"), F.coalesce("x", bare).alias("x"), F.coalesce("src", nothing("array<bigint>")).alias("src"),
-        F.coalesce("dst", nothing("array<bigint>")).alias("dst"), F.coalesce("edge_names", F.array(F.lit("edge_attr"))).alias("edge_names"), F.coalesce("edge_attr", nothing("array<array<double>>")).alias("edge_attr"),
-    )
-    return both.select("key", graph.cast(GRAPH).alias("graph"))
+def _leaves(v, skip: tuple[str, ...] = ()) -> dict[str, float]:
+    """The numeric leaves of a value under dotted names; a number that stands alone has the empty name."""
+    out: dict[str, float] = {}
+    todo = [("", v)]
+    while todo:
+        name, v = todo.pop()
+        if isinstance(v, dict | list):
+            ahead = f"{name}." if name else ""
+            todo += [(ahead + str(k), x) for k, x in (v.items() if isinstance(v, dict) else enumerate(v))]
+        elif v is not None and not isinstance(v, str) and name not in skip:
+            out[name] = max(_double(v), out.get(name, -math.inf))
+    return out
+
+
+def _bigint(v) -> int:
+    """A number, also one in a text, as Spark casts it; true is 1; anything else is 0."""
+    if isinstance(v, str):
+        v = v.strip(BLANK)
+        v = int(v) if re.fullmatch(r"[+-]?[0-9]{1,4000}", v) else v.lower() in TRUE
+    if not isinstance(v, int | float) or v != v:
+        return 0
+    # What is too large for a key is still true.
+    return int(v) if -(2.0**63) <= v < 2.0**63 else 1
+
+
+def _double(v) -> float:
+    if isinstance(v, str):
+        v = v.strip(BLANK)
+        if m := re.fullmatch(r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[dDfF]?|([+-]?inf(?:inity)?|nan)", v, re.IGNORECASE):
+            return float(m[1] or m[2])
+        v = v.lower() in TRUE
+    try:
+        return float(v) if isinstance(v, int | float) else 0.0
+    except OverflowError:
+        return math.inf if v > 0 else -math.inf
+
+
+def _ends(e) -> tuple[int, int]:
+    if isinstance(e, list) and len(e) > 1:
+        return _bigint(e[0]), _bigint(e[1])
+    return (_bigint(e.get("src")), _bigint(e.get("dst"))) if isinstance(e, dict) else (0, 0)
+
+
+def _edge_features(e) -> dict[str, float]:
+    """Features of an edge. Leaves of its nested features do not replace those of its own."""
+    own, nested = {}, None
+    if isinstance(e, list) and len(e) > 2:
+        if isinstance(e[2], dict):
+            nested = e[2].get("feat", e[2])
+        else:
+            own["edge_type"] = _double(e[2])
+    elif isinstance(e, dict):
+        own = {f: _double(e[f]) for f in EDGE_FIELDS if f in e}
+        # An empty attr gives way to feat, as a missing one does.
+        inner = e.get("attr") or e.get("feat")
+        nested = inner if isinstance(inner, dict) else None
+    return _leaves(nested, ("src", "dst")) | own if nested is not None else own
+
+
+def _node_rows(items: list) -> tuple[list[str], list[dict[str, float]]]:
+    """Feature names, and those of each node: the leaves of ``feat``, or of the node where that is no object. Without nodes a featureless one."""
+    rows = [_leaves(v["feat"] if isinstance(v, dict) and isinstance(v.get("feat"), dict) else v) for v in items]
+    return sorted(set().union(*rows)), rows or [{}]
+
+
+def _list(v) -> list:
+    return v if isinstance(v, list) else []
+
+
+def _section(section, families: list[str] | None) -> tuple:
+    parts = section if isinstance(section, dict) else {}
+    fams = sorted(f for f in parts if f.startswith("edges_")) if families is None else sorted(families)
+    lists = [(f"fam_{f}", [v] if isinstance(v := parts.get(f), dict) else _list(v)) for f in fams]
+    edges = [({flag: 1.0} | _edge_features(e), *_ends(e)) for flag, items in lists for e in items]
+    flags = [flag for flag, _ in lists]
+    names = flags + sorted(set().union(*(f for f, _, _ in edges)).difference(flags))
+    return *_node_rows(_list(parts.get("nodes"))), [s for _, s, _ in edges], [d for _, _, d in edges], names or ["edge_attr"], [f for f, _, _ in edges]
+
+
+def _configured(record, node_keys: list[str], edge_keys: dict[str, list[str]]) -> tuple:
+    nodes = [v for k in dict.fromkeys(node_keys) for v in _list(record.get(k))]
+    fams = sorted(edge_keys)
+    edges = [(fam, e, _double(e[2] if len(e) > 2 else None) if isinstance(e, list) and len(e) > 1 else _double(e.get("attr")) if isinstance(e, dict) else 0.0) for fam in fams for field in edge_keys[fam] for e in _list(record.get(field))]
+    valued = any(value != 0 for _, _, value in edges)
+    ends = [_ends(e) for _, e, _ in edges]
+    rows = [[float(fam == f) for f in fams] + [value] * valued for fam, _, value in edges]
+    return *_node_rows(nodes), [s for s, _ in ends], [d for _, d in ends], (fams or ["edge_attr"]) + ["value"] * valued, rows
+
+
+def _as_array(graphs: list[tuple | None]) -> pa.Array:
+    """Graphs (names, rows, sources, targets, names, rows; a row holds values, or values by name, others being 0) as an array of GRAPH."""
+    there = [g or ([], [], [], [], [], []) for g in graphs]
+    lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32()), values)
+    column = lambda i, kind: lists([len(g[i]) for g in there], pa.array([v for g in there for v in g[i]], kind))
+    text = lambda i: lists([len(g[i]) for g in there], pa.array([v.encode("utf-8", "replace") for g in there for v in g[i]], pa.binary()).cast(pa.string()))
+
+    def matrix(names: int, i: int) -> pa.Array:
+        rows = [[r.get(c, 0.0) for c in g[names]] if isinstance(r, dict) else r for g in there for r in g[i]]
+        return lists([len(g[i]) for g in there], lists([len(r) for r in rows], pa.array([v for r in rows for v in r], pa.float64())))
+
+    columns = [text(0), matrix(0, 1), column(2, pa.int64()), column(3, pa.int64()), text(4), matrix(4, 5)]
+    return pa.StructArray.from_arrays(columns, ["x_names", "x", "src", "dst", "edge_names", "edge_attr"], mask=pa.array([g is None for g in graphs]))
+
+
+def _graph(text: Column, make: Callable[[object], tuple | None]) -> Column:
+    """The graph of each JSON text, null where the text is or ``make`` finds none. Spark has found the texts to be JSON; what follows the value plays no part."""
+
+    @F.arrow_udf(GRAPH)
+    def run(texts: pa.Array) -> pa.Array:
+        read = json.JSONDecoder(strict=False).raw_decode
+        return _as_array([None if t is None else make(read(t.lstrip())[0]) for t in texts.to_pylist()])
+
+    return run(text)
 
 
 def section_graphs(rows: DataFrame, families: list[str] | None = None) -> DataFrame:
@@ -105,38 +160,7 @@ def section_graphs(rows: DataFrame, families: list[str] | None = None) -> DataFr
     Edge families are the members whose name starts with ``edges_``, or those given. An edge is [src, dst],
     [src, dst, type], [src, dst, {features}] or an object with src, dst, its own features and attr or feat; each
     has a 1 in its family's column."""
-    rows = checkpointed(rows.select("key", "section"))
-    lists = rows.select("key", _get(F.col("section"), "$.nodes").alias("nodes")).where(_kind(F.col("nodes"), "ARRAY"))
-    nodes = node_matrix(members(lists, "nodes", "name", "item"), ["pos"])
-    parts = members(rows.where(_kind(F.col("section"), "OBJECT")), "section", "fam", "list").drop("pos")
-    parts = parts.where(F.col("fam").startswith("edges_") if families is None else F.col("fam").isin(families))
-    if families is None:
-        fams = rows.select("key").join(parts.groupBy("key").agg(F.array_sort(F.collect_set("fam")).alias("fams")), "key", "left")
-        fams = fams.select("key", F.coalesce("fams", F.array().cast("array<string>")).alias("fams"))
-    else:
-        fams = rows.select("key", F.array(*[F.lit(f) for f in sorted(families)]).alias("fams"))
-    single = parts.where(_kind(F.col("list"), "OBJECT")).select("key", "fam", F.lit(0).alias("pos"), F.col("list").alias("item"))
-    many = members(parts.where(_kind(F.col("list"), "ARRAY")), "list", "name", "item").select("key", "fam", "pos", "item")
-    return _graphs(rows.select("key"), nodes, edge_matrix(_edges(single.unionByName(many)), fams))
-
-
-def _edges(items: DataFrame) -> DataFrame:
-    """key, fam, pos, src, dst, feats, nested of edges in any of their forms."""
-    e = F.col("item")
-    as_list, as_object = _kind(e, "ARRAY"), _kind(e, "OBJECT")
-    third = _get(e, "$[2]")
-    whole = as_list & _get(e, "$[1]").isNotNull()
-    end = lambda place, name: F.when(whole, _number(e, place, "bigint")).when(as_object, _number(e, name, "bigint")).otherwise(F.lit(0).cast("bigint"))
-    feature = lambda name, v: F.struct(F.lit(name).alias("name"), v.alias("value"))
-    own = [F.when(as_object & _get(e, f"$.{f}").isNotNull(), feature(f, _number(e, f"$.{f}", "double"))) for f in EDGE_FIELDS]
-    own.append(F.when(as_list & third.isNotNull() & ~_kind(third, "OBJECT"), feature("edge_type", _number(e, "$[2]", "double"))))
-    attr, feat = _get(e, "$.attr"), _get(e, "$.feat")
-    # An empty attr gives way to feat, as a missing one does.
-    filled = attr.isNotNull() & ~_kind(attr, "VOID") & ~F.to_json(attr).isin("{}", "[]", '""', "0", "false")
-    inner = F.when(filled, attr).otherwise(feat)
-    third_feat = F.coalesce(_get(third, "$.feat"), third)
-    nested = F.when(as_list & _kind(third, "OBJECT"), third_feat).when(as_object & _kind(inner, "OBJECT"), inner)
-    return items.select("key", "fam", "pos", end("$[0]", "$.src").alias("src"), end("$[1]", "$.dst").alias("dst"), F.filter(F.array(*own), lambda f: f.isNotNull()).alias("feats"), nested.alias("nested"))
+    return rows.select("key", _graph(F.to_json("section"), lambda v: _section(v, families)).alias("graph"))
 
 
 def record_label(record: Column, path: Column, keyword: str | None = None, keyword_label: int = 1) -> Column:
@@ -158,14 +182,16 @@ def record_samples(rows: DataFrame, key: str, json: str, path: str | None = None
     """Training records (JSON texts) -> key, label, file, function_name, ast_graph, dfg_graph (null where there is no flow section).
     A text that is no JSON object gives a sample with one featureless node."""
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
-    records = checkpointed(rows.select(F.col(key).alias("key"), where.alias("path"), F.coalesce(F.try_parse_json(json), F.parse_json(F.lit("{}"))).alias("record")))
+    records = rows.select(F.col(key).alias("key"), where.alias("path"), F.col(json).alias("text"), F.try_parse_json(json).alias("found"))
+    records = records.select("key", "path", F.when(F.col("found").isNotNull(), F.col("text")).otherwise("{}").alias("text"), F.coalesce("found", F.parse_json(F.lit("{}"))).alias("record"))
     r = F.col("record")
-    ast = section_graphs(records.select("key", F.coalesce(_get(r, "$.ast"), F.parse_json(F.lit("{}"))).alias("section"))).withColumnRenamed("graph", "ast_graph")
-    flow = records.select("key", _get(r, "$.dfg").alias("section")).where(_kind(F.col("section"), "OBJECT") & (F.to_json("section") != "{}"))
-    dfg = section_graphs(flow, ["edges_dfg"]).withColumnRenamed("graph", "dfg_graph")
     first = lambda *names: F.coalesce(*[F.nullif(_get(r, f"$.{n}", "string"), F.lit("")) for n in names])
-    about = records.select("key", record_label(r, F.col("path"), keyword, keyword_label).alias("label"), first("file", "filename", "source_template").alias("file"), first("function_name", "function").alias("function_name"))
-    return about.join(ast, "key", "left").join(dfg, "key", "left").withColumnRenamed("key", key)
+    about = [record_label(r, F.col("path"), keyword, keyword_label).alias("label"), first("file", "filename", "source_template").alias("file"), first("function_name", "function").alias("function_name")]
+    part = lambda v, name: v.get(name) if isinstance(v, dict) else None
+    # A flow section without members is none.
+    flow = lambda v: _section(v, ["edges_dfg"]) if isinstance(v, dict) and v else None
+    ast, dfg = _graph(F.col("text"), lambda v: _section(part(v, "ast"), None)), _graph(F.col("text"), lambda v: flow(part(v, "dfg")))
+    return records.select("key", "text", *about).select(F.col("key").alias(key), "label", "file", "function_name", ast.alias("ast_graph"), dfg.alias("dfg_graph"))
 
 
 def configured_samples(rows: DataFrame, key: str, json: str, node_keys: list[str], edge_keys: dict[str, list[str]], strict: bool = False) -> DataFrame:
@@ -175,45 +201,25 @@ def configured_samples(rows: DataFrame, key: str, json: str, node_keys: list[str
     edges of each family, a name for a list of members, get a 1 in its column, families in sorted order; a column ``value`` follows if any edge of the
     graph has an attribute other than 0. A text that is no JSON object is left out if strict, else an empty graph."""
     v = F.try_parse_json(json)
-    records = rows.select(F.col(key).alias("key"), v.alias("record"))
+    records = rows.select(F.col(key).alias("key"), v.alias("record"), F.col(json).alias("text"))
     records = records.where(_kind(F.col("record"), "OBJECT")) if strict else records
-    records = checkpointed(records.select("key", F.when(_kind(F.col("record"), "OBJECT"), F.col("record")).otherwise(F.parse_json(F.lit("{}"))).alias("record")))
+    fine = _kind(F.col("record"), "OBJECT")
+    records = records.select("key", F.when(fine, F.col("record")).otherwise(F.parse_json(F.lit("{}"))).alias("record"), F.when(fine, F.col("text")).otherwise("{}").alias("text"))
     r = F.col("record")
-    direct = _get(r, "$.x").isNotNull() & _get(r, "$.edge_index").isNotNull()
+    direct = (_get(r, "$.x").isNotNull() & _get(r, "$.edge_index").isNotNull()).alias("direct")
+    records = records.select("*", direct, _get(r, "$", "map<string,variant>").alias("members"))
     ends = lambda i: F.coalesce(F.get(_get(r, "$.edge_index", "array<array<bigint>>"), F.lit(i)), F.array().cast("array<bigint>"))
     flat = F.transform(_get(r, "$.edge_attr", "array<double>"), lambda a: F.array(a))
     rows_ = F.when(_kind(_get(r, "$.edge_attr[0]"), "ARRAY"), _get(r, "$.edge_attr", "array<array<double>>"))
     attr = F.coalesce(rows_, flat, F.transform(ends(0), lambda _: F.array(F.lit(0.0))))
     none = F.lit(None).cast("array<string>")
-    tensors = records.where(direct).select("key", F.struct(none.alias("x_names"), _get(r, "$.x", "array<array<double>>").alias("x"), ends(0).alias("src"), ends(1).alias("dst"), none.alias("edge_names"), attr.alias("edge_attr")).cast(GRAPH).alias("graph"))
-    other = records.where(~direct)
-    member = members(other, "record", "name", "list").drop("pos")
-    order = {k: i for i, k in reversed(list(enumerate(node_keys)))}
-    place = F.element_at(F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))]), F.col("name")) if order else F.lit(None).cast("int")
-    lists = member.where(F.col("name").isin(list(order)) & _kind(F.col("list"), "ARRAY")).select("key", place.alias("first"), "list")
-    nodes = node_matrix(members(lists, "list", "name", "item"), ["first", "pos"])
-    fams = sorted(edge_keys)
-    kinds = [(fam, i, field) for fam in fams for i, field in enumerate(edge_keys[fam])]
-    which = F.array(*[F.struct(F.lit(fam).alias("fam"), F.lit(i).alias("i"), F.lit(field).alias("field")) for fam, i, field in kinds])
-    edges = member.where(_kind(F.col("list"), "ARRAY")).select("key", "name", "list", F.explode(which).alias("w")).where("name = w.field").select("key", F.col("w.fam").alias("fam"), F.col("w.i").alias("i"), "list")
-    edges = members(edges, "list", "name", "item")
-    e = F.col("item")
-    as_list = _kind(e, "ARRAY") & _get(e, "$[1]").isNotNull()
-    end = lambda place, name, kind: F.when(as_list, _number(e, place, kind)).when(_kind(e, "OBJECT"), _number(e, name, kind)).otherwise(F.lit(0).cast(kind))
-    edges = edges.select("key", "fam", "i", "pos", end("$[0]", "$.src", "bigint").alias("src"), end("$[1]", "$.dst", "bigint").alias("dst"), end("$[2]", "$.attr", "double").alias("value"))
-    packed = edges.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("fam", "i", "pos", "src", "dst", "value"))).alias("rows"), F.max((F.col("value") != 0).cast("int")).alias("valued"))
-    names = F.array(*[F.lit(f) for f in fams]) if fams else F.array(F.lit("edge_attr"))
-    flags = lambda row: F.array(*[(row["fam"] == f).cast("double") for f in fams])
-    row = lambda x: F.when(F.col("valued") == 1, F.concat(flags(x), F.array(x["value"]))).otherwise(flags(x))
-    side = lambda c: F.transform("rows", lambda x: x[c]).alias(c)
-    shown = F.when(F.col("valued") == 1, F.concat(names, F.array(F.lit("value")))).otherwise(names)
-    built = other.select("key").join(packed, "key", "left").select("key", side("src"), side("dst"), shown.alias("edge_names"), F.transform("rows", row).alias("edge_attr"))
-    graphs = _graphs(other.select("key"), nodes, built).unionByName(tensors)
-    declared = [*order, *{f for fs in edge_keys.values() for f in fs}]
-    said = members(records, "record", "name", "value").join(records.where(direct).select("key", F.lit(True).alias("direct")), "key", "left")
-    kept = ~F.when(F.col("direct"), F.col("name").isin("x", "edge_index", "edge_attr")).otherwise(F.col("name").isin(declared))
-    rest = said.where(kept).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("name", F.to_json("value")))).alias("rest"))
-    return graphs.join(rest, "key", "left").withColumnRenamed("key", key)
+    tensors = F.struct(none.alias("x_names"), _get(r, "$.x", "array<array<double>>").alias("x"), ends(0).alias("src"), ends(1).alias("dst"), none.alias("edge_names"), attr.alias("edge_attr")).cast(GRAPH)
+    graph = F.coalesce("tensors", _graph(F.col("other"), lambda v: _configured(v, node_keys, edge_keys)))
+    declared = [*dict.fromkeys(node_keys), *{f for fs in edge_keys.values() for f in fs}]
+    kept = lambda name: ~F.when(F.col("direct"), name.isin("x", "edge_index", "edge_attr")).otherwise(name.isin(declared))
+    rest = F.transform_values(F.map_filter("members", lambda k, _: kept(k)), lambda _, v: F.to_json(v))
+    parts = records.select("key", F.when(F.col("direct"), tensors).alias("tensors"), F.when(~F.col("direct"), F.col("text")).alias("other"), rest.alias("rest"))
+    return parts.select(F.col("key").alias(key), graph.alias("graph"), F.when(F.size("rest") > 0, F.col("rest")).alias("rest"))
 
 
 def feature_names(samples: DataFrame, *graphs: str) -> dict[str, tuple[list[str], list[str]]]:

@@ -87,3 +87,18 @@ def test_harmonised_columns(spark):
     got = graphs(out, "ast_graph")
     assert got[0]["x"] == [[1, 0]] and got[0]["edge_attr"] == [[0, 3, 1]] and got[1]["x"] == [[0, 2], [0, 0]]
     assert graphs(out, "dfg_graph")[0] is None
+
+
+def test_records_stay_in_their_rows(spark):
+    """Rows of features were dealt out and joined again for each record, with a job for each level."""
+    deep = {"a": {"b": {"c": {"d": [{"e": 7}]}}}}
+    records = [{"ast": {"nodes": [deep, {"big": 10**400, "small": -(10**400), "a.b": 1, "a": {"b": 2}}], "edges_p": [{"src": " 1 ", "dst": "yes", "guard_kind": "1.5e1", "attr": deep}, [1e30, 1.9, None]]}}]
+    frames = [samples.record_samples(frame(spark, records), "id", "json"), samples.configured_samples(frame(spark, records), "id", "json", ["ast"], {})]
+    for df in frames:
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    g = frames[0].first()["ast_graph"]
+    assert g["x_names"] == ["a.b", "a.b.c.d.0.e", "big", "small"] and g["x"] == [[0, 7, 0, 0], [2, 0, float("inf"), float("-inf")]]
+    assert (g["src"], g["dst"]) == ([1, 1], [1, 1]) and g["edge_names"] == ["fam_edges_p", "a.b.c.d.0.e", "edge_type", "guard_kind"]
+    assert g["edge_attr"] == [[1, 7, 0, 15], [1, 0, 0, 0]]
+    trailing = samples.record_samples(frame(spark, [' {"ast": {"nodes": [{"a": 1}]}} rest', '{"ast": {"nodes": [{"a": 1, "a": 2}]}}']), "id", "json")
+    assert {r["id"]: r["ast_graph"]["x"] for r in trailing.collect()} == {0: [[1]], 1: [[]]}
