@@ -102,3 +102,14 @@ def test_records_stay_in_their_rows(spark):
     assert g["edge_attr"] == [[1, 7, 0, 15], [1, 0, 0, 0]]
     trailing = samples.record_samples(frame(spark, [' {"ast": {"nodes": [{"a": 1}]}} rest', '{"ast": {"nodes": [{"a": 1, "a": 2}]}}']), "id", "json")
     assert {r["id"]: r["ast_graph"]["x"] for r in trailing.collect()} == {0: [[1]], 1: [[]]}
+
+
+def test_configured_lists_are_put_together_in_their_rows(spark):
+    """Lists of several names, in the order given, with an empty one between and an edge list of two families."""
+    records = [{"b": [{"k": 2}], "a": [{"k": 1}, {}], "none": [], "e": [[0, 1, "2.5"], {"src": "1", "dst": True, "attr": False}], "n": None}, {"x": [[1]], "edge_index": [[0], [0]], "a": 1}]
+    df = samples.configured_samples(frame(spark, records), "id", "json", ["b", "none", "a"], {"p": ["e"], "q": ["none", "e"]})
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = graphs(df)
+    assert (got[0]["x_names"], got[0]["x"], got[0]["edge_names"]) == (["k"], [[2], [1], [0]], ["p", "q", "value"])
+    assert list(zip(got[0]["src"], got[0]["dst"], strict=True)) == [(0, 1), (1, 1)] * 2 and got[0]["edge_attr"] == [[1, 0, 2.5], [1, 0, 0], [0, 1, 2.5], [0, 1, 0]]
+    assert got[1]["x"] == [[1]] and {r["id"]: r["rest"] for r in df.collect()} == {0: {"n": "null"}, 1: {"a": "1"}}
