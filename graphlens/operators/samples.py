@@ -57,7 +57,10 @@ def _bigint(v) -> int:
     """A number, also one in a text, as Spark casts it; true is 1; anything else is 0."""
     if isinstance(v, str):
         v = v.strip(BLANK)
-        v = int(v) if re.fullmatch(r"[+-]?[0-9]{1,4000}", v) else v.lower() in TRUE
+        if not re.fullmatch(r"[+-]?[0-9]{1,4000}", v):
+            return int(v.lower() in TRUE)
+        n = int(v)
+        return n if -(2**63) <= n < 2**63 else 0
     if not isinstance(v, int | float) or v != v:
         return 0
     # What is too large for a key is still true.

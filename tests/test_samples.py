@@ -113,3 +113,8 @@ def test_configured_lists_are_put_together_in_their_rows(spark):
     assert (got[0]["x_names"], got[0]["x"], got[0]["edge_names"]) == (["k"], [[2], [1], [0]], ["p", "q", "value"])
     assert list(zip(got[0]["src"], got[0]["dst"], strict=True)) == [(0, 1), (1, 1)] * 2 and got[0]["edge_attr"] == [[1, 0, 2.5], [1, 0, 0], [0, 1, 2.5], [0, 1, 0]]
     assert got[1]["x"] == [[1]] and {r["id"]: r["rest"] for r in df.collect()} == {0: {"n": "null"}, 1: {"a": "1"}}
+
+
+def test_numbers_are_read_as_spark_casts_them():
+    assert [samples._bigint(v) for v in ("9" * 30, 10**30, " -7 ", "1.5", "YES", -1.9, None, [1], True)] == [0, 1, -7, 0, 1, -1, 0, 0, 1]
+    assert [samples._double(v) for v in ("1.5d", "1_0", ".5", "t", None, False)] == [1.5, 0, 0.5, 1, 0, 0]
