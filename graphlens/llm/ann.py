@@ -39,6 +39,8 @@ LINKS, EF_BUILD, EF_SEARCH = 16, 64, 96
 BATCH = 512
 #: Queries of a block that tell how wide to search, the share of true neighbours to reach, and the widest search.
 PROBES, AIM, EF_MOST = 64, 0.95, 192
+#: Components that are multiplied at a time for scores.
+SCORED = 1 << 20
 
 
 def _level(ids: np.ndarray) -> np.ndarray:
@@ -247,6 +249,31 @@ def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": pdf["shard"], "pos": np.arange(len(ids), dtype="int32"), "vec_id": ids, "members": pdf["members"], "v": list(v), "layers": flat})
 
 
+def _first(groups: np.ndarray, n: int) -> np.ndarray:
+    """Which rows are among the first ``n`` of their group, where groups stand in order."""
+    return np.arange(len(groups)) - np.searchsorted(groups, groups) < n
+
+
+def _results(v: np.ndarray, ids: np.ndarray, times: np.ndarray, flat: np.ndarray, q: np.ndarray, qid: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id, score: of the points found for each query the ``k`` nearest members, without the query itself. ``flat`` holds the members
+    of all points, ``times`` of each. The best ``k`` + 1 points, each by its smallest member, hold these, so no more are written out in members."""
+    r, c = np.nonzero(found >= 0)
+    hit, step = found[r, c], max(1, SCORED // q.shape[1])
+    score = np.concatenate([(v[hit[i : i + step]] * q[r[i : i + step]]).sum(axis=1) for i in range(0, len(hit), step)] or [np.zeros(0)])
+    order = np.lexsort((ids[hit], -score, r))
+    order = order[_first(r[order], k + 1)]
+    r, hit, score = r[order], hit[order], score[order]
+    n = times[hit]
+    # The members of a point stand together in ``flat``, from the number of members of all points before it on.
+    who = flat[np.arange(n.sum()) + np.repeat((np.cumsum(times) - times)[hit] - (np.cumsum(n) - n), n)]
+    r, score = np.repeat(r, n), np.repeat(score, n)
+    other = who != qid[r]
+    r, who, score = r[other], who[other], score[other]
+    order = np.lexsort((who, -score, r))
+    order = order[_first(r[order], k)]
+    return qid[r[order]], who[order], score[order]
+
+
 def _search_shard(k: int, ef: int):
     def run(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "vec_id", "score"]
@@ -261,18 +288,16 @@ def _search_shard(k: int, ef: int):
                 layers[n][i, : len(near)] = near
         top = int(np.argmax(height))
         q, qid = np.stack(queries["v"].to_numpy()).astype(np.float64), queries["query_id"].to_numpy()
-        x, aimed = _lifted(v), _aimed(q)
-        wide = width_for(x, layers, top, aimed, k + 1, max(ef, k + 1))
-        found = search(x, layers, top, aimed, wide) if wide else scan(x, aimed, max(ef, k + 1))
-        r, c = np.nonzero(found >= 0)
-        hit = found[r, c]
-        score = np.concatenate([(v[hit[i : i + 65536]] * q[r[i : i + 65536]]).sum(axis=1) for i in range(0, len(hit), 65536)] or [np.zeros(0)])
-        members = graph["members"].to_list()
-        times = np.array([len(members[i]) for i in hit], dtype=int)
-        who = np.concatenate([np.asarray(members[i], dtype="int64") for i in hit] or [np.zeros(0, dtype="int64")])
-        out = pd.DataFrame({"query_id": np.repeat(qid[r], times), "vec_id": who, "score": np.repeat(score, times)})
-        out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return out.groupby("query_id", sort=False).head(k)
+        x, members = _lifted(v), graph["members"].to_list()
+        times, flat = np.array([len(m) for m in members]), np.concatenate(members).astype("int64")
+        wide = width_for(x, layers, top, _aimed(q[:: max(1, len(q) // PROBES)][:PROBES]), k + 1, max(ef, k + 1))
+        out = []
+        # What a few queries find is cut to their results before the next are asked.
+        for at in range(0, len(q), BATCH):
+            part = q[at : at + BATCH]
+            found = search(x, layers, top, _aimed(part), wide) if wide else scan(x, _aimed(part), max(ef, k + 1))
+            out.append(_results(v, ids, times, flat, part, qid[at : at + BATCH], found, k))
+        return pd.DataFrame(dict(zip(names, (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
     return run
 
