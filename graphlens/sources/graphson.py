@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphlens.session import checkpointed
 
-#: Levels of ``@value`` around a value that are opened at a time. Values under more are opened in rounds.
+#: Levels of ``@value`` around a value that are opened at a time.
 WRAPS = 6
 #: Levels of a lone ``@value`` or ``export`` around a graph that are entered at once; deeper ones take rounds.
 STRAIGHT = 3
@@ -26,40 +26,53 @@ PROPERTIES = {
 }
 
 
-def unwrapped(v: str, kind: str, path: str = "$") -> Column:
-    """A value at a path, under up to WRAPS ``@value`` levels; lists of one count as their
+def unwrapped(v: str | Column, kind: str, path: str = "$", wraps: int = WRAPS) -> Column:
+    """A value at a path, under up to ``wraps`` ``@value`` levels; lists of one count as their
     element, empty lists as null. ``opened`` deals with values under more."""
-    paths = [path + '["@value"]' * n + "[0]" * last for n in range(WRAPS, -1, -1) for last in (1, 0)]
+    paths = [path + '["@value"]' * n + "[0]" * last for n in range(wraps, -1, -1) for last in (1, 0)]
     return F.coalesce(*[F.try_variant_get(v, p, kind) for p in paths])
 
 
+def _straightened(x: Column, kind: str) -> Column:
+    """A wrapped value. One under more than WRAPS levels, or wrapped inside a list, is opened as often as it names ``@value``, twice for lists, in its row."""
+    at = lambda v, n: F.try_variant_get(v, "$" + '["@value"]' * n, "variant")
+    def under_more_than(wraps: int) -> Column:
+        more = ["$" + '["@value"]' * (wraps + 1), *("$" + '["@value"]' * n + '[0]["@value"]' for n in range(wraps + 1))]
+        return F.coalesce(*[F.try_variant_get(x, p, "variant") for p in more]).isNotNull()
+
+    times = F.when(under_more_than(WRAPS), 2 * F.regexp_count(F.to_json(x), F.lit('"@value"'))).otherwise(0)
+
+    def inner(v: Column, _: Column) -> Column:
+        listed = F.try_variant_get(v, '$[0]["@value"]', "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
+        deepest = F.coalesce(*[at(v, n) for n in range(WRAPS, 0, -1)])
+        return F.when(at(v, 1).isNotNull(), deepest).when(listed, F.try_variant_get(v, "$[0]", "variant")).otherwise(v)
+
+    def told(v: Column, wraps: int) -> Column:
+        """A null has no text, and is not told by its wrapper's."""
+        null = F.is_variant_null(F.coalesce(*[at(v, n) for n in range(wraps, 0, -1)]))
+        return F.when(~null, unwrapped(v, kind, wraps=wraps)) if kind == "string" else unwrapped(v, kind, wraps=wraps)
+
+    any_depth = F.aggregate(F.array_repeat(F.lit(0), times), x, inner, lambda v: told(v, WRAPS))
+    # Most values are under one or two levels, where few looks tell them.
+    return F.when(~under_more_than(1), told(x, 1)).when(~under_more_than(2), told(x, 2)).otherwise(any_depth)
+
+
 def opened(rows: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
-    """Members (doc, ord, v, others) -> the same without v, and a column for each field: name -> (path, type). Members with a value under more than
-    WRAPS levels, or wrapped inside a list, which are rare, are taken apart by field and opened in rounds until nothing is wrapped."""
+    """Members (doc, ord, v, others) -> the same without v, and a column for each field: name -> (path, type), the path being ``$.a`` or ``$.a.b``.
+    Every member is read once and in its row, however deep its values are wrapped."""
     others = [c for c in rows.columns if c != "v"]
-    # Each field is looked up once; most members lack most fields, and a value that is not wrapped needs no further look.
-    own = {c: f"_{i}" for i, c in enumerate(fields)}
-    rows = rows.select(*others, *[F.try_variant_get("v", p, "variant").alias(own[c]) for c, (p, _) in fields.items()])
-    wraps = lambda c: F.coalesce(F.try_variant_get(own[c], '$["@value"]', "variant"), F.try_variant_get(own[c], "$[0]", "variant")).isNotNull()
-    rows = rows.select("*", *[wraps(c).alias(f"{own[c]}w") for c in fields])
-    more = ["$" + '["@value"]' * (WRAPS + 1), *("$" + '["@value"]' * n + '[0]["@value"]' for n in range(WRAPS + 1))]
-    buried = lambda c: F.col(f"{own[c]}w") & F.coalesce(*[F.try_variant_get(own[c], x, "variant") for x in more]).isNotNull()
-    is_deep = functools.reduce(operator.or_, [buried(c) for c in fields])
-    value = lambda c, kind: F.when(F.col(f"{own[c]}w"), unwrapped(own[c], kind)).otherwise(F.try_variant_get(own[c], "$", kind))
-    shallow = lambda at: at.select(*others, *[value(c, kind).alias(c) for c, (_, kind) in fields.items()])
-    deep = rows.where(is_deep)
-    if deep.isEmpty():
-        return shallow(rows)
-    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(own[c]).alias("x")) for c in fields]))
-    at = checkpointed(deep.select("doc", "ord", parts.alias("p")).select("doc", "ord", "p.field", "p.x"))
-    listed = F.try_variant_get("x", '$[0]["@value"]', "variant").isNotNull() & F.try_variant_get("x", "$[1]", "variant").isNull()
-    wrapped = F.try_variant_get("x", '$["@value"]', "variant").isNotNull() | listed
-    while not at.where(wrapped).isEmpty():
-        inner = [F.try_variant_get("x", "$" + '["@value"]' * n, "variant") for n in range(WRAPS, 0, -1)]
-        at = checkpointed(at.withColumn("x", F.coalesce(*inner, F.when(listed, F.try_variant_get("x", "$[0]", "variant")), F.col("x"))))
-    value_of = lambda c, kind: F.max(F.when(F.col("field") == c, unwrapped("x", kind))).alias(c)
-    values = at.groupBy("doc", "ord").agg(*[value_of(c, kind) for c, (_, kind) in fields.items()])
-    return shallow(rows.where(~is_deep)).unionByName(deep.select(*others).join(values, ["doc", "ord"]))
+    places = {c: path.split(".")[1:] for c, (path, _) in fields.items()}
+    tops = list(dict.fromkeys(p[0] for p in places.values()))
+    below = {t: [p[1] for p in places.values() if p[0] == t and len(p) > 1] for t in tops}
+    parts = lambda v, names: F.try_variant_get(v, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
+    rows = rows.select(*others, parts("v", tops).alias("_top"))
+    rows = rows.select(*others, F.col("_top").alias("_0"), *[parts(F.col(f"_top.`{t}`"), names).alias(f"_below_{t}") for t, names in below.items() if names])
+    # A generator keeps what is asked of the fields from being moved ahead of it, where each mention of a field would look it up again.
+    own = {c: F.col(f"_below_{p[0]}.`{p[1]}`") if len(p) > 1 else F.col(f"_0.`{p[0]}`") for c, p in places.items()}
+    rows = rows.select(*others, F.inline(F.array(F.struct(*[x.alias(f"_{c}") for c, x in own.items()]))))
+    wraps = lambda x: F.coalesce(F.try_variant_get(x, '$["@value"]', "variant"), F.try_variant_get(x, "$[0]", "variant")).isNotNull()
+    value = lambda x, kind: F.when(wraps(x), _straightened(x, kind)).otherwise(F.try_variant_get(x, "$", kind))
+    return rows.select(*others, *[value(F.col(f"_{c}"), kind).alias(c) for c, (_, kind) in fields.items()])
 
 
 def joined_scalar(v: str, path: str) -> Column:

@@ -41,3 +41,28 @@ def test_documents_are_parsed_once(spark):
     docs = spark.createDataFrame([(str(i), json.dumps({"export": GRAPH})) for i in range(20)], "doc string, j string")
     graphson.outcomes(docs.select("doc", F.try_parse_json(told.asNondeterministic()("j")).alias("v"))).collect()
     assert seen.value == 20
+
+
+def test_members_are_opened_in_their_rows(spark):
+    """However deep values are wrapped, no job runs, and nothing is written, before the rows are asked for."""
+
+    def under(levels, value, listed=False):
+        for _ in range(levels):
+            value = {"@type": "t", "@value": [value] if listed else value}
+        return value
+
+    vertices = [{"id": under(n, n), "label": under(n % 4, ["CALL"]), "properties": {"CODE": under(n, f"c{n}", n % 2), "NAME": under(2, f"n{n}")}} for n in range(30)]
+    odd = [7, None, "x", [1], {"id": 30, "label": None, "properties": [1]}, {"id": {"@value": None}, "label": {"@value": {"@value": None}}, "properties": {"NAME": {"@value": None}}}, {"id": 31, "properties": {"CODE": [{"@value": under(8, "d")}], "NAME": [{"@value": "e"}, {"@value": "f"}], "LINE_NUMBER": {"@value": "4"}}}]
+    rows = spark.createDataFrame([("d", i, json.dumps(v)) for i, v in enumerate(vertices + odd)], "doc string, ord long, j string").select("doc", "ord", F.try_parse_json("j").alias("v")).localCheckpoint()
+    sc = spark.sparkContext
+    sc.setJobGroup("opened", "members")
+    try:
+        members = graphson.opened(rows, graphson.NODE)
+        assert len(sc.statusTracker().getJobIdsForGroup("opened")) == 0
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    got = [(r["node_id"], r["label"], r["code"], r["name"], r["line"]) for r in members.orderBy("ord").collect()]
+    assert got[:30] == [(n, "CALL", f"c{n}", f"n{n}", None) for n in range(30)]
+    none = (None,) * 5
+    assert got[30:34] == [none] * 4 and got[34] == (30, None, None, None, None) and got[35] == none
+    assert got[36][0] == 31 and got[36][2] == "d" and got[36][4] == 4
